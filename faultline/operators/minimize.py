@@ -271,15 +271,21 @@ def _ddmin_general(indexed, count, test, split, min_items, start_parts):
         tagged = cur.withColumn("_b", bucket.cast("long"))
         if split is not None:
             tagged = materialize(tagged)
+            # a custom split may leave parts empty or put everything in one
+            # part; only proper, non-empty parts and complements can shrink
+            sizes = {int(r["_b"]): int(r["n"]) for r in
+                     tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()}
+        else:
+            sizes = {k: part_bounds(k, n, c)[1] - part_bounds(k, n, c)[0] for k in range(n)}
         c0, n0, found = c, n, None
         for i in range(n):
-            if test.fails(tagged.where(F.col("_b") == i).select(*cols)):
+            if 0 < sizes.get(i, 0) < c and test.fails(tagged.where(F.col("_b") == i).select(*cols)):
                 found = ("part", i)
                 break
         if found is None and n > 2:
             for j in range(n):
                 i = (j + offset) % n
-                if test.fails(tagged.where(F.col("_b") != i).select(*cols)):
+                if 0 < sizes.get(i, 0) < c and test.fails(tagged.where(F.col("_b") != i).select(*cols)):
                     found = ("complement", i)
                     break
         if found is None:
@@ -387,3 +393,35 @@ def minimize_all(items: DataFrame, test: SumThreshold, order_by: list[str],
     for f in frames[1:]:
         out = out.unionByName(f)
     return AllResult(out, [list(iv) for iv in uniq])
+
+
+def part_test_matrix(items: DataFrame, test: SumThreshold, order_by: list[str], n: int,
+                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Outcome of the test on every part and every complement of a
+    contiguous ``n``-way split, from one grouped job.
+
+    ``(bucket, n_items, part_fails, complement_fails)``, one row per part.
+    """
+    t = test.threshold
+    indexed, count = index_items(items, order_by)
+    rows = _candidate_rows(indexed, test, max_broadcast_rows)
+    b = contiguous_bucket("cur", n, count)
+    S = rows.df.groupBy(b.alias("bucket"), F.col("k")).agg(F.sum("w").alias("s"))
+    T = S.groupBy("k").agg(F.sum("s").alias("T"))
+    n_hot = T.where(F.col("T") >= t).count()
+    ST = join_small(S, T, "k", "inner", rows.n_keys, max_broadcast_rows)
+    per_b = ST.groupBy("bucket").agg(
+        F.max(F.col("s") >= t).alias("_pf"),
+        F.max(F.col("s") <= F.col("T") - t).alias("_cp"),
+        F.sum(F.when((F.col("T") >= t) & (F.col("s") > F.col("T") - t), 1).otherwise(0)).alias("_blk"))
+    spark = items.sparkSession
+    bucket = F.col("id")
+    size = (F.expr(f"((id + 1) * {int(count)} + {int(n) - 1}) DIV {int(n)}")
+            - F.expr(f"(id * {int(count)} + {int(n) - 1}) DIV {int(n)}"))
+    parts = spark.range(n).select(bucket.alias("bucket"), size.alias("n_items"))
+    out = parts.join(per_b, "bucket", "left")
+    return out.select(
+        "bucket", "n_items",
+        F.coalesce(F.col("_pf"), F.lit(False)).alias("part_fails"),
+        (F.coalesce(F.col("_cp"), F.lit(False)) | (F.coalesce(F.col("_blk"), F.lit(0)) < n_hot))
+        .alias("complement_fails"))

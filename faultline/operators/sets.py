@@ -2,7 +2,7 @@
 
 * ``index_items`` gives every item a dense ``idx`` in ``0..count-1`` without
   funnelling rows through one task: a range-partitioned sort, per-partition
-  counts (one row per partition) and a broadcast of their prefix offsets.
+  counts (one row per partition) and their prefix offsets as a literal.
 * Splits return a *bucket column*, so all parts live in one DataFrame and one
   grouped job can look at all of them.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.session import materialize
@@ -29,15 +29,20 @@ def index_items(df: DataFrame, order_by: list[str], idx: str = "idx") -> tuple[D
     sorted_rows = df.orderBy(*order_by).select(
         "*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
     sorted_rows = materialize(sorted_rows)
-    per_part = sorted_rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    # one row per partition: a global window over it is bounded by the partition count
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialize(per_part.select(
-        "_pid", "_m0", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
-    count = offsets.agg(F.sum("_n")).collect()[0][0] or 0
-    indexed = (sorted_rows.join(F.broadcast(offsets), "_pid")
-               .withColumn(idx, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"))
-               .drop("_pid", "_mid", "_m0", "_n", "_off"))
+    # one small row per partition: (partition, first id, row count)
+    per_part = sorted(tuple(r) for r in sorted_rows.groupBy("_pid").agg(
+        F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n")).collect())
+    n_parts = (per_part[-1][0] + 1) if per_part else 0
+    base = [0] * n_parts          # first idx of each partition minus its first id
+    count = 0
+    for pid, m0, n in per_part:
+        base[pid] = count - m0
+        count += n
+    # applied as a literal array indexed by partition (bounded by the
+    # partition count), so no join and no size-estimate blow-up
+    shift = F.element_at(F.array(*[F.lit(int(b)) for b in base]), F.col("_pid") + 1) \
+        if n_parts else F.lit(0)
+    indexed = sorted_rows.withColumn(idx, (F.col("_mid") + shift).cast("long")).drop("_pid", "_mid")
     return indexed, int(count)
 
 
