@@ -215,6 +215,105 @@ def _drop_part(rows: _Rows, lo: int, hi: int) -> _Rows:
     return _Rows(materialize(df), rows.n_keys, rows.nonneg, True)
 
 
+# rows of (segment, key) sums the driver may receive from one look-ahead job
+SPECULATE_ROWS = 1 << 16
+SPECULATE_MAX_DEPTH = 10
+
+
+def _halving_points(c: int, depth: int) -> list[int]:
+    """Sorted split points of every range reachable from ``[0, c)`` by
+    ``depth`` successive 2-way splits (the path taken while parts fail)."""
+    pts, level = {0, c}, [(0, c)]
+    for _ in range(depth):
+        nxt = []
+        for lo, hi in level:
+            if hi - lo > 1:
+                mid = lo + (hi - lo + 1) // 2
+                pts.add(mid)
+                nxt += [(lo, mid), (mid, hi)]
+        level = nxt
+    return sorted(pts)
+
+
+def _segment_of(col: str, bounds: list[int], c: int) -> Column:
+    """Index of the segment ``[bounds[i], bounds[i+1])`` holding ``col``.
+
+    Guess ``floor(col * S / c)`` and correct it against the bounds (a literal
+    array) within a window ``w``.  ``w`` is the largest gap between guess and
+    truth, measured exactly on the driver at every point where either step
+    function changes, so the result is exact."""
+    import bisect
+    S = len(bounds) - 1
+    pts = set()
+    for b in bounds:
+        pts.update((b, b - 1))
+    for k in range(S + 1):
+        x = (k * c + S - 1) // S
+        pts.update((x, x - 1))
+    w = max(abs((bisect.bisect_right(bounds, x) - 1) - (x * S) // c) for x in pts if 0 <= x < c)
+    # one expression call for the whole literal (a column per element would
+    # cost a driver round trip each)
+    arr = F.expr("array(" + ", ".join(f"{int(b)}L" for b in bounds) + ")")
+    guess = F.expr(f"(`{col}` * {int(S)}L) DIV {int(c)}L")
+    g0 = F.greatest(guess - w, F.lit(0))
+    seg = g0
+    for j in range(1, 2 * w + 1):
+        # bounds[g0 + j] is element g0 + j + 1 (1-based); past the end -> null -> 0
+        at = (g0 + (j + 1)).cast("int")
+        seg = seg + F.when(F.try_element_at(arr, at) <= F.col(col), 1).otherwise(0)
+    return seg
+
+
+def _speculate(rows: _Rows, c: int, t: int, min_items: int, rnd: int):
+    """Replay the coming rounds while they stay on the "a part fails, n = 2"
+    path, from one job that sums every (segment, key) on the halving grid.
+    Returns (steps, lo, hi, n) with the final kept range, or None when the
+    look-ahead is not worth it or would ship too many sums."""
+    keys = max(rows.n_keys, 1)
+    depth = 0
+    while depth < SPECULATE_MAX_DEPTH and (2 << depth) * keys <= SPECULATE_ROWS and (2 << depth) <= c:
+        depth += 1
+    if depth < 2:
+        return None
+    t0 = time.perf_counter()
+    bounds = _halving_points(c, depth)
+    seg = _segment_of("cur", bounds, c)
+    sums = rows.df.groupBy(seg.alias("g"), F.col("k")).agg(F.sum("w").alias("s")).collect()
+    by_seg: dict[int, list] = {}
+    for r in sums:
+        by_seg.setdefault(int(r["g"]), []).append((r["k"], int(r["s"])))
+    pos = {b: i for i, b in enumerate(bounds)}
+
+    def fails(lo, hi):
+        tot: dict = {}
+        for g in range(pos[lo], pos[hi]):
+            for k, v in by_seg.get(g, ()):
+                tot[k] = tot.get(k, 0) + v
+        return any(v >= t for v in tot.values())
+
+    micros = int((time.perf_counter() - t0) * 1e6)
+    steps, lo, hi, n = [], 0, c, 2
+    for _ in range(depth):
+        size = hi - lo
+        if size <= min_items or size < 2:
+            break
+        mid = lo + (size + 1) // 2
+        if fails(lo, mid):
+            steps.append(Step(rnd + len(steps), size, 2, "part", micros if not steps else 0))
+            hi = mid
+        elif fails(mid, hi):
+            steps.append(Step(rnd + len(steps), size, 2, "part", micros if not steps else 0))
+            lo = mid
+        else:
+            if size > 2:       # nothing fails at n = 2: granularity goes up
+                steps.append(Step(rnd + len(steps), size, 2, "refine", micros if not steps else 0))
+                n = min(size, 4)
+            break
+    if not steps:
+        return None
+    return steps, lo, hi, n
+
+
 def _ddmin_batched(indexed, count, test: SumThreshold, min_items, start_parts, max_bc):
     t = test.threshold
     steps: list[Step] = []
@@ -229,6 +328,17 @@ def _ddmin_batched(indexed, count, test: SumThreshold, min_items, start_parts, m
         if c <= min_items:
             steps.append(Step(rnd, c, n, "done", int((time.perf_counter() - t0) * 1e6)))
             break
+        if n == 2 and c > 4:
+            spec = _speculate(rows, c, t, min_items, rnd)
+            if spec is not None:
+                spec_steps, lo, hi, n_next = spec
+                if (lo, hi) != (0, c):
+                    rows, iv, c = _keep_part(rows, lo, hi), _cut(iv, lo, hi), hi - lo
+                steps.extend(spec_steps)
+                rnd += len(spec_steps)
+                n, offset = n_next, 0
+                t0 = time.perf_counter()
+                continue
         res = _round(rows, n, c, t, offset, max_bc)
         c0, n0 = c, n
         if "part" in res:

@@ -40,8 +40,8 @@ def index_items(df: DataFrame, order_by: list[str], idx: str = "idx") -> tuple[D
         count += n
     # applied as a literal array indexed by partition (bounded by the
     # partition count), so no join and no size-estimate blow-up
-    shift = F.element_at(F.array(*[F.lit(int(b)) for b in base]), F.col("_pid") + 1) \
-        if n_parts else F.lit(0)
+    shift = F.element_at(F.expr("array(" + ", ".join(f"{int(b)}L" for b in base) + ")"),
+                         F.col("_pid") + 1) if n_parts else F.lit(0)
     indexed = sorted_rows.withColumn(idx, (F.col("_mid") + shift).cast("long")).drop("_pid", "_mid")
     return indexed, int(count)
 

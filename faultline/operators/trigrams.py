@@ -53,18 +53,19 @@ def parse_lines(lines: DataFrame, line_col: str = "line", on_malformed: str = "f
     ``on_malformed='fail'`` raises on a line without a colon (as the reference
     job fails); ``'quarantine'`` keeps it with ``malformed = true`` and null
     ``doc``/``contents`` so it yields no trigrams (see ``quarantined``).
-    Null lines are dropped.
+    A null line gets null ``doc``/``contents`` and so yields no tokens or
+    trigrams (no filter is added: it would be pushed into the scan and
+    evaluate the line expression twice).
     """
     line = F.col(line_col)
     ok = has_name(line)
     if on_malformed == "fail":
-        doc = F.when(ok, doc_of(line)).otherwise(
+        doc = F.when(line.isNull(), F.lit(None)).when(ok, doc_of(line)).otherwise(
             F.raise_error(F.concat(F.lit("line without a ':' separator: "), F.left(line, F.lit(200)))))
-        return lines.where(line.isNotNull()).withColumn("doc", doc.cast("string")) \
-                    .withColumn("contents", contents_of(line))
+        return lines.withColumn("doc", doc.cast("string")).withColumn("contents", contents_of(line))
     if on_malformed == "quarantine":
-        return (lines.where(line.isNotNull())
-                .withColumn("malformed", ~ok)
+        return (lines
+                .withColumn("malformed", line.isNotNull() & ~ok)
                 .withColumn("doc", F.when(ok, doc_of(line)))
                 .withColumn("contents", F.when(ok, contents_of(line))))
     raise ValueError("on_malformed must be 'fail' or 'quarantine'")

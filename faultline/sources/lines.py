@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.text import NAME_SEPARATOR
-from faultline.session import materialize
+from faultline.session import materialize, spread
 
 # ---- fixed values of the test fixture (FIXTURES.md) -------------------------
 # Every FIXTURE_INJECT_EVERY-th document (by doc_id) gets FIXTURE_PHRASE
@@ -45,7 +45,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def lines_from_table(df: DataFrame, id_col: str, name_cols: list[str], text_col: str) -> DataFrame:
     """Rows of a table -> ``(line_id, line)`` with ``line = name:...:text``."""
     parts = [F.col(c).cast("string") for c in name_cols] + [F.col(text_col)]
-    return df.select(F.col(id_col).cast("long").alias("line_id"),
+    return spread(df.select(id_col, *name_cols, text_col)).select(F.col(id_col).cast("long").alias("line_id"),
                      F.concat_ws(NAME_SEPARATOR, *parts).alias("line"))
 
 
@@ -55,7 +55,7 @@ def fixture_lines(spark: SparkSession, sf_dir: str,
     """The test fixture from ``documents``: ``source:doc_id:text`` plus
     ``phrase`` on every ``inject_every``-th document; ``line_id = doc_id``.
     All documents are kept."""
-    docs = load_table(spark, sf_dir, "documents")
+    docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     line = F.concat(F.col("source"), F.lit(NAME_SEPARATOR), F.col("doc_id").cast("string"),
                     F.lit(NAME_SEPARATOR), F.col("text"),
                     F.when(F.col("doc_id") % inject_every == 0, F.lit(phrase)).otherwise(F.lit("")))
