@@ -1,0 +1 @@
+"""End-to-end jobs (``pipelines``) and the registered query catalog."""

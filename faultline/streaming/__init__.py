@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference has no streaming of any kind (no sources, watermarks, windows
+or state), so this package holds no operators.  Every operator in the
+library is a batch DataFrame transformation.
+"""
