@@ -7,10 +7,10 @@ rotation offset and the kept ranges of the original ``idx`` (one per
 reduction).  Data never leaves the cluster.
 
 Batched path (``SumThreshold`` test, contiguous split): every item is turned
-into ``(cur, key, w)`` rows once, pre-summed per item and key.  Weights are
-checked to be non-negative; then a key whose total over *all* items is below
-the threshold can never make any subset fail, so only rows of the remaining
-keys are kept (exact, and usually a tiny fraction).  A round is ONE grouped
+into ``(cur, key, w)`` rows.  Weights are checked to be non-negative; then a
+key whose total over *all* items is below the threshold can never make any
+subset fail, so only rows of the remaining keys are kept (exact, and usually
+a tiny fraction), pre-summed per item and key.  A round is ONE grouped
 job: ``S(bucket, key) = sum(w)`` gives the failing parts (``S >= t``) and,
 with ``T(key) = sum_b S``, the failing complements (``T - S_b >= t``).
 The first failing complement in rotation order is found with a distributed
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators.oracles import CallableTest, SumThreshold
 from faultline.operators.sets import contiguous_bucket, index_items, part_bounds
-from faultline.session import DEFAULT_BROADCAST_ROWS, join_small, materialize
+from faultline.session import DEFAULT_BROADCAST_ROWS, join_small, materialize, spread
 
 HISTORY_SCHEMA = "round int, n_items long, n_parts int, outcome string, micros long"
 # intervals at or below this count select items with a plain range filter
@@ -123,29 +123,34 @@ class _Rows:
 
 
 def _candidate_rows(indexed: DataFrame, test: SumThreshold, max_bc: int) -> _Rows:
+    """``(cur, k, w)`` per item and key, kept only for keys that can still
+    reach the threshold (all keys when some weight is negative)."""
     t = test.threshold
-    raw = test.item_rows(indexed, ["idx"]).select(
+    # items come out of a sort that AQE may have coalesced into few tasks;
+    # their rows (e.g. the trigrams of each line) are produced in parallel
+    raw = test.item_rows(spread(indexed), ["idx"]).select(
         F.col("idx").alias("cur"), F.col(test.key).alias("k"), F.col(test.weight).cast("long").alias("w"))
-    per_item = raw.groupBy("cur", "k").agg(F.sum("w").alias("w"))
-    keyed = per_item.groupBy("k").agg(F.sum("w").alias("T"), F.min("w").alias("mn"))
-    # one job: the failing keys plus one summary row (min weight, key count)
-    summary = keyed.agg(F.min("mn").alias("mn"), F.count(F.lit(1)).alias("nk")).select(
-        F.lit(None).cast(keyed.schema["k"].dataType).alias("k"), F.lit(None).cast("long").alias("T"),
-        "mn", "nk", F.lit(True).alias("_summary"))
+    keyed = raw.groupBy("k").agg(F.sum("w").alias("T"), F.min("w").alias("mn"))
+    # one job: the keys reaching t plus one summary row (min weight, counts)
+    summary = keyed.agg(F.min("mn").alias("mn"), F.count(F.lit(1)).alias("nk"),
+                        F.count_if(F.col("T") >= t).alias("nh")).select(
+        F.lit(None).cast(keyed.schema["k"].dataType).alias("k"), "mn", "nk", "nh",
+        F.lit(True).alias("_summary"))
     hot = keyed.where(F.col("T") >= t).select(
-        "k", "T", F.lit(None).cast("long").alias("mn"), F.lit(None).cast("long").alias("nk"),
-        F.lit(False).alias("_summary"))
+        "k", F.lit(None).cast("long").alias("mn"), F.lit(None).cast("long").alias("nk"),
+        F.lit(None).cast("long").alias("nh"), F.lit(False).alias("_summary"))
     both = materialize(summary.unionByName(hot))
     srow = both.where("_summary").collect()[0]
-    min_w, n_keys = srow["mn"], int(srow["nk"] or 0)
-    hot_keys = both.where(~F.col("_summary")).select("k")
-    n_hot = hot_keys.count()
+    min_w, n_keys, n_hot = srow["mn"], int(srow["nk"] or 0), int(srow["nh"] or 0)
     if min_w is None:                 # no rows at all
-        return _Rows(per_item.limit(0), 0, True, False)
+        return _Rows(raw.limit(0), 0, True, False)
     if min_w >= 0:
-        rows = materialize(join_small(per_item, hot_keys, "k", "left_semi", n_hot, max_bc))
+        hot_keys = both.where(~F.col("_summary")).select("k")
+        kept = join_small(raw, hot_keys, "k", "left_semi", n_hot, max_bc)
+        rows = materialize(kept.groupBy("cur", "k").agg(F.sum("w").alias("w")))
         return _Rows(rows, n_hot, True, n_hot > 0)
-    return _Rows(materialize(per_item), n_keys, False, n_hot > 0)
+    rows = materialize(raw.groupBy("cur", "k").agg(F.sum("w").alias("w")))
+    return _Rows(rows, n_keys, False, n_hot > 0)
 
 
 def _round(rows: _Rows, n: int, c: int, t: int, offset: int, max_bc: int, want_all: bool = False):

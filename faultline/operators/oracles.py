@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import FAIL_THRESHOLD
 from faultline.operators.trigrams import WeightRule, trigram_records
+from faultline.session import spread
 
 
 def item_count(items: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def line_trigram_rows(weight_rule=WeightRule()):
     line (the A5 test re-parses the lines it is given)."""
     def rows(items: DataFrame, carry: list[str]) -> DataFrame:
         extra = [c for c in carry if c != "line_id"]
-        return trigram_records(items, weight_rule, carry=extra)
+        return trigram_records(spread(items), weight_rule, carry=extra)
     return rows
 
 
