@@ -432,19 +432,22 @@ def _ddmin_general(indexed, count, test, split, min_items, start_parts):
 def ddmin(items: DataFrame, test, order_by: list[str],
           split: Callable[[DataFrame, int], Column] | None = None,
           min_items: int = 1, start_parts: int = 2,
-          max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> MinimizeResult:
+          max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+          indexed: tuple[DataFrame, int] | None = None) -> MinimizeResult:
     """Minimal failing subset of ``items`` under ``test``.
 
     ``order_by`` fixes the item order (unique columns).  ``test`` is a
     ``SumThreshold`` (batched) or a ``CallableTest``/any object with
     ``fails(df) -> bool``.  ``split(items_with_idx, n) -> bucket Column``
     replaces the default contiguous split (X2).  Stops at ``min_items``.
+    ``indexed=(items_with_idx, count)`` supplies a ready dense ``idx`` in
+    ``order_by`` order (see ``sets.index_by_group``).
     Returns an empty DataFrame when the input does not fail.
     """
     if callable(test) and not hasattr(test, "fails"):
         test = CallableTest(test)
     spark = items.sparkSession
-    indexed, count = index_items(items, order_by)
+    indexed, count = indexed if indexed is not None else index_items(items, order_by)
     if isinstance(test, SumThreshold) and split is None:
         iv, steps = _ddmin_batched(indexed, count, test, min_items, start_parts, max_broadcast_rows)
         result = select_ranges(indexed, iv, "idx", max_broadcast_rows).drop("idx")

@@ -46,6 +46,41 @@ def index_items(df: DataFrame, order_by: list[str], idx: str = "idx") -> tuple[D
     return indexed, int(count)
 
 
+def index_by_group(df: DataFrame, group_cols: list[str], pos_col: str, idx: str = "idx",
+                   max_broadcast_rows: int | None = None) -> tuple[DataFrame, int] | None:
+    """Dense ``idx`` in ``(group, pos)`` order when every group's positions
+    run ``0..m-1`` (the trigram records of a line): ``idx = start(group) +
+    pos``.  Only the per-group counts are range-partitioned and materialised,
+    not the items, so nothing item-sized is sorted or written.  Returns
+    ``None`` when positions are not contiguous (use ``index_items``)."""
+    from pyspark.sql import Window
+
+    from faultline.session import DEFAULT_BROADCAST_ROWS, join_small
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"),
+                                        (F.max(pos_col) + 1).alias("_m"), F.min(pos_col).alias("_p0"))
+    ranged = materialize(sizes.repartitionByRange(*group_cols)
+                         .select("*", F.spark_partition_id().alias("_pp")))
+    # one row per partition: its total, its group count, and gaps found
+    per_pp = sorted(tuple(r) for r in ranged.groupBy("_pp").agg(
+        F.sum("_n").alias("t"), F.count(F.lit(1)).alias("g"),
+        F.count_if((F.col("_n") != F.col("_m")) | (F.col("_p0") != 0)).alias("bad")).collect())
+    if any(bad for *_, bad in per_pp):
+        return None
+    offs, total = {}, 0
+    for pp, t, _, _ in per_pp:
+        offs[pp] = total
+        total += int(t or 0)
+    groups = sum(int(g) for _, _, g, _ in per_pp)
+    n_pp = (per_pp[-1][0] + 1) if per_pp else 0
+    base = F.element_at(F.expr("array(" + ", ".join(f"{int(offs.get(i, 0))}L" for i in range(n_pp)) + ")"),
+                        F.col("_pp") + 1) if n_pp else F.lit(0)
+    # running sum inside each range partition (one task each), plus its offset
+    w = Window.partitionBy("_pp").orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.select(*group_cols, (base + F.coalesce(F.sum("_n").over(w), F.lit(0))).alias("_start"))
+    out = join_small(df, starts, group_cols, "inner", groups, max_broadcast_rows or DEFAULT_BROADCAST_ROWS)
+    return out.withColumn(idx, (F.col("_start") + F.col(pos_col)).cast("long")).drop("_start"), total
+
+
 def contiguous_bucket(idx: str, n: int, count: int) -> Column:
     """Part of ``idx`` when ``0..count-1`` is cut into ``n`` contiguous ranges
     of (near) equal size: ``floor(idx * n / count)`` in exact integer

@@ -13,6 +13,7 @@ from faultline.functions.text import BAD_OUTPUT_LIMIT, FAIL_THRESHOLD
 from faultline.operators.minimize import MinimizeResult, ddmin
 from faultline.operators.oracles import lines_test, records_test
 from faultline.operators.provenance import Trace
+from faultline.operators.sets import index_by_group
 from faultline.operators.trigrams import WeightRule, trigram_records
 from faultline.session import DEFAULT_BROADCAST_ROWS
 
@@ -35,13 +36,16 @@ def traced_records(lines: DataFrame, weight_rule=WeightRule(), limit: int = BAD_
     """Minimal set of trigram records among the records of traced lines."""
     tr = Trace(lines, weight_rule, limit, max_broadcast_rows)
     items = tr.forward_records().select(*RECORD_COLS)
-    return ddmin(items, records_test(threshold), ["line_id", "pos"],
-                 min_items=min_items, max_broadcast_rows=max_broadcast_rows)
+    return ddmin(items, records_test(threshold), ["line_id", "pos"], min_items=min_items,
+                 max_broadcast_rows=max_broadcast_rows,
+                 indexed=index_by_group(items, ["line_id"], "pos", max_broadcast_rows=max_broadcast_rows))
 
 
 def all_records(lines: DataFrame, weight_rule=WeightRule(), threshold: int = FAIL_THRESHOLD,
                 min_items: int = 1, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> MinimizeResult:
     """Minimal set of trigram records over all records."""
     items = trigram_records(lines, weight_rule).select(*RECORD_COLS)
-    return ddmin(items, records_test(threshold), ["line_id", "pos"],
-                 min_items=min_items, max_broadcast_rows=max_broadcast_rows)
+    # records are ordered by (line, pos): only per-line counts are sorted
+    return ddmin(items, records_test(threshold), ["line_id", "pos"], min_items=min_items,
+                 max_broadcast_rows=max_broadcast_rows,
+                 indexed=index_by_group(items, ["line_id"], "pos", max_broadcast_rows=max_broadcast_rows))

@@ -73,3 +73,19 @@ def test_complement_by_part(spark):
     df = spark.range(10).withColumnRenamed("id", "idx")
     out = sets.complement_by_part(df, sets.contiguous_bucket("idx", 3, 10), 1)
     assert vals(out, "idx") == [0, 1, 2, 3, 7, 8, 9]
+
+
+def test_index_by_group_equals_sorted_index(spark):
+    rnd = random.Random(3)
+    rows = [(g, p) for g in rnd.sample(range(500), 60) for p in range(rnd.randint(0, 9))]
+    df = spark.createDataFrame(rows, "g long, p int").repartition(5)
+    got, count = sets.index_by_group(df, ["g"], "p")
+    want, wcount = sets.index_items(df, ["g", "p"])
+    assert count == wcount == len(rows)
+    assert sorted(map(tuple, got.select("g", "p", "idx").collect())) == \
+        sorted(map(tuple, want.select("g", "p", "idx").collect()))
+
+
+def test_index_by_group_rejects_gaps(spark):
+    df = spark.createDataFrame([(1, 0), (1, 2), (2, 0)], "g long, p int")
+    assert sets.index_by_group(df, ["g"], "p") is None
