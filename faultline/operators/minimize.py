@@ -447,10 +447,13 @@ def ddmin(items: DataFrame, test, order_by: list[str],
     if callable(test) and not hasattr(test, "fails"):
         test = CallableTest(test)
     spark = items.sparkSession
+    given = indexed
     indexed, count = indexed if indexed is not None else index_items(items, order_by)
     if isinstance(test, SumThreshold) and split is None:
         iv, steps = _ddmin_batched(indexed, count, test, min_items, start_parts, max_broadcast_rows)
-        result = select_ranges(indexed, iv, "idx", max_broadcast_rows).drop("idx")
+        narrow = given.narrow(iv) if hasattr(given, "narrow") else None
+        source = indexed.where(narrow) if narrow is not None else indexed
+        result = select_ranges(source, iv, "idx", max_broadcast_rows).drop("idx")
         final = sum(ln for _, ln in iv)
     else:
         result, steps = _ddmin_general(indexed, count, test, split, min_items, start_parts)

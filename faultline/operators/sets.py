@@ -47,7 +47,7 @@ def index_items(df: DataFrame, order_by: list[str], idx: str = "idx") -> tuple[D
 
 
 def index_by_group(df: DataFrame, group_cols: list[str], pos_col: str, idx: str = "idx",
-                   max_broadcast_rows: int | None = None) -> tuple[DataFrame, int] | None:
+                   max_broadcast_rows: int | None = None) -> "GroupIndex | None":
     """Dense ``idx`` in ``(group, pos)`` order when every group's positions
     run ``0..m-1`` (the trigram records of a line): ``idx = start(group) +
     pos``.  Only the per-group counts are range-partitioned and materialised,
@@ -76,9 +76,37 @@ def index_by_group(df: DataFrame, group_cols: list[str], pos_col: str, idx: str
                         F.col("_pp") + 1) if n_pp else F.lit(0)
     # running sum inside each range partition (one task each), plus its offset
     w = Window.partitionBy("_pp").orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.select(*group_cols, (base + F.coalesce(F.sum("_n").over(w), F.lit(0))).alias("_start"))
-    out = join_small(df, starts, group_cols, "inner", groups, max_broadcast_rows or DEFAULT_BROADCAST_ROWS)
-    return out.withColumn(idx, (F.col("_start") + F.col(pos_col)).cast("long")).drop("_start"), total
+    starts = ranged.select(*group_cols, "_n",
+                           (base + F.coalesce(F.sum("_n").over(w), F.lit(0))).alias("_start"))
+    out = join_small(df, starts.drop("_n"), group_cols, "inner", groups,
+                     max_broadcast_rows or DEFAULT_BROADCAST_ROWS)
+    out = out.withColumn(idx, (F.col("_start") + F.col(pos_col)).cast("long")).drop("_start")
+    return GroupIndex(out, total, starts, group_cols)
+
+
+class GroupIndex(tuple):
+    """``(items_with_idx, count)`` from ``index_by_group``, plus ``narrow``:
+    for a few kept idx ranges, a filter on the group column that Catalyst can
+    push into the scan, so fetching a small result does not recompute every
+    item."""
+    NARROW_GROUPS = 10_000
+
+    def __new__(cls, frame, count, starts, group_cols):
+        obj = super().__new__(cls, (frame, count))
+        obj.starts, obj.group_cols = starts, group_cols
+        return obj
+
+    def narrow(self, iv) -> Column | None:
+        if len(self.group_cols) != 1 or not iv:
+            return None
+        hit = None
+        for s, ln in iv:
+            c = (F.col("_start") < s + ln) & (F.col("_start") + F.col("_n") > s)
+            hit = c if hit is None else hit | c
+        groups = self.starts.where(hit).select(self.group_cols[0]).limit(self.NARROW_GROUPS + 1).collect()
+        if len(groups) > self.NARROW_GROUPS:
+            return None
+        return F.col(self.group_cols[0]).isin([g[0] for g in groups])
 
 
 def contiguous_bucket(idx: str, n: int, count: int) -> Column:
