@@ -87,7 +87,10 @@ class Trace:
     def forward_records(self, within_bad: bool = False) -> DataFrame:
         """Records of the traced lines (L5).  ``within_bad=True`` keeps only
         those that feed a bad output."""
-        ids = self.back_line_ids()
-        recs = self.records_of_bad() if within_bad else self.records
-        return join_small(recs, ids, "line_id", "left_semi", self._lines_back_rows,
-                          self.max_broadcast_rows)
+        # select the traced lines first (one row per line), then explode only
+        # those: no record of an untraced line is produced or shuffled
+        recs = trigram_records(self.back_lines(), self.weight_rule)
+        if within_bad:
+            keys, n = self._bad_keys()
+            recs = join_small(recs, keys, "trigram", "left_semi", n, self.max_broadcast_rows)
+        return recs
