@@ -368,7 +368,23 @@ def _ddmin_batched(indexed, count, test: SumThreshold, min_items, start_parts, m
 
 # ----------------------------------------------------------------------------
 # general path
-def _ddmin_general(indexed, count, test, split, min_items, start_parts):
+def _first_failing(order, fails, concurrency: int):
+    """First element of ``order`` whose test fails.  Tests run as concurrent
+    Spark jobs in waves of ``concurrency`` (in order), so the answer is the
+    same as testing one by one and at most one wave is evaluated past it."""
+    if concurrency <= 1:
+        return next((i for i in order if fails(i)), None)
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=concurrency) as pool:
+        for start in range(0, len(order), concurrency):
+            wave = order[start:start + concurrency]
+            for i, bad in zip(wave, pool.map(fails, wave)):
+                if bad:
+                    return i
+    return None
+
+
+def _ddmin_general(indexed, count, test, split, min_items, start_parts, concurrency=4):
     steps: list[Step] = []
     t0 = time.perf_counter()
     cur, c = indexed, count
@@ -393,16 +409,18 @@ def _ddmin_general(indexed, count, test, split, min_items, start_parts):
         else:
             sizes = {k: part_bounds(k, n, c)[1] - part_bounds(k, n, c)[0] for k in range(n)}
         c0, n0, found = c, n, None
-        for i in range(n):
-            if 0 < sizes.get(i, 0) < c and test.fails(tagged.where(F.col("_b") == i).select(*cols)):
-                found = ("part", i)
-                break
+        order = [i for i in range(n) if 0 < sizes.get(i, 0) < c]
+        hit = _first_failing(order, lambda i: test.fails(tagged.where(F.col("_b") == i).select(*cols)),
+                             concurrency)
+        if hit is not None:
+            found = ("part", hit)
         if found is None and n > 2:
-            for j in range(n):
-                i = (j + offset) % n
-                if 0 < sizes.get(i, 0) < c and test.fails(tagged.where(F.col("_b") != i).select(*cols)):
-                    found = ("complement", i)
-                    break
+            order = [(j + offset) % n for j in range(n)]
+            order = [i for i in order if 0 < sizes.get(i, 0) < c]
+            hit = _first_failing(order, lambda i: test.fails(tagged.where(F.col("_b") != i).select(*cols)),
+                                 concurrency)
+            if hit is not None:
+                found = ("complement", hit)
         if found is None:
             if n >= c:
                 steps.append(Step(rnd, c, n, "done", int((time.perf_counter() - t0) * 1e6)))
@@ -433,7 +451,8 @@ def ddmin(items: DataFrame, test, order_by: list[str],
           split: Callable[[DataFrame, int], Column] | None = None,
           min_items: int = 1, start_parts: int = 2,
           max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-          indexed: tuple[DataFrame, int] | None = None) -> MinimizeResult:
+          indexed: tuple[DataFrame, int] | None = None,
+          test_concurrency: int = 4) -> MinimizeResult:
     """Minimal failing subset of ``items`` under ``test``.
 
     ``order_by`` fixes the item order (unique columns).  ``test`` is a
@@ -441,7 +460,8 @@ def ddmin(items: DataFrame, test, order_by: list[str],
     ``fails(df) -> bool``.  ``split(items_with_idx, n) -> bucket Column``
     replaces the default contiguous split (X2).  Stops at ``min_items``.
     ``indexed=(items_with_idx, count)`` supplies a ready dense ``idx`` in
-    ``order_by`` order (see ``sets.index_by_group``).
+    ``order_by`` order (see ``sets.index_by_group``).  Opaque tests run as
+    up to ``test_concurrency`` concurrent jobs per wave, first failure wins.
     Returns an empty DataFrame when the input does not fail.
     """
     if callable(test) and not hasattr(test, "fails"):
@@ -456,7 +476,8 @@ def ddmin(items: DataFrame, test, order_by: list[str],
         result = select_ranges(source, iv, "idx", max_broadcast_rows).drop("idx")
         final = sum(ln for _, ln in iv)
     else:
-        result, steps = _ddmin_general(indexed, count, test, split, min_items, start_parts)
+        result, steps = _ddmin_general(indexed, count, test, split, min_items, start_parts,
+                                       test_concurrency)
         final = steps[-1].n_items if steps and steps[-1].outcome == "done" else 0
     return MinimizeResult(result, _history(spark, steps), steps, final)
 
@@ -510,6 +531,9 @@ def minimize_all(items: DataFrame, test: SumThreshold, order_by: list[str],
     for sid, iv in enumerate(uniq):
         sel = select_ranges(indexed, list(iv), "idx", max_broadcast_rows).drop("idx")
         frames.append(sel.select(F.lit(sid).alias("set_id"), *sel.columns))
+    if not frames:
+        empty = indexed.limit(0).drop("idx")
+        return AllResult(empty.select(F.lit(0).alias("set_id"), *empty.columns), [])
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

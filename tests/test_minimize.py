@@ -166,3 +166,27 @@ def test_part_test_matrix(spark):
     got = sorted((r["bucket"], r["n_items"], r["part_fails"], r["complement_fails"]) for r in m.collect())
     # parts [0,4) [4,8) [8,12): culprits 1 and 9 are in parts 0 and 2
     assert got == [(0, 4, False, False), (1, 4, False, True), (2, 4, False, False)]
+
+
+def test_exhaustive_sets_are_failing_and_minimal(spark):
+    # any two of {1, 5, 9} reach the threshold: several minimal sets exist
+    items = [(i, "k", 5000 if i in (1, 5, 9) else 1) for i in range(16)]
+    res = mz.minimize_all(frame(spark, items), SumThreshold("trigram", "weight", 10000), ["id"])
+    rows = res.items.collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["set_id"], set()).add(r["id"])
+    assert found
+    by_id = {i: x for i, *_ in items for x in [next(y for y in items if y[0] == i)]}
+    for ids in found.values():
+        kept = [by_id[i] for i in ids]
+        assert py_fails(kept, 10000)
+        for drop in ids:
+            assert not py_fails([x for x in kept if x[0] != drop], 10000)
+        assert ids <= {1, 5, 9} and len(ids) == 2
+
+
+def test_exhaustive_not_failing(spark):
+    items = [(i, "k", 1) for i in range(10)]
+    res = mz.minimize_all(frame(spark, items), SumThreshold("trigram", "weight", 100), ["id"])
+    assert res.items.count() == 0 and res.sets == []
