@@ -153,11 +153,10 @@ def _candidate_rows(indexed: DataFrame, test: SumThreshold, max_bc: int) -> _Row
     return _Rows(rows, n_keys, False, n_hot > 0)
 
 
-def _round(rows: _Rows, n: int, c: int, t: int, offset: int, max_bc: int, want_all: bool = False):
+def _round(rows: _Rows, n: int, c: int, t: int, offset: int, max_bc: int) -> dict:
     """One grouped job over the candidate rows.  Returns a dict with
     ``part`` (first failing part), ``comp`` (first failing complement in
-    rotation order, as a bucket id) and ``whole``; with ``want_all`` also
-    the lists ``parts`` and ``comps_ok`` (complements that pass)."""
+    rotation order, as a bucket id) and ``whole``."""
     b = contiguous_bucket("cur", n, c)
     S = rows.df.groupBy(b.alias("b"), F.col("k")).agg(F.sum("w").alias("s"))
     T = S.groupBy("k").agg(F.sum("s").alias("T"))
@@ -168,38 +167,16 @@ def _round(rows: _Rows, n: int, c: int, t: int, offset: int, max_bc: int, want_a
         ST = join_small(S, T, "k", "inner", rows.n_keys, max_bc).select("k", r.alias("r"), "s", "T")
         # a present (bucket, key) whose removal leaves T - s >= t
         out.append(ST.where(F.col("s") <= F.col("T") - t).select(F.lit("comp").alias("kind"), F.col("r").alias("v")))
-        # keys with T >= t fail every complement except the buckets that block them
+        # keys with T >= t fail every complement except the buckets that block
+        # them: the first unblocked rotation index per key is a "first gap"
         blocked = ST.where((F.col("T") >= t) & (F.col("s") > F.col("T") - t)).select("k", "r")
-        if not want_all:
-            starts = blocked.select("k", (F.col("r") + 1).alias("r")).unionByName(
-                T.where(F.col("T") >= t).select("k", F.lit(0).cast("long").alias("r")))
-            gaps = starts.where(F.col("r") < n).join(blocked, ["k", "r"], "left_anti")
-            out.append(gaps.select(F.lit("comp").alias("kind"), F.col("r").alias("v")))
-        else:
-            n_hot = T.where(F.col("T") >= t).agg(F.count(F.lit(1)).alias("h"))
-            per_r = blocked.groupBy("r").agg(F.count(F.lit(1)).alias("cnt"))
-            # complements blocked by every hot key: candidates for "passes"
-            all_blocked = per_r.join(F.broadcast(n_hot), F.col("cnt") == F.col("h"), "left_semi")
-            out.append(all_blocked.select(F.lit("okcand").alias("kind"), F.col("r").alias("v")))
-            out.append(n_hot.select(F.lit("nhot").alias("kind"), F.col("h").alias("v")))
+        starts = blocked.select("k", (F.col("r") + 1).alias("r")).unionByName(
+            T.where(F.col("T") >= t).select("k", F.lit(0).cast("long").alias("r")))
+        gaps = starts.where(F.col("r") < n).join(blocked, ["k", "r"], "left_anti")
+        out.append(gaps.select(F.lit("comp").alias("kind"), F.col("r").alias("v")))
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)
-    if want_all:
-        got = res.collect()
-        parts = sorted({int(x["v"]) for x in got if x["kind"] == "part"})
-        comp_fail = {int(x["v"]) for x in got if x["kind"] == "comp"}
-        nhot = [int(x["v"]) for x in got if x["kind"] == "nhot"]
-        if n > 2:
-            if nhot and nhot[0] > 0:
-                ok = {int(x["v"]) for x in got if x["kind"] == "okcand"} - comp_fail
-                comps = [r for r in range(n) if r not in ok]
-            else:
-                comps = sorted(comp_fail)
-        else:
-            comps = []
-        return {"whole": any(x["kind"] == "whole" for x in got), "parts": parts,
-                "comps": [(r + offset) % n for r in comps]}
     agg = res.groupBy("kind").agg(F.min("v").alias("v")).collect()
     d = {x["kind"]: int(x["v"]) for x in agg}
     if "comp" in d:
@@ -482,50 +459,122 @@ def ddmin(items: DataFrame, test, order_by: list[str],
     return MinimizeResult(result, _history(spark, steps), steps, final)
 
 
+def _level_round(rows: DataFrame, level, t: int, max_bc: int, n_keys: int) -> dict:
+    """Test every part and complement of every branch of a level in ONE
+    grouped job.  ``rows`` is ``(br, cur, k, w)``; ``level[br] = (iv, c, n,
+    offset)``.  Returns ``{br: {"whole", "parts", "comps"}}``."""
+    n_arr = "array(" + ", ".join(f"{int(st[2])}L" for st in level) + ")"
+    c_arr = "array(" + ", ".join(f"{int(max(st[1], 1))}L" for st in level) + ")"
+    n_of, c_of = f"element_at({n_arr}, CAST(br + 1 AS INT))", f"element_at({c_arr}, CAST(br + 1 AS INT))"
+    if max(st[1] * st[2] for st in level) <= (1 << 62):
+        b = F.expr(f"(cur * {n_of}) DIV {c_of}")
+    else:
+        b = F.expr(f"CAST((CAST(cur AS DECIMAL(38,0)) * {n_of}) DIV {c_of} AS BIGINT)")
+    S = rows.groupBy("br", b.cast("long").alias("b"), "k").agg(F.sum("w").alias("s"))
+    T = S.groupBy("br", "k").agg(F.sum("s").alias("T"))
+    ST = join_small(S, T, ["br", "k"], "inner", n_keys * len(level), max_bc)
+    blocked = ST.where((F.col("T") >= t) & (F.col("s") > F.col("T") - t))
+    n_hot = T.where(F.col("T") >= t).groupBy("br").agg(F.count(F.lit(1)).alias("h"))
+    per_b = blocked.groupBy("br", "b").agg(F.count(F.lit(1)).alias("cnt"))
+    out = [
+        S.where(F.col("s") >= t).select("br", F.lit("part").alias("kind"), F.col("b").alias("v")),
+        n_hot.select("br", F.lit("nhot").alias("kind"), F.col("h").alias("v")),
+        ST.where(F.col("s") <= F.col("T") - t).select("br", F.lit("comp").alias("kind"), F.col("b").alias("v")),
+        per_b.join(n_hot, "br").where(F.col("cnt") == F.col("h"))
+             .select("br", F.lit("okcand").alias("kind"), F.col("b").alias("v")),
+    ]
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    got: dict = {}
+    for r in res.distinct().collect():
+        got.setdefault(int(r["br"]), []).append((r["kind"], int(r["v"])))
+    result = {}
+    for br, (iv, c, n, offset) in enumerate(level):
+        items = got.get(br, [])
+        nhot = next((v for kind, v in items if kind == "nhot"), 0)
+        parts = sorted({v for kind, v in items if kind == "part"})
+        comps = []
+        if n > 2:
+            comp_fail = {v for kind, v in items if kind == "comp"}
+            if nhot > 0:
+                ok = {v for kind, v in items if kind == "okcand"} - comp_fail
+                comps = [i for i in range(n) if i not in ok]
+            else:
+                comps = sorted(comp_fail)
+        result[br] = {"whole": nhot > 0, "parts": parts, "comps": comps}
+    return result
+
+
 def minimize_all(items: DataFrame, test: SumThreshold, order_by: list[str],
                  min_items: int = 1, start_parts: int = 2,
                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> AllResult:
     """Exhaustive ddmin (D3): follow every failing part (and, when no part
     fails, every failing complement) as its own branch; return each distinct
-    minimal set with a ``set_id``.  Branch states are deduplicated."""
+    minimal set with a ``set_id``.
+
+    Branches are processed level by level: all branches of a level share one
+    DataFrame of candidate rows tagged with a branch id, are tested in one
+    grouped job, and the next level's rows are built in one more job.  The
+    driver holds only branch metadata (kept ranges, ``n``, offset); branch
+    states are deduplicated, so a set reached twice is explored once."""
     spark = items.sparkSession
     indexed, count = index_items(items, order_by)
     t = test.threshold
     rows0 = _candidate_rows(indexed, test, max_broadcast_rows) if count else None
     if not count or not rows0.any_fails:
-        empty = indexed.limit(0).drop("idx").withColumn("set_id", F.lit(0).cast("int"))
-        return AllResult(empty.select("set_id", *[c for c in empty.columns if c != "set_id"]), [])
-    stack = [(rows0, [(0, count)], count, min(max(2, start_parts), max(count, 2)), 0)]
-    seen, results = set(), []
-    while stack:
-        rows, iv, c, n, offset = stack.pop()
-        state = (tuple(iv), n)
-        if state in seen:
-            continue
-        seen.add(state)
-        if c <= min_items:
-            results.append(iv)
-            continue
-        res = _round(rows, n, c, t, offset, max_broadcast_rows, want_all=True)
-        if not res["whole"]:
-            continue
-        pushed = []
-        for k in res["parts"]:
-            lo, hi = part_bounds(k, n, c)
-            pushed.append((_keep_part(rows, lo, hi), _cut(iv, lo, hi), hi - lo, 2, 0))
-        if not pushed:
-            for i in res["comps"]:
-                lo, hi = part_bounds(i, n, c)
-                nc = c - (hi - lo)
-                pushed.append((_drop_part(rows, lo, hi), _drop(iv, lo, hi), nc,
-                               min(max(n - 1, 2), max(nc, 2)), i))
-        if not pushed:
-            if n >= c:
-                results.append(iv)
-            else:
-                stack.append((rows, iv, c, min(c, 2 * n), offset))
-            continue
-        stack.extend(reversed(pushed))
+        empty = indexed.limit(0).drop("idx")
+        return AllResult(empty.select(F.lit(0).alias("set_id"), *empty.columns), [])
+    level = [([(0, count)], count, min(max(2, start_parts), max(count, 2)), 0)]
+    rows = rows0.df.select(F.lit(0).cast("long").alias("br"), "cur", "k", "w")
+    seen = {(tuple(level[0][0]), level[0][2])}
+    results = []
+    while level:
+        active = [br for br, st in enumerate(level) if st[1] > min_items]
+        results += [st[0] for st in level if st[1] <= min_items]
+        if not active:
+            break
+        res = _level_round(rows, level, t, max_broadcast_rows, max(rows0.n_keys, 1))
+        children = []          # (parent, kind, lo, hi, state)
+        for br in active:
+            iv, c, n, offset = level[br]
+            r = res[br]
+            if not r["whole"]:
+                continue
+            pushed = []
+            for k in r["parts"]:
+                lo, hi = part_bounds(k, n, c)
+                pushed.append((br, "part", lo, hi, (_cut(iv, lo, hi), hi - lo, 2, 0)))
+            if not pushed:
+                for i in r["comps"]:
+                    lo, hi = part_bounds(i, n, c)
+                    nc = c - (hi - lo)
+                    pushed.append((br, "comp", lo, hi,
+                                   (_drop(iv, lo, hi), nc, min(max(n - 1, 2), max(nc, 2)), i)))
+            if not pushed:
+                if n >= c:
+                    results.append(iv)
+                else:
+                    pushed.append((br, "same", 0, c, (iv, c, min(c, 2 * n), offset)))
+            for ch in pushed:
+                key = (tuple(ch[4][0]), ch[4][2])
+                if key not in seen:
+                    seen.add(key)
+                    children.append(ch)
+        if not children:
+            break
+        table = spark.createDataFrame(
+            [(p, j, kind, lo, hi) for j, (p, kind, lo, hi, _) in enumerate(children)],
+            "parent long, child long, kind string, lo long, hi long")
+        joined = join_small(rows, table.withColumnRenamed("parent", "br"), "br", "inner",
+                            len(children), max_broadcast_rows)
+        cur, lo, hi, kind = F.col("cur"), F.col("lo"), F.col("hi"), F.col("kind")
+        inside = (cur >= lo) & (cur < hi)
+        keep = F.when(kind == "part", inside).when(kind == "comp", ~inside).otherwise(F.lit(True))
+        moved = (F.when(kind == "part", cur - lo)
+                 .when((kind == "comp") & (cur >= hi), cur - (hi - lo)).otherwise(cur))
+        rows = materialize(joined.where(keep).select(F.col("child").alias("br"), moved.alias("cur"), "k", "w"))
+        level = [ch[4] for ch in children]
     uniq = sorted({tuple(iv) for iv in results})
     frames = []
     for sid, iv in enumerate(uniq):

@@ -190,3 +190,52 @@ def test_exhaustive_not_failing(spark):
     items = [(i, "k", 1) for i in range(10)]
     res = mz.minimize_all(frame(spark, items), SumThreshold("trigram", "weight", 100), ["id"])
     assert res.items.count() == 0 and res.sets == []
+
+
+def py_ddmin_all(items, t, min_items=1):
+    """Plain-Python exhaustive ddmin with deduplicated branch states."""
+    ids = lambda xs: tuple(x[0] for x in xs)
+    level = [(list(items), min(2, max(len(items), 2)), 0)]
+    seen, results = {(ids(items), level[0][1])}, set()
+    while level:
+        nxt = []
+        for cur, n, off in level:
+            c = len(cur)
+            if c <= min_items:
+                results.add(ids(cur))
+                continue
+            if not py_fails(cur, t):
+                continue
+            parts = [cur[slice(*py_bounds(k, n, c))] for k in range(n)]
+            pushed = [(p, 2, 0) for p in parts if py_fails(p, t)]
+            if not pushed and n > 2:
+                for i in range(n):
+                    rest = [x for k, p in enumerate(parts) if k != i for x in p]
+                    if py_fails(rest, t):
+                        pushed.append((rest, min(max(n - 1, 2), max(len(rest), 2)), i))
+            if not pushed:
+                if n >= c:
+                    results.add(ids(cur))
+                else:
+                    pushed.append((cur, min(c, 2 * n), off))
+            for ch in pushed:
+                key = (ids(ch[0]), ch[1])
+                if key not in seen:
+                    seen.add(key)
+                    nxt.append(ch)
+        level = nxt
+    return sorted(sorted(r) for r in results)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_exhaustive_matches_python_model(spark, seed):
+    rnd = random.Random(100 + seed)
+    n = rnd.randint(6, 24)
+    heavy = set(rnd.sample(range(n), 3))
+    items = [(i, "k", 5 if i in heavy else rnd.choice([0, 1])) for i in range(n)]
+    t = 10
+    res = mz.minimize_all(frame(spark, items), SumThreshold("trigram", "weight", t), ["id"])
+    got = {}
+    for r in res.items.collect():
+        got.setdefault(r["set_id"], []).append(r["id"])
+    assert sorted(sorted(v) for v in got.values()) == py_ddmin_all(items, t)
