@@ -472,22 +472,26 @@ def _level_round(rows: DataFrame, level, t: int, max_bc: int, n_keys: int) -> di
         b = F.expr(f"CAST((CAST(cur AS DECIMAL(38,0)) * {n_of}) DIV {c_of} AS BIGINT)")
     S = rows.groupBy("br", b.cast("long").alias("b"), "k").agg(F.sum("w").alias("s"))
     T = S.groupBy("br", "k").agg(F.sum("s").alias("T"))
-    ST = join_small(S, T, ["br", "k"], "inner", n_keys * len(level), max_bc)
-    blocked = ST.where((F.col("T") >= t) & (F.col("s") > F.col("T") - t))
     n_hot = T.where(F.col("T") >= t).groupBy("br").agg(F.count(F.lit(1)).alias("h"))
-    per_b = blocked.groupBy("br", "b").agg(F.count(F.lit(1)).alias("cnt"))
     out = [
         S.where(F.col("s") >= t).select("br", F.lit("part").alias("kind"), F.col("b").alias("v")),
         n_hot.select("br", F.lit("nhot").alias("kind"), F.col("h").alias("v")),
-        ST.where(F.col("s") <= F.col("T") - t).select("br", F.lit("comp").alias("kind"), F.col("b").alias("v")),
-        per_b.join(n_hot, "br").where(F.col("cnt") == F.col("h"))
-             .select("br", F.lit("okcand").alias("kind"), F.col("b").alias("v")),
     ]
+    if any(st[2] > 2 for st in level):
+        # complements only matter for branches split in more than two parts
+        ST = join_small(S, T, ["br", "k"], "inner", n_keys * len(level), max_bc)
+        blocked = ST.where((F.col("T") >= t) & (F.col("s") > F.col("T") - t))
+        per_b = blocked.groupBy("br", "b").agg(F.count(F.lit(1)).alias("cnt"))
+        out += [
+            ST.where(F.col("s") <= F.col("T") - t).select("br", F.lit("comp").alias("kind"), F.col("b").alias("v")),
+            per_b.join(n_hot, "br").where(F.col("cnt") == F.col("h"))
+                 .select("br", F.lit("okcand").alias("kind"), F.col("b").alias("v")),
+        ]
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)
     got: dict = {}
-    for r in res.distinct().collect():
+    for r in res.collect():
         got.setdefault(int(r["br"]), []).append((r["kind"], int(r["v"])))
     result = {}
     for br, (iv, c, n, offset) in enumerate(level):
