@@ -2,7 +2,6 @@
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql.utils import AnalysisException  # noqa: F401
 
 from faultline.operators.trigrams import (
     WeightRule, doc_trigram_counts, parse_lines, quarantined, tokenize, trigram_records, trigram_totals,
