@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.session import materialize
+from faultline.session import materialize, spread
 
 _LONG_MAX = (1 << 63) - 1
 
@@ -43,7 +43,10 @@ def index_items(df: DataFrame, order_by: list[str], idx: str = "idx") -> tuple[D
     shift = F.element_at(F.expr("array(" + ", ".join(f"{int(b)}L" for b in base) + ")"),
                          F.col("_pid") + 1) if n_parts else F.lit(0)
     indexed = sorted_rows.withColumn(idx, (F.col("_mid") + shift).cast("long")).drop("_pid", "_mid")
-    return indexed, int(count)
+    # the sort's output may have been coalesced into few tasks (small in bytes,
+    # but each item may expand, e.g. a line into its trigrams): spread it
+    # again.  Checking the split count is cheap here: the rows are checkpointed.
+    return spread(indexed), int(count)
 
 
 def index_by_group(df: DataFrame, group_cols: list[str], pos_col: str, idx: str = "idx",

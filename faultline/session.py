@@ -89,7 +89,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread a scan that has fewer input splits than the session has task
     slots (e.g. one large row group) round-robin over the slots, so the
     per-row text work is parallel.  A scan that is already split widely (the
-    normal case on a large input) is returned unchanged: no shuffle."""
+    normal case on a large input) is returned unchanged: no shuffle.
+
+    Use it on a scan or on checkpointed data only: asking a plan that holds
+    a shuffle for its partition count makes AQE run that shuffle."""
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     have = df.rdd.getNumPartitions()
     return df.repartition(want) if have < want else df

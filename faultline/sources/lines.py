@@ -43,9 +43,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines_from_table(df: DataFrame, id_col: str, name_cols: list[str], text_col: str) -> DataFrame:
-    """Rows of a table -> ``(line_id, line)`` with ``line = name:...:text``."""
+    """Rows of a table -> ``(line_id, line)`` with ``line = name:...:text``.
+    For a table scan with fewer splits than task slots, pass it through
+    ``session.spread`` first."""
     parts = [F.col(c).cast("string") for c in name_cols] + [F.col(text_col)]
-    return spread(df.select(id_col, *name_cols, text_col)).select(F.col(id_col).cast("long").alias("line_id"),
+    return df.select(F.col(id_col).cast("long").alias("line_id"),
                      F.concat_ws(NAME_SEPARATOR, *parts).alias("line"))
 
 
