@@ -34,6 +34,8 @@ class Trace:
     once and materialised, its row count is kept for the broadcast decision.
     """
 
+    PUSHDOWN_IDS = 10_000
+
     def __init__(self, lines: DataFrame, weight_rule=WeightRule(), limit: int = BAD_OUTPUT_LIMIT,
                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS):
         self.lines = lines
@@ -78,8 +80,15 @@ class Trace:
         return self._lines_back
 
     def back_lines(self) -> DataFrame:
-        """``(line_id, line)``: the traced lines themselves."""
+        """``(line_id, line)``: the traced lines themselves.
+
+        Up to ``PUSHDOWN_IDS`` traced ids become an ``IN`` filter, which
+        Catalyst pushes into the scan (Parquet skips row groups outside the
+        ids); more ids use a size-checked semi join."""
         ids = self.back_line_ids()
+        if self._lines_back_rows <= self.PUSHDOWN_IDS:
+            vals = [r[0] for r in ids.collect()]
+            return self.lines.where(F.col("line_id").isin(vals))
         return join_small(self.lines, ids, "line_id", "left_semi", self._lines_back_rows,
                           self.max_broadcast_rows)
 
