@@ -604,7 +604,9 @@ def part_test_matrix(items: DataFrame, test: SumThreshold, order_by: list[str],
     b = contiguous_bucket("cur", n, count)
     S = rows.df.groupBy(b.alias("bucket"), F.col("k")).agg(F.sum("w").alias("s"))
     T = S.groupBy("k").agg(F.sum("s").alias("T"))
-    n_hot = T.where(F.col("T") >= t).count()
+    # with non-negative weights the candidate keys are exactly the keys
+    # reaching t over all items; otherwise count them
+    n_hot = rows.n_keys if rows.nonneg else T.where(F.col("T") >= t).count()
     ST = join_small(S, T, "k", "inner", rows.n_keys, max_broadcast_rows)
     per_b = ST.groupBy("bucket").agg(
         F.max(F.col("s") >= t).alias("_pf"),
