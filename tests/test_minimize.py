@@ -239,3 +239,37 @@ def test_exhaustive_matches_python_model(spark, seed):
     for r in res.items.collect():
         got.setdefault(r["set_id"], []).append(r["id"])
     assert sorted(sorted(v) for v in got.values()) == py_ddmin_all(items, t)
+
+
+def test_range_bookkeeping():
+    iv = [(0, 10)]
+    iv = mz._drop(iv, 3, 5)            # remove current 3,4
+    assert iv == [(0, 3), (5, 5)]
+    iv = mz._cut(iv, 2, 6)             # current positions 2..5 -> original 2,5,6,7
+    assert iv == [(2, 1), (5, 3)]
+    assert mz._drop([(0, 4), (4, 4)], 0, 0) == [(0, 8)]
+
+
+@pytest.mark.parametrize("n_ranges", [5, 100])
+def test_select_ranges_filter_and_block_join(spark, n_ranges):
+    rnd = random.Random(n_ranges)
+    starts = sorted(rnd.sample(range(0, 200_000, 10), n_ranges))
+    iv = [(s, rnd.randint(1, 9)) for s in starts]
+    df = spark.range(200_000).withColumnRenamed("id", "idx")
+    got = sorted(r["idx"] for r in mz.select_ranges(df, iv).collect())
+    want = sorted(i for s, ln in iv for i in range(s, s + ln))
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_general_path_matches_model(spark, seed):
+    rnd = random.Random(200 + seed)
+    n = rnd.randint(8, 30)
+    heavy = set(rnd.sample(range(n), rnd.randint(2, 3)))
+    items = [(i, "k", 5 if i in heavy else rnd.choice([0, 1])) for i in range(n)]
+    t = 5 * len(heavy)
+    st = SumThreshold("trigram", "weight", t)
+    res = mz.ddmin(frame(spark, items), CallableTest(st.fails), ["id"], test_concurrency=2)
+    want_ids, want_steps = py_ddmin(items, t)
+    assert sorted(r["id"] for r in res.items.collect()) == want_ids
+    assert [s.outcome for s in res.steps] == want_steps
