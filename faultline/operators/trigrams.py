@@ -60,9 +60,12 @@ def parse_lines(lines: DataFrame, line_col: str = "line", on_malformed: str = "f
     line = F.col(line_col)
     ok = has_name(line)
     if on_malformed == "fail":
-        doc = F.when(line.isNull(), F.lit(None)).when(ok, doc_of(line)).otherwise(
-            F.raise_error(F.concat(F.lit("line without a ':' separator: "), F.left(line, F.lit(200)))))
-        return lines.withColumn("doc", doc.cast("string")).withColumn("contents", contents_of(line))
+        # both columns carry the check, so any use of either fails (column
+        # pruning would drop a check kept in an unused column)
+        err = F.raise_error(F.concat(F.lit("line without a ':' separator: "), F.left(line, F.lit(200))))
+        doc = F.when(line.isNull(), F.lit(None)).when(ok, doc_of(line)).otherwise(err)
+        contents = F.when(line.isNull(), F.lit(None)).when(ok, contents_of(line)).otherwise(err)
+        return lines.withColumn("doc", doc.cast("string")).withColumn("contents", contents.cast("string"))
     if on_malformed == "quarantine":
         return (lines
                 .withColumn("malformed", line.isNotNull() & ~ok)

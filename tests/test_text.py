@@ -53,6 +53,11 @@ def test_malformed_fails_by_default(lines_df):
     assert "separator" in str(e.value) or isinstance(e.value, PySparkException)
 
 
+def test_malformed_fails_tokenize_too(lines_df):
+    with pytest.raises(Exception):
+        tokenize(lines_df(["d:a b", "no colon here at all"])).collect()
+
+
 def test_malformed_quarantine(lines_df):
     parsed = parse_lines(lines_df(["no colon here at all", "d:a b c"]), on_malformed="quarantine")
     assert [r["line"] for r in quarantined(parsed).collect()] == ["no colon here at all"]
