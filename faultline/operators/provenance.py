@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import BAD_OUTPUT_LIMIT, output_id
 from faultline.operators.trigrams import WeightRule, trigram_records, trigram_totals
-from faultline.session import DEFAULT_BROADCAST_ROWS, join_small, materialize
+from faultline.session import DEFAULT_BROADCAST_ROWS, in_list, join_small, materialize
 
 
 def outputs_with_id(totals: DataFrame, key: str = "trigram") -> DataFrame:
@@ -87,8 +87,7 @@ class Trace:
         ids); more ids use a size-checked semi join."""
         ids = self.back_line_ids()
         if self._lines_back_rows <= self.PUSHDOWN_IDS:
-            vals = [r[0] for r in ids.collect()]
-            return self.lines.where(F.col("line_id").isin(vals))
+            return self.lines.where(in_list("line_id", [r[0] for r in ids.collect()]))
         return join_small(self.lines, ids, "line_id", "left_semi", self._lines_back_rows,
                           self.max_broadcast_rows)
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.session import materialize, spread
+from faultline.session import in_list, materialize, spread
 
 _LONG_MAX = (1 << 63) - 1
 
@@ -109,7 +109,7 @@ class GroupIndex(tuple):
         groups = self.starts.where(hit).select(self.group_cols[0]).limit(self.NARROW_GROUPS + 1).collect()
         if len(groups) > self.NARROW_GROUPS:
             return None
-        return F.col(self.group_cols[0]).isin([g[0] for g in groups])
+        return in_list(self.group_cols[0], [g[0] for g in groups])
 
 
 def contiguous_bucket(idx: str, n: int, count: int) -> Column:

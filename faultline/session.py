@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows a side may hold before we stop broadcasting it.  Every broadcast in the
@@ -96,3 +96,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     have = df.rdd.getNumPartitions()
     return df.repartition(want) if have < want else df
+
+
+def in_list(col: str, values) -> Column:
+    """``col IN (values)`` built in one call (one column per literal would
+    cost a driver round trip each).  Integer ids are inlined; other types
+    fall back to ``isin``."""
+    vals = list(values)
+    if vals and all(isinstance(v, int) and not isinstance(v, bool) for v in vals):
+        return F.expr(f"`{col}` IN (" + ", ".join(f"{int(v)}L" for v in vals) + ")")
+    return F.col(col).isin(vals)
