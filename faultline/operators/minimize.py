@@ -92,11 +92,9 @@ def select_ranges(indexed: DataFrame, iv, idx: str = "idx",
         return indexed.limit(0)
     col = F.col(idx)
     if len(iv) <= _FILTER_INTERVALS:
-        cond = None
-        for s, ln in iv:
-            c = (col >= s) & (col < s + ln)
-            cond = c if cond is None else cond | c
-        return indexed.where(cond)
+        # one expression call for the whole range filter
+        cond = " OR ".join(f"(`{idx}` >= {int(s)}L AND `{idx}` < {int(s + ln)}L)" for s, ln in iv)
+        return indexed.where(F.expr(cond))
     spark = indexed.sparkSession
     ranges = spark.createDataFrame([(int(s), int(s + ln)) for s, ln in iv], "_lo long, _hi long")
     blocks = ranges.select("_lo", "_hi", F.explode(F.sequence(
