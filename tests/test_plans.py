@@ -28,3 +28,12 @@ def test_trace_shuffles_when_bad_set_too_large(spark):
     tr = Trace(fixture_lines(spark, SF), WeightRule(doc_pattern="src7:147"), limit=0, max_broadcast_rows=10)
     p = plan(tr.records_of_bad().hint("no_broadcast_hash"))
     assert "SortMergeJoin" in p or "ShuffledHashJoin" in p or "AdaptiveSparkPlan" in p
+
+
+def test_trigram_plan_stays_in_codegen(spark):
+    p = plan(trigram_records(fixture_lines(spark, SF)))
+    # lambdas (transform / filter) fall back from codegen; a plain explode
+    # lets the optimizer infer a size filter that re-splits per element
+    assert "lambdafunction" not in p
+    assert "Generate posexplode" in p and ", true, [pos" in p
+    assert "size(filter(split" not in p and "size(array_remove(split" not in p
