@@ -48,6 +48,7 @@ class Trace:
         self._bad_rows = None
         self._lines_back = None
         self._lines_back_rows = None
+        self._back_lines = None
 
     # -- backward ---------------------------------------------------------
     @property
@@ -85,11 +86,14 @@ class Trace:
         Up to ``PUSHDOWN_IDS`` traced ids become an ``IN`` filter, which
         Catalyst pushes into the scan (Parquet skips row groups outside the
         ids); more ids use a size-checked semi join."""
-        ids = self.back_line_ids()
-        if self._lines_back_rows <= self.PUSHDOWN_IDS:
-            return self.lines.where(in_list("line_id", [r[0] for r in ids.collect()]))
-        return join_small(self.lines, ids, "line_id", "left_semi", self._lines_back_rows,
-                          self.max_broadcast_rows)
+        if self._back_lines is None:
+            ids = self.back_line_ids()
+            if self._lines_back_rows <= self.PUSHDOWN_IDS:
+                self._back_lines = self.lines.where(in_list("line_id", [r[0] for r in ids.collect()]))
+            else:
+                self._back_lines = join_small(self.lines, ids, "line_id", "left_semi",
+                                              self._lines_back_rows, self.max_broadcast_rows)
+        return self._back_lines
 
     # -- forward ----------------------------------------------------------
     def forward_records(self, within_bad: bool = False) -> DataFrame:
