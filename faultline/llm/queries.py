@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_conversations, read_back
 from .common import read_table
+from .decontaminate import find_benchmark
 from .url_filters import judge_urls
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -32,12 +33,19 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_benchmark(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(read_table(spark, sf_dir, "pages"), rules, keep=("page_id",))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op7_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op5_decontaminate, op7_url_filters)}
 
 ORACLE_SQL = {
     # formatted_chars: each turn's markers, and one more character for each (escaped) control string in its text
@@ -55,6 +63,25 @@ ORACLE_SQL = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(n)::BIGINT AS formatted_chars
         FROM sized GROUP BY conv_id""",
+    "op5_decontaminate": r"""
+        WITH split(kind, id, n, words) AS (
+            SELECT kind, id, row_number() OVER (), regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+            FROM (SELECT 'doc' AS kind, doc_id::VARCHAR AS id, coalesce(text, '') AS text FROM documents
+                  UNION ALL SELECT 'item', coalesce(item_id::VARCHAR, 'null'), coalesce(text, '') FROM benchmark)),
+        windows AS (
+            SELECT DISTINCT id, least(13, len(words)) AS size, array_to_string(words[i:i + least(13, len(words)) - 1], ' ') AS w
+            FROM (SELECT *, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS i FROM split WHERE kind = 'item' AND len(words) > 0)),
+        places AS (
+            SELECT n, i, s.size, array_to_string(words[i:i + s.size - 1], ' ') AS w
+            FROM (SELECT d.*, sizes.size, unnest(range(1, len(words) - sizes.size + 2)) AS i
+                  FROM split d, (SELECT DISTINCT size FROM windows) sizes WHERE kind = 'doc') s),
+        found AS (SELECT p.n, p.i, p.size, q.id FROM places p JOIN windows q ON p.size = q.size AND p.w = q.w),
+        hits AS (SELECT n, count(DISTINCT k) AS n_hit FROM (SELECT n, unnest(range(i, i + size)) AS k FROM found) GROUP BY n),
+        listed AS (SELECT n, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT n, id FROM found) GROUP BY n)
+        SELECT id::BIGINT AS doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+        FROM split LEFT JOIN hits USING (n) LEFT JOIN listed USING (n) WHERE kind = 'doc'""",
     "op7_url_filters": r"""
         WITH rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
             ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
