@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lang_id
 from .chat_format import format_conversations, read_back
-from .common import read_table
+from .common import fold, read_table
 from .decontaminate import find_benchmark
 from .url_filters import judge_urls
 
@@ -45,7 +46,14 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), rules, keep=("page_id",))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op5_decontaminate, op7_url_filters)}
+def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    prototypes = lang_id.learn(docs.where(fold("doc_id", 3) != 1))
+    return (lang_id.identify(docs.select("doc_id", "text"), prototypes)
+            .select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op5_decontaminate, op7_url_filters, op10_lang_id)}
 
 ORACLE_SQL = {
     # formatted_chars: each turn's markers, and one more character for each (escaped) control string in its text
