@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from . import lang_id
+from .bpe import encode_texts
 from .chat_format import format_conversations, read_back
 from .common import fold, read_table
 from .decontaminate import find_benchmark
@@ -34,6 +37,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return encoded.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_benchmark(docs, read_table(spark, sf_dir, "benchmark"))
@@ -53,7 +62,7 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op5_decontaminate, op7_url_filters, op10_lang_id)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op4_bpe, op5_decontaminate, op7_url_filters, op10_lang_id)}
 
 ORACLE_SQL = {
     # formatted_chars: each turn's markers, and one more character for each (escaped) control string in its text
