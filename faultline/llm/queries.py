@@ -16,6 +16,7 @@ from .bpe import encode_texts
 from .chat_format import format_conversations, read_back
 from .common import fold, read_table
 from .decontaminate import find_benchmark
+from .token_output import new_folder, read_documents, write_tokens
 from .url_filters import judge_urls
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -50,6 +51,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark)
+    write_tokens(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return read_documents(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(read_table(spark, sf_dir, "pages"), rules, keep=("page_id",))
@@ -62,7 +69,7 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op4_bpe, op5_decontaminate, op7_url_filters, op10_lang_id)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op4_bpe, op5_decontaminate, op6_token_output, op7_url_filters, op10_lang_id)}
 
 ORACLE_SQL = {
     # formatted_chars: each turn's markers, and one more character for each (escaped) control string in its text
