@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import html_text, lang_id
+from . import ann, html_text, lang_id
 from .bpe import encode_texts
 from .chat_format import format_conversations, read_back
 from .common import fold, read_table
@@ -62,6 +62,11 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), rules, keep=("page_id",))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(ann.build_index(rows), rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = html_text.main_text(pages, html_text.learn(pages))
@@ -75,7 +80,7 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op4_bpe, op5_decontaminate, op6_token_output, op7_url_filters, op9_html_text, op10_lang_id)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op4_bpe, op5_decontaminate, op6_token_output, op7_url_filters, op8_ann, op9_html_text, op10_lang_id)}
 
 ORACLE_SQL = {
     # formatted_chars: each turn's markers, and one more character for each (escaped) control string in its text
