@@ -6,6 +6,8 @@ of its contract from the operator's own output.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ import public_tokenizers
 from . import ann, html_text, lang_id
 from .bpe import encode_texts
 from .chat_format import format_conversations, read_back
-from .common import fold, read_table
+from .common import fold, read_table, ship
 from .decontaminate import find_benchmark
+from .simhash import near_duplicates
 from .token_output import new_folder, read_documents, write_tokens
 from .url_filters import judge_urls
 
@@ -38,6 +41,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return encoded.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
@@ -80,7 +87,16 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op4_bpe, op5_decontaminate, op6_token_output, op7_url_filters, op8_ann, op9_html_text, op10_lang_id)}
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _shipped(f) for f in (op1_chat_format, op2_simhash, op4_bpe, op5_decontaminate, op6_token_output, op7_url_filters, op8_ann, op9_html_text, op10_lang_id)}
 
 ORACLE_SQL = {
     # formatted_chars: each turn's markers, and one more character for each (escaped) control string in its text
