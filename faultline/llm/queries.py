@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, html_text, lang_id
+from . import ann, html_text, lang_id, quality
 from .bpe import encode_texts
 from .chat_format import format_conversations, read_back
 from .common import fold, read_table, ship
@@ -45,6 +45,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.where(fold("doc_id", 5) != 0))
+    return (quality.classify(docs.select("doc_id", "text"), model)
+            .select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return encoded.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
@@ -96,7 +103,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_chat_format, op2_simhash, op4_bpe, op5_decontaminate, op6_token_output, op7_url_filters, op8_ann, op9_html_text, op10_lang_id)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_chat_format, op2_simhash, op3_quality, op4_bpe, op5_decontaminate, op6_token_output, op7_url_filters, op8_ann, op9_html_text, op10_lang_id)}
 
 ORACLE_SQL = {
     # formatted_chars: each turn's markers, and one more character for each (escaped) control string in its text
