@@ -38,13 +38,13 @@ def fold(id_col: str, folds: int) -> Column:
 def keep_first(docs: DataFrame, grouped, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each group of ``docs``: that of the smallest (non-null) id.
 
-    ``grouped(rows)`` returns the group of each row as ``_key, component_id,
+    ``grouped(rows)`` returns the group of each row as ``_key, component,
     doc_id``.  Rows are told apart by a digest of id and text, so rows that
     share an id but not a text stay apart; of rows equal in both one stays."""
     null = F.lit("\0")
     key = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), null), F.lit("\n"), F.coalesce(F.col(text).cast("string"), null)))
     rows = docs.withColumn("_key", key)
-    first = grouped(rows).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
+    first = grouped(rows).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
     kept = rows.join(first.select("first._key"), "_key", "left_semi")
     one = Window.partitionBy("_key").orderBy("_key")
     return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)

@@ -248,13 +248,16 @@ def find_links(nodes: DataFrame, max_distance: int = 2) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, max_distance: int = 2,
                     keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, fingerprint`` (16 hex digits)``, component_id`` and ``keep`` for every row of ``docs``."""
+    """``doc_id, fingerprint`` (16 hex digits)``, component_id`` (smallest id)``,
+    component`` (a fingerprint that names the component, also where ids repeat)
+    and ``keep`` for every row of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     rows = checkpointed(fingerprints(rows, "text", shingle).drop("text"))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     root = components(find_links(nodes, max_distance))
     nodes = nodes.join(root, nodes.fp == root.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = nodes.join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
+    named = nodes.join(lowest, "root").select("fp", "component_id", "root")
+    digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    return rows.join(named, "fp").select("doc_id", digits("fp").alias("fingerprint"), "component_id", digits("root").alias("component"),
                                          *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])

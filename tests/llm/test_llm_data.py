@@ -1,0 +1,303 @@
+"""BPE, token files, nearest neighbours, SimHash and the pipeline: exact round trips, brute force and edge cases."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from xxhash import xxh64_intdigest
+
+import corpus_pipeline
+from faultline.llm import ann, simhash, token_output
+from faultline.llm.bpe import ByteBPE, encode_texts
+from faultline.llm.queries import ORACLE_SQL, QUERIES
+from faultline.llm.vocab import read_file
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+DOC = "doc_id long, text string, ids string, n_tokens string"
+
+
+def library(path):
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def hostile(rng, texts=("The quick brown fox doesn't stop. ",)):
+    kinds = [lambda n: "".join(rng.choice("aeioustrnl") for _ in range(n)), lambda n: "".join(rng.choice(" \n\t") for _ in range(n)),
+             lambda n: "".join(rng.choice("'stlvdm re") for _ in range(n)), lambda n: "".join(rng.choice("éñ🙂日本 語aΣİς́") for _ in range(n)),
+             lambda n: "".join(rng.choice(["<|endoftext|>", "<|endof", "text|>", " ", "a", "\n\n", "<|startoftext|>"]) for _ in range(n // 8 + 1)),
+             lambda n: "".join(rng.choice("!?.,'-=\"") for _ in range(n)), lambda n: "a" * n, lambda n: "".join(rng.choice("0123456789²½") for _ in range(n)),
+             lambda n: (rng.choice(texts) * n)[:n], lambda n: "".join(rng.choice("aA \x1c\x85\xa0​_") for _ in range(n))]
+    return rng.choice(kinds)(rng.randint(1, 1500))
+
+
+# --- BPE -------------------------------------------------------------------------------------------------------------
+
+def test_tree_concatenation_equals_the_library():
+    bpe, rng = ByteBPE(read_file(BYTE)), random.Random(4)
+    reference = library(BYTE)
+    for _ in range(400):
+        text, size = hostile(rng), rng.randint(20, 400)
+        whole = bpe.tree([bpe.marked(text[i:i + size].encode()) for i in range(0, len(text), size)])
+        ids = reference.encode(text, add_special_tokens=False).ids
+        assert whole.ids.tolist() == ids == np.frombuffer(bpe.encode(text), "<u4").tolist()
+        assert bpe.decode(whole.ids) == reference.decode(ids, skip_special_tokens=False)
+
+
+def test_encode_texts_long_and_odd(spark):
+    rng = random.Random(6)
+    texts = [hostile(rng) for _ in range(30)] + [None, "", "", "x" * 5000, "word " * 3000 + "<|endoftext|>" + "é" * 999]
+    docs = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)] + [(None, "null id", "", ""), (3, texts[3], "", "")], DOC)
+    reference = library(BYTE)
+    got = encode_texts(docs, BYTE, leaf_chars=300).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        text = "null id" if r.doc_id is None else texts[r.doc_id] or ""
+        assert r.ids == reference.encode(text, add_special_tokens=False).ids and r.n_tokens == len(r.ids) and r.decoded == text
+    assert encode_texts(docs.limit(0), BYTE).count() == 0
+
+
+# --- token files -----------------------------------------------------------------------------------------------------
+
+def test_word_vocabulary_equals_the_library():
+    bpe, reference, rng = token_output.WordBPE(read_file(WORD)), library(WORD), random.Random(8)
+    for _ in range(600):
+        text = hostile(rng)
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kind", ["byte", "bit"])
+def test_planes(kind):
+    for ids in ([], [0], [1, 2, 70000], list(range(1000)), [2 ** 32 - 1]):
+        ids = np.array(ids, "<u4")
+        assert (token_output.from_planes(token_output.to_planes(ids, kind), len(ids), kind) == ids).all()
+
+
+def test_joined_crc():
+    rng = random.Random(1)
+    parts = [rng.randbytes(rng.choice([0, 1, 4, 1000])) for _ in range(9)]
+    assert token_output.crc32_join([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+
+
+@pytest.mark.parametrize("kind, block", [("byte", 1 << 16), ("bit", 64)])
+def test_token_files_round_trip(spark, tmp_path, kind, block):
+    rng = random.Random(9)
+    texts = {i: hostile(rng) for i in range(0, 80, 2)} | {1: None, 3: "", 7: "long text " * 2000}
+    rows = [(i, t, "", "") for i, t in texts.items()] + [(2, texts[2], "", ""), (None, "no id", "", "")]
+    rng.shuffle(rows)
+    token_output.write_tokens(spark.createDataFrame(rows, DOC), str(tmp_path / "out"), WORD, kind=kind, block=block)
+    reference, at = library(WORD), 0
+    got = token_output.read_documents(spark, str(tmp_path / "out")).orderBy("start").collect()
+    assert [r.id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
+    pieces = token_output.read_pieces(spark, str(tmp_path / "out")).orderBy("start").collect()
+    flat = [x for p in pieces for x in p.ids]
+    for r in got:
+        text = "no id" if r.id is None else texts[r.id] or ""
+        ids = [*reference.encode(text, add_special_tokens=False).ids, 1]
+        assert (r.start, r.n_tokens, r.crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert flat[at:at + len(ids)] == ids
+        at += len(ids)
+    index = spark.read.parquet(str(tmp_path / "out" / "index")).orderBy("start").collect()
+    assert [r.start for r in index] == np.concatenate(([0], np.cumsum([r.n for r in index])))[:-1].tolist() and max(r.n for r in index) <= block
+
+
+def test_token_files_of_an_empty_table(spark, tmp_path):
+    token_output.write_tokens(spark.createDataFrame([], DOC), str(tmp_path / "out"), WORD)
+    assert token_output.read_documents(spark, str(tmp_path / "out")).count() == 0
+
+
+# --- nearest neighbours ----------------------------------------------------------------------------------------------
+
+def test_graph_walk_meets_the_nearest():
+    rng = np.random.default_rng(0)
+    points, asked = rng.normal(size=(300, 12)), rng.normal(size=(100, 12))
+    exact = np.sqrt(ann.squared(asked, points))
+    met = ann.Graph.build(points).near(asked, 1.1)
+    found = np.isfinite(met)
+    assert np.allclose(met[found], exact[found])
+    assert (met.argmin(1) == exact.argmin(1)).mean() > 0.9
+
+
+def brute(ids, x, k, step):
+    out = {}
+    for i in np.flatnonzero(ids % step == 0):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        order = [j for j in np.lexsort((ids, d)) if ids[j] != ids[i]][:k]
+        out[int(ids[i])] = [(int(ids[j]), d[j]) for j in order]
+    return out
+
+
+def test_recall_of_the_registered_query(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    want, got = brute(ids, x, 10, 100), {}
+    for r in QUERIES["op8_ann"](spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert got.keys() == want.keys() and all(sorted(v) == list(range(1, 11)) for v in got.values())
+    hits = [v in want[q] for q, ranked in got.items() for v in ranked.values()]
+    assert np.mean(hits) >= 0.9
+
+
+def test_neighbours_with_small_groups_and_hot_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 16)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 2)
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.normal(size=(100, 6)), np.tile(rng.normal(size=(1, 6)), (60, 1)))).astype(np.float32).astype(np.float64)
+    ids = np.arange(len(x)) * 5
+    rows = [(int(i), v.tolist(), "clash") for i, v in zip(ids, x)]
+    rows += [(10_000, None, ""), (10_010, [0.0] * 6, ""), (10_020, [float("nan")] * 6, ""), (10_030, [1.0, None, 0.0, 0.0, 0.0, 0.0], ""), (10_040, [1.0], ""),
+             (10_050, [float("inf")] * 6, ""), (None, x[0].tolist(), ""), (5, x[1].tolist(), "")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, list string")
+    found = ann.search(ann.build_index(table, list_rows=20), table.where("vec_id % 50 = 0"), k=7, probe_ratio=100.0).collect()
+    want = brute(ids, x, 7, 50)
+    got = {q: [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in want}
+    assert len(found) == 7 * len(want)
+    for q in want:
+        assert [v for v, _ in got[q]] == [v for v, _ in want[q]] and np.allclose([s for _, s in got[q]], [s for _, s in want[q]])
+
+
+def test_neighbours_of_few_or_no_rows(spark):
+    table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    got = ann.search(ann.build_index(table), table.where("vec_id = 0"), k=10).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id) for r in got] == [(1, 2), (2, 1)]
+    assert ann.search(ann.build_index(table.limit(0)), table.limit(0)).count() == 0
+    assert ann.search(ann.build_index(table), table.limit(0)).count() == 0
+
+
+# --- SimHash ---------------------------------------------------------------------------------------------------------
+
+def plain_fingerprint(text):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    shingles = [b" ".join(w[i:i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    h = [xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def classes(nodes, linked):
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+    for a, b in linked:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def near_pairs(points):
+    return [(a, b) for i, a in enumerate(points) for b in points[i + 1:] if (a ^ b).bit_count() <= 2]
+
+
+def clouds(rng, n):
+    centres = [rng.getrandbits(64) for _ in range(n)]
+    out = set(centres)
+    for c in rng.choices(centres, k=2 * n):
+        for b in rng.sample(range(64), rng.randint(1, 5)):
+            c ^= 1 << b
+        out.add(c)
+    return sorted(out)
+
+
+def test_links_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 40)
+    monkeypatch.setattr(simhash, "_BRUTE", 256)
+    rng = random.Random(11)
+    dense = rng.getrandbits(64)
+    points = sorted({*clouds(rng, 250), *(dense ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(20))})
+    signed = [p - (1 << 64) if p >> 63 else p for p in points]
+    nodes = spark.createDataFrame([(p,) for p in signed], "fp long")
+    links = simhash.find_links(nodes)
+    assert links.count() < 20 * len(points)  # forests, not all pairs
+    got = {r.node: r.root for r in simhash.components(links).collect()}
+    want = classes(points, near_pairs(points))
+    groups = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
+    assert groups({p: got.get(s, s) for p, s in zip(points, signed)}) == groups(want)
+
+
+def test_bit_flips_find_the_same_links(monkeypatch):
+    rng = random.Random(12)
+    points = np.array(clouds(rng, 200), np.uint64)
+    plain = simhash.shard_links(points[::2], points[1::2], 1)
+    many = np.unique(np.concatenate((points[::2], np.random.default_rng(0).integers(0, 1 << 63, 1100, dtype=np.uint64))))
+    monkeypatch.setattr(simhash, "_split", lambda *a: None)  # as in a ball that no sphere parts
+    a, b = simhash.shard_links(many, points[1::2], 1)  # over 16 * 64 points: by flips
+    assert dict(zip(*plain)).items() <= dict(zip(a, b)).items()
+
+
+def test_component_rounds_on_a_chain(spark):
+    chain = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.root for r in simhash.components(chain).collect()} == {0}
+    assert simhash.components(chain.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_texts(spark):
+    rng = random.Random(13)
+    long_ = " ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(4000))
+    texts = [None, "", " \n", "One", "one", "a b", "A  B", "a b c d", long_, long_ + " tail", long_.upper(), "x\x0by", "x y", "é è ê", "a b c"]
+    docs = spark.createDataFrame([(100 - i, t, "clash", "") for i, t in enumerate(texts)] + [(None, "one", "", ""), (97, "One", "", "")],
+                                 "doc_id long, text string, fp string, component_id string")
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(texts) + 2
+    prints = {100 - i: plain_fingerprint(t) for i, t in enumerate(texts)}
+    want = classes(sorted(prints), [(a, b) for a in prints for b in prints if (prints[a] ^ prints[b]).bit_count() <= 2])
+    for r in got:
+        assert r.fingerprint == format(prints[r.doc_id or 97], "016x") and r.component_id == want[r.doc_id or 97]
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+# --- pipeline and registry -------------------------------------------------------------------------------------------
+
+@pytest.fixture
+def odd_docs(spark):
+    rows = [(1, "one text of some words that stays", "en"), (1, "one text of some words that stays", "en"), (1, "another text under the same id here", "en"),
+            (None, "a text without an id is kept too", "en"), (2, None, "en"), (3, "", None), (4, "123 456", "en"),
+            (5, "ONE text of some words that stays", "en")]
+    return spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, odd_docs):
+    for docs in (odd_docs, odd_docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "/root/testdata/sf0.001")
+            assert out.columns == docs.columns or name == "bpe"
+            out.collect()
+
+
+def test_one_of_each_group_stays(spark, odd_docs):
+    kept = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.keep_one_of_each(spark, odd_docs, "").collect())
+    assert kept == [(0, "a text without an id is kept too"), (1, "another text under the same id here"),
+                    (1, "one text of some words that stays"), (2, ""), (4, "123 456")]
+
+
+def test_language_stage_rejects_what_has_no_letter(spark, odd_docs):
+    kept = corpus_pipeline.keep_languages(spark, odd_docs, "").collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 1, 1, 5]
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    d = "/root/testdata/sf0.01"
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, d).collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    first = {r.doc_id for r in QUERIES["op2_simhash"](spark, d).where("doc_id = component_id").collect()}
+    clean = {r.doc_id for r in QUERIES["op5_decontaminate"](spark, d).where("not contaminated").collect()}
+    good = [i for i in docs if labels.get(i) == 1 and i in first and i in clean]
+    poor = [i for i in docs if labels.get(i) == 0]
+    assert np.mean([i in out for i in good]) > 0.97 and np.mean([i in out for i in poor]) < 0.1
+    assert not any(i in out for i in docs if i not in clean)
+    reference = library(BYTE)
+    for i in sorted(out)[:50]:
+        ids = reference.encode(docs[i], add_special_tokens=False).ids
+        assert out[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_registry(spark):
+    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES} and set(ORACLE_SQL) <= set(QUERIES)
