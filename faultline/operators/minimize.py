@@ -1,23 +1,33 @@
 """Delta debugging (ddmin): shrink a failing dataset to a 1-minimal failing
 subset (D1-D5, X1-X2).
 
-Items get a dense ``idx``; a split into ``n`` parts is a bucket column.  The
-driver keeps only small metadata per round: the current size, ``n``, the
-rotation offset and the kept ranges of the original ``idx`` (one per
-reduction).  Data never leaves the cluster.
-
-Batched path (``SumThreshold`` test, contiguous split): every item is turned
-into ``(cur, key, w)`` rows.  Weights are checked to be non-negative; then a
-key whose total over *all* items is below the threshold can never make any
-subset fail, so only rows of the remaining keys are kept (exact, and usually
-a tiny fraction), pre-summed per item and key.  A round is ONE grouped
-job: ``S(bucket, key) = sum(w)`` gives the failing parts (``S >= t``) and,
-with ``T(key) = sum_b S``, the failing complements (``T - S_b >= t``).
-The first failing complement in rotation order is found with a distributed
-"first gap" computation (anti join), not by collecting a group.
-
-General path (opaque ``CallableTest`` or custom splitter): one job per
-tested part or complement, first failure wins, as in the reference.
+Items get a dense ``idx``; a part is a range of it.  Each round tests the
+parts of the kept items and, if none fails, removes parts one after another as
+long as what is left still fails (the complements); if nothing can go, every
+part is halved.  Boundaries of parts are kept until they are halved.
+
+Batched path (``SumThreshold`` with weights that are not negative): a key
+whose total over *all* items is below the threshold can never make a subset
+fail, so only rows ``(idx, key, weight)`` of the remaining keys are kept (exact,
+and usually a tiny fraction).
+
+* While a half fails, one job answers up to ``DEPTH`` rounds: each row is
+  summed into its node on every halving level, and the failing nodes (at most
+  ``2 ** (DEPTH + 1)``, whatever the data) are returned.
+* Otherwise a round is the sums ``S(part, key)``.  Failing parts are
+  ``S >= t``.  Removing parts in order is a *sweep*: a key can lose
+  ``slack = total - t``; a part that every surviving key blocks (``S > slack``)
+  stays, the others go until the running sums of all keys exceed their slack,
+  and the part where the last of them does stays.  One step of the sweep is a
+  windowed job over S; keys that fell below the threshold drop out.  A part
+  that stayed never becomes removable later, so one sweep per level is the same
+  as removing one part at a time.
+
+Every null key is one key.  The driver receives counts and positions only.
+
+With a custom splitter the same rounds run on buckets.  Opaque tests, and
+weights below zero, take the general path: one job per tested part or
+complement, first failure wins, as in the reference.
 """
 
 from __future__ import annotations
@@ -26,32 +36,52 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.operators.oracles import CallableTest, SumThreshold
-from faultline.operators.sets import contiguous_bucket, index_items, part_bounds
-from faultline.session import DEFAULT_BROADCAST_ROWS, join_small, materialize
+from faultline.operators.sets import GroupIndex, ItemIndex, contiguous_bucket, index_items, part_bounds
+from faultline.session import MAX_BROADCAST_BYTES, join_small, materialize, measured_bytes
 
-HISTORY_SCHEMA = "round int, n_items long, n_parts int, outcome string, micros long"
-# intervals at or below this count select items with a plain range filter
-_FILTER_INTERVALS = 64
-_BLOCK = 1 << 16
+HISTORY_SCHEMA = "round int, n_items long, n_parts int, outcome string, removed long, job int, micros long"
+# halving rounds that one look-ahead job answers
+DEPTH = 6
+# a key's parts are summed in so many blocks of the index
+_BLOCKS = 1024
 
 
 @dataclass
 class Step:
+    """One round.  Rounds that one job answered share ``job``; its time stands
+    at the first of them, ``micros`` of the others is None.  ``removed`` is the
+    number of parts that a complement round removed."""
     round: int
     n_items: int
     n_parts: int
     outcome: str  # pass | part | complement | refine | done
-    micros: int
+    removed: int
+    job: int
+    micros: int | None
+
+
+class _Log(list):
+    def __init__(self):
+        super().__init__()
+        self.job, self.began, self.timed = 0, time.perf_counter(), True
+
+    def next_job(self) -> None:
+        self.job, self.began, self.timed = self.job + 1, time.perf_counter(), False
+
+    def add(self, n_items: int, n_parts: int, outcome: str, removed: int = 0) -> None:
+        micros = None if self.timed else int((time.perf_counter() - self.began) * 1e6)
+        self.timed = True
+        self.append(Step(len(self) + 1, n_items, n_parts, outcome, removed, self.job, micros))
 
 
 @dataclass
 class MinimizeResult:
     items: DataFrame          # the minimal failing subset, original columns
-    history: DataFrame        # (round, n_items, n_parts, outcome, micros)
+    history: DataFrame        # HISTORY_SCHEMA
     steps: list[Step]
     count: int
 
@@ -62,7 +92,167 @@ class AllResult:
     sets: list[list[tuple[int, int]]]
 
 
+def _history(spark, steps):
+    return spark.createDataFrame([(s.round, s.n_items, s.n_parts, s.outcome, s.removed, s.job, s.micros) for s in steps],
+                                 HISTORY_SCHEMA)
+
+
+def _ranges(spark, iv: list[tuple[int, int]]) -> DataFrame:
+    return spark.createDataFrame([(int(a), int(b)) for a, b in iv], "lo long, hi long")
+
+
 # ----------------------------------------------------------------------------
+# batched path
+@dataclass
+class _Rows:
+    """Candidate rows ``(idx, k, w)``; ``k`` is a struct, so that a null key joins."""
+    df: DataFrame
+    n_hot: int       # keys whose total reaches the threshold
+    nonneg: bool
+
+
+def _candidates(index: ItemIndex | GroupIndex, test: SumThreshold, max_bytes: int, every_key: bool = False) -> _Rows:
+    """Rows of the keys that can reach the threshold.  With a negative weight
+    any key can: all rows if ``every_key``, else none (``nonneg`` tells)."""
+    t = test.threshold
+    raw = index.rows(test)
+    keyed = materialize(raw.groupBy("k").agg(F.sum("w").alias("T"), F.min("w").alias("mn")).where((F.col("T") >= t) | (F.col("mn") < 0)))
+    n_hot, negative = keyed.agg(F.count_if(F.col("T") >= t), F.count_if(F.col("mn") < 0)).first()
+    if negative and not every_key:
+        return _Rows(raw.limit(0), n_hot, False)
+    if not negative:
+        hot = keyed.select("k")
+        raw = join_small(raw, hot, "k", "left_semi", measured_bytes(hot.select("k.*")), max_bytes)
+    return _Rows(materialize(index.attach(raw).groupBy("idx", "k").agg(F.sum("w").alias("w"))), n_hot, not negative)
+
+
+def _look_ahead(rows: DataFrame, lo: int, hi: int, t: int, min_items: int, log: _Log) -> tuple[int, int, str]:
+    """Rounds with two parts, from one job: the range that is left, and
+    ``part`` (go on), ``refine`` or ``done``."""
+    log.next_job()
+    start = F.struct(F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi"), F.lit(1).cast("long").alias("node"),
+                     F.expr("cast(array() as array<bigint>)").alias("path"))
+
+    def down(at, _):
+        mid = at["lo"] + F.shiftright(at["hi"] - at["lo"] + 1, 1)
+        right = F.col("idx") >= mid
+        node = at["node"] * 2 + F.when(right, 1).otherwise(0)
+        return F.struct(F.when(right, mid).otherwise(at["lo"]).alias("lo"), F.when(right, at["hi"]).otherwise(mid).alias("hi"),
+                        node.cast("long").alias("node"), F.concat(at["path"], F.array(node.cast("long"))).alias("path"))
+
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), start, down, lambda at: at["path"])
+    nodes = rows.select(F.explode(path).alias("node"), "k", "w").groupBy("node", "k").agg(F.sum("w").alias("s"))
+    failing = {r["node"] for r in nodes.where(F.col("s") >= t).select("node").distinct().collect()}
+    node = 1
+    for _ in range(DEPTH):
+        size = hi - lo
+        if size <= min_items or size < 2:
+            break
+        mid = lo + (size + 1) // 2
+        if 2 * node in failing:
+            hi, node = mid, 2 * node
+        elif 2 * node + 1 in failing:
+            lo, node = mid, 2 * node + 1
+        elif size <= 2:
+            log.add(size, 2, "done")
+            return lo, hi, "done"
+        else:
+            log.add(size, 2, "refine")
+            return lo, hi, "refine"
+        log.add(size, 2, "part")
+    return lo, hi, "part"
+
+
+def _halve(rows: DataFrame) -> DataFrame:
+    """Every part ``[lo, hi)`` of two or more items becomes two."""
+    mid = F.expr("lo + (hi - lo + 1) DIV 2")
+    right = (F.col("hi") - F.col("lo") > 1) & (F.col("idx") >= mid)
+    new_hi = F.when((F.col("hi") - F.col("lo") > 1) & ~right, mid).otherwise(F.col("hi"))
+    return rows.select("idx", "k", "w", F.when(right, mid).otherwise(F.col("lo")).alias("lo"), new_hi.alias("hi"))
+
+
+def _sweep(sums: DataFrame, t: int, count: int) -> DataFrame:
+    """Remove parts in order while the rest still fails.  ``sums`` is
+    ``(part, hi, k, s)`` of parts that do not fail; the rows of the parts that
+    stay, and of the keys that still reach ``t``, are returned."""
+    sums = sums.withColumn("open", F.lit(True))
+    width = max(1, -(-count // _BLOCKS))
+    while True:
+        totals = sums.groupBy("k").agg(F.sum("s").alias("T"), F.count_if("open").alias("o")).where(F.col("T") >= t)
+        alive, n_open = totals.agg(F.count(F.lit(1)), F.sum("o")).first()
+        rows = sums.join(totals.select("k", "T"), "k").withColumn("slack", F.col("T") - t)
+        if not n_open:
+            return materialize(rows.select("part", "hi", "k"))
+        stuck = (rows.groupBy("part").agg(F.count_if(F.col("s") > F.col("slack")).alias("n")).where(F.col("n") == alive)
+                 .select("part", F.lit(True).alias("stuck")))
+        rows = rows.join(stuck, "part", "left").withColumn("free", F.col("open") & F.col("stuck").isNull())
+        rows = rows.withColumn("blk", F.expr(f"part DIV {width}")).withColumn("loss", F.when(F.col("free"), F.col("s")).otherwise(0))
+        blocks = rows.groupBy("k", "blk").agg(F.sum("loss").alias("loss"))
+        earlier = Window.partitionBy("k").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.select("k", "blk", F.coalesce(F.sum("loss").over(earlier), F.lit(0)).alias("before"))
+        within = Window.partitionBy("k", "blk").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+        run = F.col("before") + F.sum("loss").over(within)
+        rows = materialize(rows.join(blocks, ["k", "blk"]).withColumn("run", run))
+        ends = rows.groupBy("k").agg(F.min(F.when(F.col("free") & (F.col("run") > F.col("slack")), F.col("part"))).alias("end"))
+        last, lasting = ends.agg(F.max("end"), F.count_if(F.col("end").isNull())).first()
+        if lasting:  # some key outlasts the removal of every free part
+            sums = rows.where(~F.col("free")).withColumn("open", F.lit(False))
+        else:
+            sums = rows.where(~F.col("free") | (F.col("part") >= last)).withColumn("open", F.col("free") & (F.col("part") > last))
+        sums = sums.select("part", "hi", "k", "s", "open")
+
+
+def _ddmin_ranges(index, rows: DataFrame, t: int, min_items: int, start_parts: int, log: _Log) -> DataFrame:
+    """The kept ranges ``(lo, hi)`` of the index."""
+    spark, count = rows.sparkSession, index.count
+    lo, hi, c = 0, count, count
+    n = min(max(2, start_parts), max(c, 2))
+    if n > 2:
+        b = contiguous_bucket("idx", n, c)
+        edge = lambda k: ((k * c + n - 1) / n)
+        rows = rows.withColumn("lo", F.floor(edge(b)).cast("long")).withColumn("hi", F.floor(edge(b + 1)).cast("long"))
+    while True:
+        if c <= min_items:
+            log.next_job()
+            log.add(c, n, "done")
+            return _ranges(spark, [(lo, hi)])
+        if n == 2:
+            a, b, outcome = _look_ahead(rows, lo, hi, t, min_items, log)
+            if (a, b) != (lo, hi):
+                rows = materialize(rows.where((F.col("idx") >= a) & (F.col("idx") < b)))
+                lo, hi, c = a, b, b - a
+            if outcome == "done":
+                return _ranges(spark, [(lo, hi)])
+            if outcome == "part":
+                continue
+            rows = _halve(_halve(rows.withColumn("lo", F.lit(lo).cast("long")).withColumn("hi", F.lit(hi).cast("long"))))
+            n = min(c, 4)
+        # parts of a level; from here on `lo`, `hi` are columns
+        while True:
+            log.next_job()
+            sums = materialize(rows.groupBy(F.col("lo").alias("part"), "hi", "k").agg(F.sum("w").alias("s")))
+            part = sums.where(F.col("s") >= t).agg(F.min(F.struct("part", "hi"))).first()[0]
+            if part is not None:
+                log.add(c, n, "part")
+                lo, hi = part["part"], part["hi"]
+                rows = materialize(rows.where(F.col("lo") == lo).select("idx", "k", "w"))
+                c, n = hi - lo, 2
+                break
+            kept = _sweep(sums, t, count)
+            size = F.col("hi") - F.col("part")
+            parts = kept.select("part", "hi").distinct()
+            left, items, largest, large = parts.agg(F.count(F.lit(1)), F.sum(size), F.max(size), F.count_if(size > 1)).first()
+            if left < n:
+                log.add(c, n, "complement", n - left)
+                c, n = items, left
+            if c <= min_items or largest == 1:
+                log.add(c, n, "done")
+                return parts.select(F.col("part").alias("lo"), "hi")
+            log.add(c, n, "refine")
+            n = left + large
+            rows = materialize(_halve(rows.join(kept.select(F.col("part").alias("lo"), "k"), ["lo", "k"], "left_semi")))
+
+
 # kept ranges of the original idx, in current order: [(orig_start, length)]
 def _cut(iv, lo, hi):
     out, pos = [], 0
@@ -85,266 +275,52 @@ def _drop(iv, lo, hi):
     return out
 
 
-def select_ranges(indexed: DataFrame, iv, idx: str = "idx",
-                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``indexed`` whose ``idx`` lies in one of the ranges ``iv``."""
-    if not iv:
-        return indexed.limit(0)
-    col = F.col(idx)
-    if len(iv) <= _FILTER_INTERVALS:
-        # one expression call for the whole range filter
-        cond = " OR ".join(f"(`{idx}` >= {int(s)}L AND `{idx}` < {int(s + ln)}L)" for s, ln in iv)
-        return indexed.where(F.expr(cond))
-    spark = indexed.sparkSession
-    ranges = spark.createDataFrame([(int(s), int(s + ln)) for s, ln in iv], "_lo long, _hi long")
-    blocks = ranges.select("_lo", "_hi", F.explode(F.sequence(
-        F.expr(f"_lo DIV {_BLOCK}"), F.expr(f"(_hi - 1) DIV {_BLOCK}"))).alias("_blk"))
-    n_blocks = len(iv) + sum(ln for _, ln in iv) // _BLOCK + 1
-    keyed = indexed.withColumn("_blk", F.expr(f"`{idx}` DIV {_BLOCK}"))
-    joined = join_small(keyed, blocks, "_blk", "inner", n_blocks, max_broadcast_rows)
-    return joined.where((col >= F.col("_lo")) & (col < F.col("_hi"))) \
-                 .drop("_blk", "_lo", "_hi")
-
-
-def _history(spark, steps):
-    return spark.createDataFrame([(s.round, s.n_items, s.n_parts, s.outcome, s.micros) for s in steps],
-                                 HISTORY_SCHEMA)
-
-
-# ----------------------------------------------------------------------------
-# batched path
-class _Rows:
-    """Candidate rows ``(cur, k, w)`` of the current item set."""
-
-    def __init__(self, df: DataFrame, n_keys: int, nonneg: bool, any_fails: bool):
-        self.df, self.n_keys, self.nonneg, self.any_fails = df, n_keys, nonneg, any_fails
-
-
-def _candidate_rows(indexed: DataFrame, test: SumThreshold, max_bc: int) -> _Rows:
-    """``(cur, k, w)`` per item and key, kept only for keys that can still
-    reach the threshold (all keys when some weight is negative)."""
-    t = test.threshold
-    raw = test.item_rows(indexed, ["idx"]).select(
-        F.col("idx").alias("cur"), F.col(test.key).alias("k"), F.col(test.weight).cast("long").alias("w"))
-    keyed = raw.groupBy("k").agg(F.sum("w").alias("T"), F.min("w").alias("mn"))
-    # one job: the keys reaching t plus one summary row (min weight, counts)
-    summary = keyed.agg(F.min("mn").alias("mn"), F.count(F.lit(1)).alias("nk"),
-                        F.count_if(F.col("T") >= t).alias("nh")).select(
-        F.lit(None).cast(keyed.schema["k"].dataType).alias("k"), "mn", "nk", "nh",
-        F.lit(True).alias("_summary"))
-    hot = keyed.where(F.col("T") >= t).select(
-        "k", F.lit(None).cast("long").alias("mn"), F.lit(None).cast("long").alias("nk"),
-        F.lit(None).cast("long").alias("nh"), F.lit(False).alias("_summary"))
-    both = materialize(summary.unionByName(hot))
-    srow = both.where("_summary").collect()[0]
-    min_w, n_keys, n_hot = srow["mn"], int(srow["nk"] or 0), int(srow["nh"] or 0)
-    if min_w is None:                 # no rows at all
-        return _Rows(raw.limit(0), 0, True, False)
-    if min_w >= 0:
-        hot_keys = both.where(~F.col("_summary")).select("k")
-        kept = join_small(raw, hot_keys, "k", "left_semi", n_hot, max_bc)
-        rows = materialize(kept.groupBy("cur", "k").agg(F.sum("w").alias("w")))
-        return _Rows(rows, n_hot, True, n_hot > 0)
-    rows = materialize(raw.groupBy("cur", "k").agg(F.sum("w").alias("w")))
-    return _Rows(rows, n_keys, False, n_hot > 0)
-
-
-def _round(rows: _Rows, n: int, c: int, t: int, offset: int, max_bc: int) -> dict:
-    """One grouped job over the candidate rows.  Returns a dict with
-    ``part`` (first failing part), ``comp`` (first failing complement in
-    rotation order, as a bucket id) and ``whole``."""
-    b = contiguous_bucket("cur", n, c)
-    S = rows.df.groupBy(b.alias("b"), F.col("k")).agg(F.sum("w").alias("s"))
-    T = S.groupBy("k").agg(F.sum("s").alias("T"))
-    out = [S.where(F.col("s") >= t).select(F.lit("part").alias("kind"), F.col("b").alias("v")),
-           T.where(F.col("T") >= t).select(F.lit("whole").alias("kind"), F.lit(0).cast("long").alias("v"))]
-    if n > 2:
-        r = F.pmod(F.col("b") - offset, F.lit(n))
-        ST = join_small(S, T, "k", "inner", rows.n_keys, max_bc).select("k", r.alias("r"), "s", "T")
-        # a present (bucket, key) whose removal leaves T - s >= t
-        out.append(ST.where(F.col("s") <= F.col("T") - t).select(F.lit("comp").alias("kind"), F.col("r").alias("v")))
-        # keys with T >= t fail every complement except the buckets that block
-        # them: the first unblocked rotation index per key is a "first gap"
-        blocked = ST.where((F.col("T") >= t) & (F.col("s") > F.col("T") - t)).select("k", "r")
-        starts = blocked.select("k", (F.col("r") + 1).alias("r")).unionByName(
-            T.where(F.col("T") >= t).select("k", F.lit(0).cast("long").alias("r")))
-        gaps = starts.where(F.col("r") < n).join(blocked, ["k", "r"], "left_anti")
-        out.append(gaps.select(F.lit("comp").alias("kind"), F.col("r").alias("v")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    agg = res.groupBy("kind").agg(F.min("v").alias("v")).collect()
-    d = {x["kind"]: int(x["v"]) for x in agg}
-    if "comp" in d:
-        d["comp"] = (d["comp"] + offset) % n
-    return d
-
-
-def _keep_part(rows: _Rows, lo: int, hi: int) -> _Rows:
-    cur = F.col("cur")
-    df = materialize(rows.df.where((cur >= lo) & (cur < hi)).withColumn("cur", cur - lo))
-    return _Rows(df, rows.n_keys, rows.nonneg, True)
-
-
-def _drop_part(rows: _Rows, lo: int, hi: int) -> _Rows:
-    cur = F.col("cur")
-    df = rows.df.where((cur < lo) | (cur >= hi)) \
-                .withColumn("cur", F.when(cur >= hi, cur - (hi - lo)).otherwise(cur))
-    return _Rows(materialize(df), rows.n_keys, rows.nonneg, True)
-
-
-# rows of (segment, key) sums the driver may receive from one look-ahead job
-SPECULATE_ROWS = 1 << 16
-SPECULATE_MAX_DEPTH = 10
-
-
-def _halving_points(c: int, depth: int) -> list[int]:
-    """Sorted split points of every range reachable from ``[0, c)`` by
-    ``depth`` successive 2-way splits (the path taken while parts fail)."""
-    pts, level = {0, c}, [(0, c)]
-    for _ in range(depth):
-        nxt = []
-        for lo, hi in level:
-            if hi - lo > 1:
-                mid = lo + (hi - lo + 1) // 2
-                pts.add(mid)
-                nxt += [(lo, mid), (mid, hi)]
-        level = nxt
-    return sorted(pts)
-
-
-def _segment_of(col: str, bounds: list[int], c: int) -> Column:
-    """Index of the segment ``[bounds[i], bounds[i+1])`` holding ``col``.
-
-    Guess ``floor(col * S / c)`` and correct it against the bounds (a literal
-    array) within a window ``w``.  ``w`` is the largest gap between guess and
-    truth, measured exactly on the driver at every point where either step
-    function changes, so the result is exact."""
-    import bisect
-    S = len(bounds) - 1
-    pts = set()
-    for b in bounds:
-        pts.update((b, b - 1))
-    for k in range(S + 1):
-        x = (k * c + S - 1) // S
-        pts.update((x, x - 1))
-    w = max(abs((bisect.bisect_right(bounds, x) - 1) - (x * S) // c) for x in pts if 0 <= x < c)
-    # one expression call for the whole literal (a column per element would
-    # cost a driver round trip each)
-    arr = F.expr("array(" + ", ".join(f"{int(b)}L" for b in bounds) + ")")
-    guess = F.expr(f"(`{col}` * {int(S)}L) DIV {int(c)}L")
-    g0 = F.greatest(guess - w, F.lit(0))
-    seg = g0
-    for j in range(1, 2 * w + 1):
-        # bounds[g0 + j] is element g0 + j + 1 (1-based); past the end -> null -> 0
-        at = (g0 + (j + 1)).cast("int")
-        seg = seg + F.when(F.try_element_at(arr, at) <= F.col(col), 1).otherwise(0)
-    return seg
-
-
-def _speculate(rows: _Rows, c: int, t: int, min_items: int, rnd: int):
-    """Replay the coming rounds while they stay on the "a part fails, n = 2"
-    path, from one job that sums every (segment, key) on the halving grid.
-    Returns (steps, lo, hi, n) with the final kept range, or None when the
-    look-ahead is not worth it or would ship too many sums."""
-    keys = max(rows.n_keys, 1)
-    depth = 0
-    while depth < SPECULATE_MAX_DEPTH and (2 << depth) * keys <= SPECULATE_ROWS and (2 << depth) <= c:
-        depth += 1
-    if depth < 2:
-        return None
-    t0 = time.perf_counter()
-    bounds = _halving_points(c, depth)
-    seg = _segment_of("cur", bounds, c)
-    sums = rows.df.groupBy(seg.alias("g"), F.col("k")).agg(F.sum("w").alias("s")).collect()
-    by_seg: dict[int, list] = {}
-    for r in sums:
-        by_seg.setdefault(int(r["g"]), []).append((r["k"], int(r["s"])))
-    pos = {b: i for i, b in enumerate(bounds)}
-
-    def fails(lo, hi):
-        tot: dict = {}
-        for g in range(pos[lo], pos[hi]):
-            for k, v in by_seg.get(g, ()):
-                tot[k] = tot.get(k, 0) + v
-        return any(v >= t for v in tot.values())
-
-    micros = int((time.perf_counter() - t0) * 1e6)
-    steps, lo, hi, n = [], 0, c, 2
-    for _ in range(depth):
-        size = hi - lo
-        if size <= min_items or size < 2:
-            break
-        mid = lo + (size + 1) // 2
-        if fails(lo, mid):
-            steps.append(Step(rnd + len(steps), size, 2, "part", micros if not steps else 0))
-            hi = mid
-        elif fails(mid, hi):
-            steps.append(Step(rnd + len(steps), size, 2, "part", micros if not steps else 0))
-            lo = mid
-        else:
-            if size > 2:       # nothing fails at n = 2: granularity goes up
-                steps.append(Step(rnd + len(steps), size, 2, "refine", micros if not steps else 0))
-                n = min(size, 4)
-            break
-    if not steps:
-        return None
-    return steps, lo, hi, n
-
-
-def _ddmin_batched(indexed, count, test: SumThreshold, min_items, start_parts, max_bc):
-    t = test.threshold
-    steps: list[Step] = []
-    t0 = time.perf_counter()
-    rows = _candidate_rows(indexed, test, max_bc) if count else None
-    c, iv, n, offset, rnd = count, [(0, count)] if count else [], max(2, start_parts), 0, 1
-    n = min(n, max(c, 2))
-    if not count or not rows.any_fails:
-        steps.append(Step(1, count, n, "pass", int((time.perf_counter() - t0) * 1e6)))
-        return [], steps
+def _ddmin_buckets(index, rows: DataFrame, t: int, split, min_items: int, start_parts: int, log: _Log) -> DataFrame:
+    """The same rounds on the buckets of a custom splitter; the kept ``idx`` as ranges of one."""
+    items = index.indexed()
+    place = materialize(items.select("idx", F.col("idx").alias("cur")))
+    c, n = index.count, min(max(2, start_parts), max(index.count, 2))
     while True:
+        log.next_job()
         if c <= min_items:
-            steps.append(Step(rnd, c, n, "done", int((time.perf_counter() - t0) * 1e6)))
+            log.add(c, n, "done")
             break
-        if n == 2 and c > 4:
-            spec = _speculate(rows, c, t, min_items, rnd)
-            if spec is not None:
-                spec_steps, lo, hi, n_next = spec
-                if (lo, hi) != (0, c):
-                    rows, iv, c = _keep_part(rows, lo, hi), _cut(iv, lo, hi), hi - lo
-                steps.extend(spec_steps)
-                rnd += len(spec_steps)
-                n, offset = n_next, 0
-                t0 = time.perf_counter()
+        # the splitter sees a dense idx over the kept items
+        seen = items.join(place, "idx").withColumnRenamed("idx", "_all").withColumnRenamed("cur", "idx")
+        tagged = materialize(seen.select(F.col("_all").alias("idx"), split(seen, n).cast("long").alias("part")))
+        used = tagged.select("part").distinct().count()
+        sums = materialize(rows.join(tagged, "idx").groupBy("part", "k").agg(F.sum("w").alias("s")).withColumn("hi", F.col("part") + 1))
+        first = sums.where(F.col("s") >= t).agg(F.min("part")).first()[0]
+        keep = None
+        if first is not None and used > 1:
+            log.add(c, n, "part")
+            keep, left = tagged.where(F.col("part") == first), 0
+        elif first is None and used > 2:
+            stay = _sweep(sums, t, n).select("part").distinct()
+            left = stay.count()
+            if left < used:
+                log.add(c, n, "complement", used - left)
+                keep, n = tagged.join(stay, "part", "left_semi"), left
+        if keep is not None:
+            numbered = index_items(keep.select(F.col("idx").alias("all")), ["all"])
+            place, c = numbered.frame.select(F.col("all").alias("idx"), F.col("idx").alias("cur")), numbered.count
+            if not left:
+                n = min(2, max(c, 2))
                 continue
-        res = _round(rows, n, c, t, offset, max_bc)
-        c0, n0 = c, n
-        if "part" in res:
-            lo, hi = part_bounds(res["part"], n, c)
-            rows, iv, c, n, offset, outcome = _keep_part(rows, lo, hi), _cut(iv, lo, hi), hi - lo, 2, 0, "part"
-        elif "comp" in res and n > 2:
-            i = res["comp"]
-            lo, hi = part_bounds(i, n, c)
-            rows, iv, c = _drop_part(rows, lo, hi), _drop(iv, lo, hi), c - (hi - lo)
-            n, offset, outcome = max(n - 1, 2), i, "complement"
-        else:
-            if n >= c:
-                steps.append(Step(rnd, c, n, "done", int((time.perf_counter() - t0) * 1e6)))
-                break
-            n, outcome = min(c, 2 * n), "refine"
-        n = min(n, max(c, 2))
-        steps.append(Step(rnd, c0, n0, outcome, int((time.perf_counter() - t0) * 1e6)))
-        t0 = time.perf_counter()
-        rnd += 1
-    return iv, steps
+        if c <= min_items or n >= c:
+            log.add(c, n, "done")
+            break
+        log.add(c, n, "refine")
+        n = min(c, 2 * n)
+    return place.select(F.col("idx").alias("lo"), (F.col("idx") + 1).alias("hi"))
 
 
 # ----------------------------------------------------------------------------
 # general path
 def _first_failing(order, fails, concurrency: int):
-    """First element of ``order`` whose test fails.  Tests run as concurrent
-    Spark jobs in waves of ``concurrency`` (in order), so the answer is the
-    same as testing one by one and at most one wave is evaluated past it."""
+    """First element of ``order`` whose test fails.  With ``concurrency`` over
+    1 tests run as concurrent Spark jobs in waves (in order): the answer is
+    the same, and at most one wave is evaluated past it."""
     if concurrency <= 1:
         return next((i for i in order if fails(i)), None)
     from concurrent.futures import ThreadPoolExecutor
@@ -357,105 +333,116 @@ def _first_failing(order, fails, concurrency: int):
     return None
 
 
-def _ddmin_general(indexed, count, test, split, min_items, start_parts, concurrency=4):
-    steps: list[Step] = []
-    t0 = time.perf_counter()
-    cur, c = indexed, count
+def _ddmin_general(index, test, split, min_items: int, start_parts: int, concurrency: int, log: _Log) -> DataFrame:
+    """One test per part or complement; the driver lists the parts it tests."""
+    cur, c = index.indexed(), index.count
+    cols = [x for x in cur.columns if x != "idx"]
+    log.next_job()
     n = min(max(2, start_parts), max(c, 2))
-    cols = [x for x in indexed.columns if x != "idx"]
     if not c or not test.fails(cur.select(*cols)):
-        steps.append(Step(1, c, n, "pass", int((time.perf_counter() - t0) * 1e6)))
-        return cur.limit(0).select(*cols), steps
-    offset, rnd = 0, 1
+        log.add(c, n, "pass")
+        return cur.limit(0).select(*cols)
+    whole, parts = (0, c), None
     while True:
+        log.next_job()
         if c <= min_items:
-            steps.append(Step(rnd, c, n, "done", int((time.perf_counter() - t0) * 1e6)))
+            log.add(c, n, "done")
             break
-        bucket = split(cur, n) if split is not None else contiguous_bucket("idx", n, c)
-        tagged = cur.withColumn("_b", bucket.cast("long"))
-        if split is not None:
-            tagged = materialize(tagged)
-            # a custom split may leave parts empty or put everything in one
-            # part; only proper, non-empty parts and complements can shrink
-            sizes = {int(r["_b"]): int(r["n"]) for r in
-                     tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if split is None:
+            if parts is None:
+                lo, hi = whole
+                parts = [(lo + a, lo + b) for a, b in (part_bounds(k, n, c) for k in range(n))]
+            sizes = {a: b - a for a, b in parts}
+            # the part of an item: the last start at or below its idx
+            starts = F.expr("array(" + ", ".join(f"{a}L" for a in sizes) + ")")
+            tagged = materialize(cur.withColumn("_b", F.array_max(F.filter(starts, lambda a: a <= F.col("idx")))))
         else:
-            sizes = {k: part_bounds(k, n, c)[1] - part_bounds(k, n, c)[0] for k in range(n)}
-        c0, n0, found = c, n, None
-        order = [i for i in range(n) if 0 < sizes.get(i, 0) < c]
-        hit = _first_failing(order, lambda i: test.fails(tagged.where(F.col("_b") == i).select(*cols)),
-                             concurrency)
+            tagged = materialize(cur.withColumn("_b", split(cur, n).cast("long")))
+            sizes = {r["_b"]: r["n"] for r in tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()}
+        order = sorted(sizes)
+        hit = _first_failing(order, lambda p: test.fails(tagged.where(F.col("_b") == p).select(*cols)), concurrency) if len(order) > 1 else None
         if hit is not None:
-            found = ("part", hit)
-        if found is None and n > 2:
-            order = [(j + offset) % n for j in range(n)]
-            order = [i for i in order if 0 < sizes.get(i, 0) < c]
-            hit = _first_failing(order, lambda i: test.fails(tagged.where(F.col("_b") != i).select(*cols)),
-                                 concurrency)
-            if hit is not None:
-                found = ("complement", hit)
-        if found is None:
-            if n >= c:
-                steps.append(Step(rnd, c, n, "done", int((time.perf_counter() - t0) * 1e6)))
-                break
-            n, outcome = min(c, 2 * n), "refine"
+            log.add(c, n, "part")
+            cur, c, n, whole, parts = tagged.where(F.col("_b") == hit).drop("_b"), sizes[hit], 2, (hit, hit + sizes[hit]), None
         else:
-            outcome, i = found
-            keep = (F.col("_b") == i) if outcome == "part" else (F.col("_b") != i)
-            nxt = tagged.where(keep).drop("_b")
+            removed, at = [], 0
+            while len(order) > 2:
+                going = order[at:] + order[:at]
+                hit = _first_failing(going, lambda p: test.fails(tagged.where(~F.col("_b").isin(*removed, p)).select(*cols)), concurrency)
+                if hit is None:
+                    break
+                at = order.index(hit)
+                order.remove(hit)
+                removed.append(hit)
+                at %= len(order)
+            if removed:
+                log.add(c, n, "complement", len(removed))
+                cur = materialize(tagged.where(~F.col("_b").isin(*removed)).drop("_b"))
+                c, n = c - sum(sizes[p] for p in removed), len(order)
+            if c <= min_items or n >= c:
+                log.add(c, n, "done")
+                break
+            log.add(c, n, "refine")
             if split is None:
-                lo, hi = part_bounds(i, n, c)
-                idx = F.col("idx")
-                nxt = nxt.withColumn("idx", idx - lo) if outcome == "part" else \
-                    nxt.withColumn("idx", F.when(idx >= hi, idx - (hi - lo)).otherwise(idx))
-                cur, c = materialize(nxt), (hi - lo if outcome == "part" else c - (hi - lo))
+                parts = [x for p in order for x in _halves(p, p + sizes[p])]
+                n = len(parts)
             else:
-                cur, c = index_items(nxt, ["idx"])
-            n, offset = (2, 0) if outcome == "part" else (max(n - 1, 2), i)
-        n = min(n, max(c, 2))
-        steps.append(Step(rnd, c0, n0, outcome, int((time.perf_counter() - t0) * 1e6)))
-        t0 = time.perf_counter()
-        rnd += 1
-    return cur.select(*cols), steps
+                n = min(c, 2 * n)
+        if split is not None:
+            numbered = index_items(cur.withColumnRenamed("idx", "_all").select("_all"), ["_all"])
+            cur = cur.withColumnRenamed("idx", "_all").join(numbered.frame, "_all").drop("_all")
+    return cur.select(*cols)
+
+
+def _halves(lo: int, hi: int) -> list[tuple[int, int]]:
+    mid = lo + (hi - lo + 1) // 2
+    return [(lo, mid), (mid, hi)] if hi - lo > 1 else [(lo, hi)]
 
 
 # ----------------------------------------------------------------------------
 def ddmin(items: DataFrame, test, order_by: list[str],
           split: Callable[[DataFrame, int], Column] | None = None,
           min_items: int = 1, start_parts: int = 2,
-          max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-          indexed: tuple[DataFrame, int] | None = None,
-          test_concurrency: int = 4) -> MinimizeResult:
+          max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+          index: ItemIndex | GroupIndex | None = None,
+          test_concurrency: int = 1) -> MinimizeResult:
     """Minimal failing subset of ``items`` under ``test``.
 
     ``order_by`` fixes the item order (unique columns).  ``test`` is a
     ``SumThreshold`` (batched) or a ``CallableTest``/any object with
     ``fails(df) -> bool``.  ``split(items_with_idx, n) -> bucket Column``
-    replaces the default contiguous split (X2).  Stops at ``min_items``.
-    ``indexed=(items_with_idx, count)`` supplies a ready dense ``idx`` in
-    ``order_by`` order (see ``sets.index_by_group``).  Opaque tests run as
-    up to ``test_concurrency`` concurrent jobs per wave, first failure wins.
-    Returns an empty DataFrame when the input does not fail.
+    replaces the contiguous split (X2).  Stops at the first round that has
+    ``min_items`` or fewer.  ``index`` supplies a ready index of the items
+    (see ``sets.index_by_group``).  An opaque test is called once at a time
+    unless ``test_concurrency`` asks for more.  Returns an empty DataFrame
+    when the input does not fail.
     """
     if callable(test) and not hasattr(test, "fails"):
         test = CallableTest(test)
-    spark = items.sparkSession
-    given = indexed
-    indexed, count = indexed if indexed is not None else index_items(items, order_by)
-    if isinstance(test, SumThreshold) and split is None:
-        iv, steps = _ddmin_batched(indexed, count, test, min_items, start_parts, max_broadcast_rows)
-        narrow = given.narrow(iv) if hasattr(given, "narrow") else None
-        source = indexed.where(narrow) if narrow is not None else indexed
-        result = select_ranges(source, iv, "idx", max_broadcast_rows).drop("idx")
-        final = sum(ln for _, ln in iv)
+    spark, log = items.sparkSession, _Log()
+    index = index if index is not None else index_items(items, order_by)
+    rows = None
+    if isinstance(test, SumThreshold) and test.threshold > 0:
+        log.next_job()
+        rows = _candidates(index, test, max_broadcast_bytes)
+        if rows.nonneg and (not rows.n_hot or not index.count):
+            log.add(index.count, min(max(2, start_parts), max(index.count, 2)), "pass")
+            return MinimizeResult(index.items.limit(0), _history(spark, log), log, 0)
+    if rows is None or not rows.nonneg:
+        log.clear()
+        result = _ddmin_general(index, test, split, min_items, start_parts, test_concurrency, log)
     else:
-        result, steps = _ddmin_general(indexed, count, test, split, min_items, start_parts,
-                                       test_concurrency)
-        final = steps[-1].n_items if steps and steps[-1].outcome == "done" else 0
-    return MinimizeResult(result, _history(spark, steps), steps, final)
+        if split is None:
+            kept = _ddmin_ranges(index, rows.df, test.threshold, min_items, start_parts, log)
+        else:
+            kept = _ddmin_buckets(index, rows.df, test.threshold, split, min_items, start_parts, log)
+        kept = materialize(kept)
+        result = index.select(kept, ranges_bytes=measured_bytes(kept))
+    final = log[-1].n_items if log[-1].outcome == "done" else 0
+    return MinimizeResult(result, _history(spark, log), log, final)
 
 
-def _level_round(rows: DataFrame, level, t: int, max_bc: int, n_keys: int) -> dict:
+def _level_round(rows: DataFrame, level, t: int) -> dict:
     """Test every part and complement of every branch of a level in ONE
     grouped job.  ``rows`` is ``(br, cur, k, w)``; ``level[br] = (iv, c, n,
     offset)``.  Returns ``{br: {"whole", "parts", "comps"}}``."""
@@ -475,7 +462,7 @@ def _level_round(rows: DataFrame, level, t: int, max_bc: int, n_keys: int) -> di
     ]
     if any(st[2] > 2 for st in level):
         # complements only matter for branches split in more than two parts
-        ST = join_small(S, T, ["br", "k"], "inner", n_keys * len(level), max_bc)
+        ST = S.join(T, ["br", "k"])
         blocked = ST.where((F.col("T") >= t) & (F.col("s") > F.col("T") - t))
         per_b = blocked.groupBy("br", "b").agg(F.count(F.lit(1)).alias("cnt"))
         out += [
@@ -508,7 +495,7 @@ def _level_round(rows: DataFrame, level, t: int, max_bc: int, n_keys: int) -> di
 
 def minimize_all(items: DataFrame, test: SumThreshold, order_by: list[str],
                  min_items: int = 1, start_parts: int = 2,
-                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> AllResult:
+                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> AllResult:
     """Exhaustive ddmin (D3): follow every failing part (and, when no part
     fails, every failing complement) as its own branch; return each distinct
     minimal set with a ``set_id``.
@@ -519,14 +506,13 @@ def minimize_all(items: DataFrame, test: SumThreshold, order_by: list[str],
     driver holds only branch metadata (kept ranges, ``n``, offset); branch
     states are deduplicated, so a set reached twice is explored once."""
     spark = items.sparkSession
-    indexed, count = index_items(items, order_by)
-    t = test.threshold
-    rows0 = _candidate_rows(indexed, test, max_broadcast_rows) if count else None
-    if not count or not rows0.any_fails:
-        empty = indexed.limit(0).drop("idx")
-        return AllResult(empty.select(F.lit(0).alias("set_id"), *empty.columns), [])
+    index = index_items(items, order_by)
+    count, t = index.count, test.threshold
+    rows0 = _candidates(index, test, max_broadcast_bytes, every_key=True) if count else None
+    if not count or not rows0.n_hot:
+        return AllResult(items.limit(0).select(F.lit(0).alias("set_id"), *items.columns), [])
     level = [([(0, count)], count, min(max(2, start_parts), max(count, 2)), 0)]
-    rows = rows0.df.select(F.lit(0).cast("long").alias("br"), "cur", "k", "w")
+    rows = rows0.df.select(F.lit(0).cast("long").alias("br"), F.col("idx").alias("cur"), "k", "w")
     seen = {(tuple(level[0][0]), level[0][2])}
     results = []
     while level:
@@ -534,7 +520,7 @@ def minimize_all(items: DataFrame, test: SumThreshold, order_by: list[str],
         results += [st[0] for st in level if st[1] <= min_items]
         if not active:
             break
-        res = _level_round(rows, level, t, max_broadcast_rows, max(rows0.n_keys, 1))
+        res = _level_round(rows, level, t)
         children = []          # (parent, kind, lo, hi, state)
         for br in active:
             iv, c, n, offset = level[br]
@@ -566,8 +552,7 @@ def minimize_all(items: DataFrame, test: SumThreshold, order_by: list[str],
         table = spark.createDataFrame(
             [(p, j, kind, lo, hi) for j, (p, kind, lo, hi, _) in enumerate(children)],
             "parent long, child long, kind string, lo long, hi long")
-        joined = join_small(rows, table.withColumnRenamed("parent", "br"), "br", "inner",
-                            len(children), max_broadcast_rows)
+        joined = join_small(rows, table.withColumnRenamed("parent", "br"), "br", "inner", 80 * len(children), max_broadcast_bytes)
         cur, lo, hi, kind = F.col("cur"), F.col("lo"), F.col("hi"), F.col("kind")
         inside = (cur >= lo) & (cur < hi)
         keep = F.when(kind == "part", inside).when(kind == "comp", ~inside).otherwise(F.lit(True))
@@ -576,48 +561,36 @@ def minimize_all(items: DataFrame, test: SumThreshold, order_by: list[str],
         rows = materialize(joined.where(keep).select(F.col("child").alias("br"), moved.alias("cur"), "k", "w"))
         level = [ch[4] for ch in children]
     uniq = sorted({tuple(iv) for iv in results})
-    frames = []
-    for sid, iv in enumerate(uniq):
-        sel = select_ranges(indexed, list(iv), "idx", max_broadcast_rows).drop("idx")
-        frames.append(sel.select(F.lit(sid).alias("set_id"), *sel.columns))
-    if not frames:
-        empty = indexed.limit(0).drop("idx")
-        return AllResult(empty.select(F.lit(0).alias("set_id"), *empty.columns), [])
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    ranges = materialize(spark.createDataFrame(
+        [(sid, lo, lo + ln) for sid, iv in enumerate(uniq) for lo, ln in iv], "set_id int, lo long, hi long"))
+    out = index.select(ranges, ("set_id",), measured_bytes(ranges))
     return AllResult(out, [list(iv) for iv in uniq])
 
 
 def part_test_matrix(items: DataFrame, test: SumThreshold, order_by: list[str], n: int,
-                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                     max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Outcome of the test on every part and every complement of a
     contiguous ``n``-way split, from one grouped job.
 
     ``(bucket, n_items, part_fails, complement_fails)``, one row per part.
     """
     t = test.threshold
-    indexed, count = index_items(items, order_by)
-    rows = _candidate_rows(indexed, test, max_broadcast_rows)
-    b = contiguous_bucket("cur", n, count)
+    index = index_items(items, order_by)
+    rows, count = _candidates(index, test, max_broadcast_bytes, every_key=True), index.count
+    b = contiguous_bucket("idx", n, count)
     S = rows.df.groupBy(b.alias("bucket"), F.col("k")).agg(F.sum("w").alias("s"))
-    T = S.groupBy("k").agg(F.sum("s").alias("T"))
-    # with non-negative weights the candidate keys are exactly the keys
-    # reaching t over all items; otherwise count them
-    n_hot = rows.n_keys if rows.nonneg else T.where(F.col("T") >= t).count()
-    ST = join_small(S, T, "k", "inner", rows.n_keys, max_broadcast_rows)
-    per_b = ST.groupBy("bucket").agg(
+    # a key has n sums at most
+    S = S.withColumn("T", F.sum("s").over(Window.partitionBy("k")))
+    per_b = S.groupBy("bucket").agg(
         F.max(F.col("s") >= t).alias("_pf"),
         F.max(F.col("s") <= F.col("T") - t).alias("_cp"),
         F.sum(F.when((F.col("T") >= t) & (F.col("s") > F.col("T") - t), 1).otherwise(0)).alias("_blk"))
-    spark = items.sparkSession
-    bucket = F.col("id")
     size = (F.expr(f"((id + 1) * {int(count)} + {int(n) - 1}) DIV {int(n)}")
             - F.expr(f"(id * {int(count)} + {int(n) - 1}) DIV {int(n)}"))
-    parts = spark.range(n).select(bucket.alias("bucket"), size.alias("n_items"))
+    parts = items.sparkSession.range(n).select(F.col("id").alias("bucket"), size.alias("n_items"))
     out = parts.join(per_b, "bucket", "left")
     return out.select(
         "bucket", "n_items",
         F.coalesce(F.col("_pf"), F.lit(False)).alias("part_fails"),
-        (F.coalesce(F.col("_cp"), F.lit(False)) | (F.coalesce(F.col("_blk"), F.lit(0)) < n_hot))
+        (F.coalesce(F.col("_cp"), F.lit(False)) | (F.coalesce(F.col("_blk"), F.lit(0)) < rows.n_hot))
         .alias("complement_fails"))

@@ -3,7 +3,7 @@
 Outputs are keyed by ``out_id = md5(trigram)``; every trigram record keeps
 ``(line_id, pos)``, so lineage is a projection of the records and tracing is a
 semi join, no engine instrumentation.  The bad-output set is materialised
-once and broadcast only when its counted size allows; otherwise the semi join
+once and broadcast only when its measured size allows; otherwise the semi join
 shuffles (AQE splits a hot key).
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import BAD_OUTPUT_LIMIT, output_id
 from faultline.operators.trigrams import WeightRule, trigram_records, trigram_totals
-from faultline.session import DEFAULT_BROADCAST_ROWS, in_list, join_small, materialize
+from faultline.session import MAX_BROADCAST_BYTES, join_small, materialize, measured_bytes
 
 
 def outputs_with_id(totals: DataFrame, key: str = "trigram") -> DataFrame:
@@ -31,24 +31,21 @@ class Trace:
     """Provenance of the trigram job over ``lines``.
 
     ``bad`` holds the outputs whose total is above ``limit``; it is computed
-    once and materialised, its row count is kept for the broadcast decision.
+    once and materialised, and its size is measured for the broadcast hint.
     """
 
-    PUSHDOWN_IDS = 10_000
-
     def __init__(self, lines: DataFrame, weight_rule=WeightRule(), limit: int = BAD_OUTPUT_LIMIT,
-                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS):
+                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES):
         self.lines = lines
         self.weight_rule = weight_rule
         self.limit = limit
-        self.max_broadcast_rows = max_broadcast_rows
+        self.max_broadcast_bytes = max_broadcast_bytes
         self.records = trigram_records(lines, weight_rule)
         self.totals = trigram_totals(self.records)
         self._bad = None
-        self._bad_rows = None
+        self._bad_bytes = None
         self._lines_back = None
-        self._lines_back_rows = None
-        self._back_lines = None
+        self._lines_back_bytes = None
 
     # -- backward ---------------------------------------------------------
     @property
@@ -56,17 +53,17 @@ class Trace:
         """``(out_id, trigram, total)`` with ``total > limit`` (F1 + L1)."""
         if self._bad is None:
             self._bad = materialize(outputs_with_id(self.totals.where(F.col("total") > self.limit)))
-            self._bad_rows = self._bad.count()
+            self._bad_bytes = measured_bytes(self._bad)
         return self._bad
 
     def _bad_keys(self) -> tuple[DataFrame, int]:
         bad = self.bad
-        return bad.select("trigram"), self._bad_rows
+        return bad.select("trigram"), self._bad_bytes
 
     def records_of_bad(self) -> DataFrame:
         """Trigram records that feed a bad output."""
         keys, n = self._bad_keys()
-        return join_small(self.records, keys, "trigram", "left_semi", n, self.max_broadcast_rows)
+        return join_small(self.records, keys, "trigram", "left_semi", n, self.max_broadcast_bytes)
 
     def back_records(self) -> DataFrame:
         """``(out_id, line_id, pos)``: records one step back from bad outputs (L4)."""
@@ -77,23 +74,12 @@ class Trace:
         if self._lines_back is None:
             ids = self.records_of_bad().select("line_id").distinct()
             self._lines_back = materialize(ids)
-            self._lines_back_rows = self._lines_back.count()
+            self._lines_back_bytes = measured_bytes(self._lines_back)
         return self._lines_back
 
     def back_lines(self) -> DataFrame:
-        """``(line_id, line)``: the traced lines themselves.
-
-        Up to ``PUSHDOWN_IDS`` traced ids become an ``IN`` filter, which
-        Catalyst pushes into the scan (Parquet skips row groups outside the
-        ids); more ids use a size-checked semi join."""
-        if self._back_lines is None:
-            ids = self.back_line_ids()
-            if self._lines_back_rows <= self.PUSHDOWN_IDS:
-                self._back_lines = self.lines.where(in_list("line_id", [r[0] for r in ids.collect()]))
-            else:
-                self._back_lines = join_small(self.lines, ids, "line_id", "left_semi",
-                                              self._lines_back_rows, self.max_broadcast_rows)
-        return self._back_lines
+        """``(line_id, line)``: the traced lines themselves."""
+        return join_small(self.lines, self.back_line_ids(), "line_id", "left_semi", self._lines_back_bytes, self.max_broadcast_bytes)
 
     # -- forward ----------------------------------------------------------
     def forward_records(self, within_bad: bool = False) -> DataFrame:
@@ -104,5 +90,5 @@ class Trace:
         recs = trigram_records(self.back_lines(), self.weight_rule)
         if within_bad:
             keys, n = self._bad_keys()
-            recs = join_small(recs, keys, "trigram", "left_semi", n, self.max_broadcast_rows)
+            recs = join_small(recs, keys, "trigram", "left_semi", n, self.max_broadcast_bytes)
         return recs

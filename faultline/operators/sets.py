@@ -1,115 +1,157 @@
 """Item indexing, splits and set operations used by delta debugging.
 
 * ``index_items`` gives every item a dense ``idx`` in ``0..count-1`` without
-  funnelling rows through one task: a range-partitioned sort, per-partition
-  counts (one row per partition) and their prefix offsets as a literal.
+  funnelling rows through one task: a range-partitioned sort of the key
+  columns alone, per-partition counts and their prefix offsets as a literal.
 * Splits return a *bucket column*, so all parts live in one DataFrame and one
   grouped job can look at all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.session import in_list, materialize, spread
+from faultline.session import join_small, materialize, measured_bytes
 
 _LONG_MAX = (1 << 63) - 1
-
-
-def index_items(df: DataFrame, order_by: list[str], idx: str = "idx") -> tuple[DataFrame, int]:
-    """Add a dense ``idx`` following ``order_by`` (which should be unique, so
-    the order is total) and return it with the item count (P6).
-
-    The sorted rows are materialised once, so ids never change between jobs.
-    Only one row per partition reaches the offset computation.
-    """
-    sorted_rows = df.orderBy(*order_by).select(
-        "*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
-    sorted_rows = materialize(sorted_rows)
-    # one small row per partition: (partition, first id, row count)
-    per_part = sorted(tuple(r) for r in sorted_rows.groupBy("_pid").agg(
-        F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n")).collect())
-    n_parts = (per_part[-1][0] + 1) if per_part else 0
-    base = [0] * n_parts          # first idx of each partition minus its first id
-    count = 0
-    for pid, m0, n in per_part:
-        base[pid] = count - m0
-        count += n
-    # applied as a literal array indexed by partition (bounded by the
-    # partition count), so no join and no size-estimate blow-up
-    shift = F.element_at(F.expr("array(" + ", ".join(f"{int(b)}L" for b in base) + ")"),
-                         F.col("_pid") + 1) if n_parts else F.lit(0)
-    indexed = sorted_rows.withColumn(idx, (F.col("_mid") + shift).cast("long")).drop("_pid", "_mid")
-    # the sort's output may have been coalesced into few tasks (small in bytes,
-    # but each item may expand, e.g. a line into its trigrams): spread it
-    # again.  Checking the split count is cheap here: the rows are checkpointed.
-    return spread(indexed), int(count)
-
-
-def index_by_group(df: DataFrame, group_cols: list[str], pos_col: str, idx: str = "idx",
-                   max_broadcast_rows: int | None = None) -> "GroupIndex | None":
-    """Dense ``idx`` in ``(group, pos)`` order when every group's positions
-    run ``0..m-1`` (the trigram records of a line): ``idx = start(group) +
-    pos``.  Only the per-group counts are range-partitioned and materialised,
-    not the items, so nothing item-sized is sorted or written.  Returns
-    ``None`` when positions are not contiguous (use ``index_items``)."""
-    from pyspark.sql import Window
-
-    from faultline.session import DEFAULT_BROADCAST_ROWS, join_small
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"),
-                                        (F.max(pos_col) + 1).alias("_m"), F.min(pos_col).alias("_p0"))
-    ranged = materialize(sizes.repartitionByRange(*group_cols)
-                         .select("*", F.spark_partition_id().alias("_pp")))
-    # one row per partition: its total, its group count, and gaps found
-    per_pp = sorted(tuple(r) for r in ranged.groupBy("_pp").agg(
-        F.sum("_n").alias("t"), F.count(F.lit(1)).alias("g"),
-        F.count_if((F.col("_n") != F.col("_m")) | (F.col("_p0") != 0)).alias("bad")).collect())
-    if any(bad for *_, bad in per_pp):
-        return None
-    offs, total = {}, 0
-    for pp, t, _, _ in per_pp:
-        offs[pp] = total
-        total += int(t or 0)
-    groups = sum(int(g) for _, _, g, _ in per_pp)
-    n_pp = (per_pp[-1][0] + 1) if per_pp else 0
-    base = F.element_at(F.expr("array(" + ", ".join(f"{int(offs.get(i, 0))}L" for i in range(n_pp)) + ")"),
-                        F.col("_pp") + 1) if n_pp else F.lit(0)
-    # running sum inside each range partition (one task each), plus its offset
-    w = Window.partitionBy("_pp").orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.select(*group_cols, "_n",
-                           (base + F.coalesce(F.sum("_n").over(w), F.lit(0))).alias("_start"))
-    out = join_small(df, starts.drop("_n"), group_cols, "inner", groups,
-                     max_broadcast_rows or DEFAULT_BROADCAST_ROWS)
-    out = out.withColumn(idx, (F.col("_start") + F.col(pos_col)).cast("long")).drop("_start")
-    return GroupIndex(out, total, starts, group_cols)
-
-
-class GroupIndex(tuple):
-    """``(items_with_idx, count)`` from ``index_by_group``, plus ``narrow``:
-    for a few kept idx ranges, a filter on the group column that Catalyst can
-    push into the scan, so fetching a small result does not recompute every
-    item."""
-    NARROW_GROUPS = 10_000
-
-    def __new__(cls, frame, count, starts, group_cols):
-        obj = super().__new__(cls, (frame, count))
-        obj.starts, obj.group_cols = starts, group_cols
-        return obj
-
-    def narrow(self, iv) -> Column | None:
-        if len(self.group_cols) != 1 or not iv:
-            return None
-        hit = None
-        for s, ln in iv:
-            c = (F.col("_start") < s + ln) & (F.col("_start") + F.col("_n") > s)
-            hit = c if hit is None else hit | c
-        groups = self.starts.where(hit).select(self.group_cols[0]).limit(self.NARROW_GROUPS + 1).collect()
-        if len(groups) > self.NARROW_GROUPS:
-            return None
-        return in_list(self.group_cols[0], [g[0] for g in groups])
+# index positions per block of a range join
+_BLOCK = 1 << 16
+
+
+def _offsets(per_part: list[tuple[int, int]]) -> Column:
+    """Rows before each partition, looked up by the column ``_pid``: one
+    number per partition goes through the driver."""
+    sizes = dict(per_part)
+    starts, total = [], 0
+    for i in range(max(sizes, default=-1) + 1):
+        starts.append(total)
+        total += sizes.get(i, 0)
+    if not starts:
+        return F.lit(0).cast("long")
+    return F.element_at(F.expr("array(" + ", ".join(f"{x}L" for x in starts) + ")"), F.col("_pid") + 1)
+
+
+@dataclass
+class ItemIndex:
+    """A dense index over items: ``frame`` holds ``(*key, idx)`` only."""
+    items: DataFrame
+    frame: DataFrame
+    key: list[str]
+    count: int
+
+    def rows(self, test) -> DataFrame:
+        """``(*key, k, w)``: the test's rows; ``attach`` adds the idx to those that are kept."""
+        return test.item_rows(self.items, self.key).select(
+            *self.key, F.struct(F.col(test.key)).alias("k"), F.col(test.weight).cast("long").alias("w"))
+
+    def attach(self, rows: DataFrame) -> DataFrame:
+        return _null_safe_join(rows, self.frame, self.key)
+
+    def indexed(self) -> DataFrame:
+        """The items with ``idx``."""
+        return _null_safe_join(self.items, self.frame, self.key)
+
+    def select(self, ranges: DataFrame, extra: tuple[str, ...] = (), ranges_bytes: int | None = None) -> DataFrame:
+        """The items whose idx lies in a range ``(lo, hi)`` of ``ranges``."""
+        hit = select_ranges(self.frame, ranges, extra, ranges_bytes)
+        return _null_safe_join(self.items, hit.drop("idx"), self.key).select(*extra, *self.items.columns)
+
+
+@dataclass
+class GroupIndex:
+    """A dense index over records ``(group, pos)`` that ``expand`` makes from
+    ``groups`` rows, kept as ``starts``: ``(group, _start, _n)``, one row per
+    group.  Records are neither sorted nor written to be indexed."""
+    groups: DataFrame
+    expand: Callable[[DataFrame], DataFrame]
+    starts: DataFrame
+    group: str
+    pos: str
+    count: int
+
+    @property
+    def items(self) -> DataFrame:
+        return self.expand(self.groups)
+
+    def rows(self, test) -> DataFrame:
+        return test.item_rows(self.items, [self.group, self.pos]).select(
+            self.group, self.pos, F.struct(F.col(test.key)).alias("k"), F.col(test.weight).cast("long").alias("w"))
+
+    def attach(self, rows: DataFrame) -> DataFrame:
+        return (_null_safe_join(rows, self.starts, [self.group])
+                .withColumn("idx", (F.col("_start") + F.col(self.pos)).cast("long")).drop("_start", "_n"))
+
+    def indexed(self) -> DataFrame:
+        return self.attach(self.items)
+
+    def select(self, ranges: DataFrame, extra: tuple[str, ...] = (), ranges_bytes: int | None = None) -> DataFrame:
+        """Ranges are joined with the groups first, so that only groups with a
+        wanted record are expanded."""
+        some = self.starts.where(F.col("_n") > 0)
+        spans = some.select(self.group, "_start", "_n", F.explode(F.sequence(
+            F.expr(f"_start DIV {_BLOCK}"), F.expr(f"(_start + _n - 1) DIV {_BLOCK}"))).alias("_blk"))
+        hit = join_small(spans, _blocks(ranges, extra), "_blk", "inner", ranges_bytes).where("_start < _hi AND _start + _n > _lo")
+        hit = hit.select(self.group, *extra, (F.greatest("_lo", "_start") - F.col("_start")).alias("_from"),
+                         (F.least("_hi", F.col("_start") + F.col("_n")) - F.col("_start")).alias("_to")).distinct()
+        hit = materialize(hit)
+        size = measured_bytes(hit)
+        wanted = join_small(self.groups, hit.select(self.group).distinct(), self.group, "left_semi", size)
+        items = self.expand(wanted)
+        out = join_small(items, hit, self.group, "inner", size).where(f"`{self.pos}` >= _from AND `{self.pos}` < _to")
+        return out.select(*extra, *items.columns)
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    on = reduce(lambda a, b: a & b, [F.col(f"_l.`{c}`").eqNullSafe(F.col(f"_r.`{c}`")) for c in key])
+    rest = [c for c in right.columns if c not in key]
+    return left.alias("_l").join(right.alias("_r"), on).select(*[F.col(f"_l.`{c}`") for c in left.columns], *[F.col(f"_r.`{c}`") for c in rest])
+
+
+def _blocks(ranges: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    return ranges.select(*extra, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(
+        F.expr(f"lo DIV {_BLOCK}"), F.expr(f"(hi - 1) DIV {_BLOCK}"))).alias("_blk"))
+
+
+def select_ranges(indexed: DataFrame, ranges: DataFrame, extra: tuple[str, ...] = (), ranges_bytes: int | None = None) -> DataFrame:
+    """Rows of ``indexed`` whose ``idx`` lies in a (non-empty) range ``(lo, hi)``
+    of ``ranges``, with the range's ``extra`` columns: an equi-join on blocks
+    of the index, whatever the number of ranges."""
+    joined = join_small(indexed.withColumn("_blk", F.expr(f"idx DIV {_BLOCK}")), _blocks(ranges, extra), "_blk", "inner", ranges_bytes)
+    return joined.where("idx >= _lo AND idx < _hi").select(*indexed.columns, *extra)
+
+
+def index_items(df: DataFrame, order_by: list[str]) -> ItemIndex:
+    """Number the items densely by ``order_by``, which must be unique.
+
+    Only those columns are sorted and written; other columns are joined back
+    where they are needed.  One row per partition reaches the driver."""
+    keys = df.select(*order_by).orderBy(*order_by)
+    keys = materialize(keys.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
+    per_part = [tuple(r) for r in keys.groupBy("_pid").agg(F.count(F.lit(1)), F.min("_mid")).collect()]
+    first = {pid: m for pid, _, m in per_part}
+    in_part = F.col("_mid") - F.element_at(F.expr("array(" + ", ".join(f"{first.get(i, 0)}L" for i in range(max(first, default=0) + 1)) + ")"),
+                                           F.col("_pid") + 1)
+    frame = keys.select(*order_by, (in_part + _offsets([(p, n) for p, n, _ in per_part])).cast("long").alias("idx"))
+    return ItemIndex(df, frame, list(order_by), sum(n for _, n, _ in per_part))
+
+
+def index_by_group(groups: DataFrame, sizes: Column, group: str, pos: str, expand: Callable[[DataFrame], DataFrame]) -> GroupIndex:
+    """Number the records that ``expand(groups)`` makes, in (group, pos) order.
+
+    ``sizes`` is the number of records of a group row (positions run from 0),
+    so the index needs no record: one narrow row per group is range-partitioned
+    and kept.  ``group`` must be unique in ``groups``."""
+    ranged = materialize(groups.select(group, sizes.cast("long").alias("_n")).repartitionByRange(group)
+                         .select("*", F.spark_partition_id().alias("_pid")))
+    per_part = [(r[0], int(r[1] or 0)) for r in ranged.groupBy("_pid").agg(F.sum("_n")).collect()]
+    before = Window.partitionBy("_pid").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.select(group, "_n", (_offsets(per_part) + F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_start"))
+    return GroupIndex(groups, expand, starts, group, pos, sum(n for _, n in per_part))
 
 
 def contiguous_bucket(idx: str, n: int, count: int) -> Column:
@@ -133,14 +175,20 @@ def part_bounds(k: int, n: int, count: int) -> tuple[int, int]:
 def random_bucket(cols: list[str], n: int, seed: int) -> Column:
     """Seeded random part in ``0..n-1`` with equal probabilities (K1).
 
-    Computed from a hash of the item's own columns, so it does not depend on
-    partitioning or task retries; parts may be empty, as with a random split.
+    Computed from a hash of the columns, so it does not depend on partitioning
+    or task retries; parts may be empty, as with a random split.  The columns
+    must be unique per item (such as ``idx``): rows equal in them share a part.
     """
     h = F.xxhash64(F.lit(int(seed)), *[F.col(c) for c in cols])
     u = (F.pmod(h, F.lit(1 << 53)).cast("double") / float(1 << 53))
     return F.least(F.floor(u * n), F.lit(n - 1)).cast("long")
 
 
+def random_split(seed: int) -> Callable[[DataFrame, int], Column]:
+    """K1 as a splitter for ``ddmin``: a new assignment for every number of parts."""
+    return lambda df, n: random_bucket(["idx"], n, seed + n)
+
+
 def split_frames(df: DataFrame, bucket: Column, n: int) -> list[DataFrame]:
     """The parts as separate DataFrames (each a filter of one input)."""
     tagged = df.withColumn("_bucket", bucket)
@@ -156,12 +204,14 @@ def subtract_by_value(left: DataFrame, right: DataFrame, cols: list[str] | None
     """Drop every left row equal (null-safe) to some right row; left
     duplicates of surviving values are kept (U1, as RDD ``subtract``)."""
     cols = cols or left.columns
-    l, r = left.alias("_l"), right.select(*cols).alias("_r")
+    # a value that many right rows share is one row after partial aggregation
+    l, r = left.alias("_l"), right.select(*cols).distinct().alias("_r")
     cond = reduce(lambda a, b: a & b,
                   [F.col(f"_l.`{c}`").eqNullSafe(F.col(f"_r.`{c}`")) for c in cols])
     return l.join(r, cond, "left_anti").select([F.col(f"_l.`{c}`").alias(c) for c in left.columns])
 
 
 def intersect_distinct(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct rows present in both."""
-    return left.intersect(right)
+    """Distinct rows present in both (U3).  Both sides are reduced to their
+    distinct rows before they meet."""
+    return left.distinct().intersect(right.distinct())

@@ -102,6 +102,16 @@ def _trigram_rows(lines: DataFrame, line_col: str, on_malformed: str, carry=())
         *keep, "pos", trigram_of("p").alias("trigram"))
 
 
+def trigram_counts(line_col: str = "line", on_malformed: str = "fail") -> Column:
+    """Number of trigrams of a line, without making them (0 for a null line)."""
+    line = F.col(line_col)
+    ok = F.when(has_name(line), contents_of(line))
+    if on_malformed == "fail":
+        ok = F.when(line.isNull(), F.lit(None)).when(has_name(line), contents_of(line)).otherwise(F.raise_error(
+            F.concat(F.lit("line without a ':' separator: "), F.left(line, F.lit(200)))).cast("string"))
+    return F.greatest(F.coalesce(F.size(tokens_of(ok)), F.lit(0)) - 2, F.lit(0))
+
+
 def trigram_records(lines: DataFrame, weight_rule=WeightRule(), line_col: str = "line",
                     on_malformed: str = "fail", carry=()) -> DataFrame:
     """``(line_id, doc, pos, trigram, weight)``: one row per sliding word

@@ -13,39 +13,45 @@ from faultline.functions.text import BAD_OUTPUT_LIMIT, FAIL_THRESHOLD
 from faultline.operators.minimize import MinimizeResult, ddmin
 from faultline.operators.oracles import lines_test, records_test
 from faultline.operators.provenance import Trace
-from faultline.operators.sets import index_by_group
-from faultline.operators.trigrams import WeightRule, trigram_records
-from faultline.session import DEFAULT_BROADCAST_ROWS
+from faultline.operators.sets import GroupIndex, index_by_group
+from faultline.operators.trigrams import WeightRule, trigram_counts, trigram_records
+from faultline.session import MAX_BROADCAST_BYTES
 
 RECORD_COLS = ["line_id", "pos", "trigram", "weight"]
 
 
+def record_index(lines: DataFrame, weight_rule=WeightRule()) -> GroupIndex:
+    """The trigram records of ``lines``, numbered by (line, position)."""
+    return index_by_group(lines, trigram_counts(), "line_id", "pos",
+                          lambda some: trigram_records(some, weight_rule).select(*RECORD_COLS))
+
+
 def traced_lines(lines: DataFrame, weight_rule=WeightRule(), limit: int = BAD_OUTPUT_LIMIT,
-                 threshold: int = FAIL_THRESHOLD, min_items: int = 1,
-                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> MinimizeResult:
+                 threshold: int = FAIL_THRESHOLD, min_items: int = 1, test=None, split=None,
+                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> MinimizeResult:
     """The minimal set of input lines that still makes a total reach
-    ``threshold``, searched only among lines traced back from bad outputs."""
-    tr = Trace(lines, weight_rule, limit, max_broadcast_rows)
-    return ddmin(tr.back_lines(), lines_test(weight_rule, threshold), ["line_id"],
-                 min_items=min_items, max_broadcast_rows=max_broadcast_rows)
+    ``threshold``, searched only among lines traced back from bad outputs.
+    ``test`` and ``split`` replace the threshold test and the contiguous split."""
+    tr = Trace(lines, weight_rule, limit, max_broadcast_bytes)
+    return ddmin(tr.back_lines(), test or lines_test(weight_rule, threshold), ["line_id"], split=split,
+                 min_items=min_items, max_broadcast_bytes=max_broadcast_bytes)
+
+
+def _records(lines, weight_rule, threshold, min_items, test, split, max_broadcast_bytes):
+    index = record_index(lines, weight_rule)
+    return ddmin(index.items, test or records_test(threshold), ["line_id", "pos"], split=split, min_items=min_items,
+                 max_broadcast_bytes=max_broadcast_bytes, index=index)
 
 
 def traced_records(lines: DataFrame, weight_rule=WeightRule(), limit: int = BAD_OUTPUT_LIMIT,
-                   threshold: int = FAIL_THRESHOLD, min_items: int = 1,
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> MinimizeResult:
+                   threshold: int = FAIL_THRESHOLD, min_items: int = 1, test=None, split=None,
+                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> MinimizeResult:
     """Minimal set of trigram records among the records of traced lines."""
-    tr = Trace(lines, weight_rule, limit, max_broadcast_rows)
-    items = tr.forward_records().select(*RECORD_COLS)
-    return ddmin(items, records_test(threshold), ["line_id", "pos"], min_items=min_items,
-                 max_broadcast_rows=max_broadcast_rows,
-                 indexed=index_by_group(items, ["line_id"], "pos", max_broadcast_rows=max_broadcast_rows))
+    traced = Trace(lines, weight_rule, limit, max_broadcast_bytes).back_lines()
+    return _records(traced, weight_rule, threshold, min_items, test, split, max_broadcast_bytes)
 
 
 def all_records(lines: DataFrame, weight_rule=WeightRule(), threshold: int = FAIL_THRESHOLD,
-                min_items: int = 1, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> MinimizeResult:
+                min_items: int = 1, test=None, split=None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> MinimizeResult:
     """Minimal set of trigram records over all records."""
-    items = trigram_records(lines, weight_rule).select(*RECORD_COLS)
-    # records are ordered by (line, pos): only per-line counts are sorted
-    return ddmin(items, records_test(threshold), ["line_id", "pos"], min_items=min_items,
-                 max_broadcast_rows=max_broadcast_rows,
-                 indexed=index_by_group(items, ["line_id"], "pos", max_broadcast_rows=max_broadcast_rows))
+    return _records(lines, weight_rule, threshold, min_items, test, split, max_broadcast_bytes)

@@ -11,12 +11,12 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may hold before we stop broadcasting it.  Every broadcast in the
-# library goes through ``join_small`` which checks the count first.
-DEFAULT_BROADCAST_ROWS = 500_000
+# Measured bytes up to which a join side gets a broadcast hint.  A side that
+# is larger, or was not measured, is left to Spark (its own threshold, AQE).
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def build_session(master: str | None = None, app: str = "faultline",
@@ -35,6 +35,7 @@ def build_session(master: str | None = None, app: str = "faultline",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -67,42 +68,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` (set by
+    ``build_session``) Spark removes the files once the frame is unreachable."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left_semi",
-               small_rows: int | None = None,
-               max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Join ``big`` with ``small``; broadcast ``small`` only when its row count
-    (given, or counted here) is within ``max_broadcast_rows``.  Beyond that the
-    join is left to a shuffle join (with AQE skew splitting)."""
-    if small_rows is None:
-        small_rows = small.count()
-    if small_rows <= max_broadcast_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a (materialised, narrow) frame: bytes of its texts plus 16 per value."""
+    texts = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    row = F.lit(16 * len(df.columns))
+    for t in texts:
+        row = row + t
+    return int(df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0])
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that has fewer input splits than the session has task
-    slots (e.g. one large row group) round-robin over the slots, so the
-    per-row text work is parallel.  A scan that is already split widely (the
-    normal case on a large input) is returned unchanged: no shuffle.
 
-    Use it on a scan or on checkpointed data only: asking a plan that holds
-    a shuffle for its partition count makes AQE run that shuffle."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df.repartition(want) if have < want else df
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left_semi", small_bytes: int | None = None,
+               max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Join with a broadcast hint on ``small`` when its measured size is within
+    ``max_broadcast_bytes``; otherwise Spark plans the join (AQE splits skew).
+    The rows are the same either way."""
+    if small_bytes is not None and small_bytes <= max_broadcast_bytes:
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small, on, how)
 
 
-def in_list(col: str, values) -> Column:
-    """``col IN (values)`` built in one call (one column per literal would
-    cost a driver round trip each).  Integer ids are inlined; other types
-    fall back to ``isin``."""
-    vals = list(values)
-    if vals and all(isinstance(v, int) and not isinstance(v, bool) for v in vals):
-        return F.expr(f"`{col}` IN (" + ", ".join(f"{int(v)}L" for v in vals) + ")")
-    return F.col(col).isin(vals)
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """Deal rows round robin over ``partitions``: for a table of few, large
+    row groups, where the scan has too few splits.  A full shuffle, so it is
+    done only where a caller asks for it."""
+    return df.repartition(partitions)

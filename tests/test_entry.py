@@ -9,7 +9,10 @@ import __spark_entry__ as entry  # noqa: E402
 
 
 def test_keys_match():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    # the rest is iterative or trained: tested against a model or brute force
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    core = {k for k in entry.queries() if not k.startswith("op") and k != "pipeline"}
+    assert core - set(entry.oracle_sql()) == {"ddmin_conjunction_history"}
 
 
 def test_entry_flagship(spark):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import minimize as mz
+from faultline.operators import sets
 from faultline.operators.oracles import CallableTest, SumThreshold, records_test
 
 
@@ -23,42 +24,56 @@ def py_bounds(k, n, c):
     return (k * c + n - 1) // n, ((k + 1) * c + n - 1) // n
 
 
+def halves(part):
+    mid = (len(part) + 1) // 2
+    return [part[:mid], part[mid:]] if len(part) > 1 else [part]
+
+
+def flat(parts):
+    return [x for p in parts for x in p]
+
+
 def py_ddmin(items, t, min_items=1):
-    """items sorted by id; returns (kept ids, outcomes)."""
-    cur, n, off, outcomes = list(items), 2, 0, []
-    if not cur or not py_fails(cur, t):
-        return [], ["pass"]
+    """One test at a time; boundaries of parts are kept until they are halved.
+    Returns (kept ids, [(outcome, n_items, n_parts)])."""
+    log = []
+    if not items or not py_fails(items, t):
+        return [], [("pass", len(items), 2)]
+    whole, parts = list(items), None
     while True:
-        c = len(cur)
-        n = min(n, max(c, 2))
+        if parts is None:
+            parts, n = halves(whole), 2
+        c = len(flat(parts))
         if c <= min_items:
-            outcomes.append("done")
+            log.append(("done", c, n))
             break
-        parts = [cur[slice(*py_bounds(k, n, c))] for k in range(n)]
-        hit = next((k for k in range(n) if py_fails(parts[k], t)), None)
-        if hit is not None:
-            cur, n, off = parts[hit], 2, 0
-            outcomes.append("part")
+        hit = next((p for p in parts if py_fails(p, t)), None)
+        if hit is not None and len(parts) > 1:
+            log.append(("part", c, n))
+            whole, parts = hit, None
             continue
-        if n > 2:
-            comp = None
-            for j in range(n):
-                i = (j + off) % n
-                rest = [x for k, p in enumerate(parts) if k != i for x in p]
-                if py_fails(rest, t):
-                    comp = i
-                    break
-            if comp is not None:
-                cur = [x for k, p in enumerate(parts) if k != comp for x in p]
-                n, off = max(n - 1, 2), comp
-                outcomes.append("complement")
-                continue
-        if n >= c:
-            outcomes.append("done")
+        before, at, tried = len(parts), 0, 0
+        while n > 2 and len(parts) > 2 and tried < len(parts):
+            rest = parts[:at] + parts[at + 1:]
+            if py_fails(flat(rest), t):
+                parts, tried = rest, 0
+            else:
+                at, tried = at + 1, tried + 1
+            at %= len(parts)
+        if len(parts) < before:
+            log.append(("complement", c, n))
+            c, n = len(flat(parts)), len(parts)
+        if c <= min_items or all(len(p) == 1 for p in parts):
+            log.append(("done", c, n))
             break
-        n = min(c, 2 * n)
-        outcomes.append("refine")
-    return [i for i, _, _ in cur], outcomes
+        log.append(("refine", c, n))
+        parts = [h for p in parts for h in halves(p)]
+        n = len(parts)
+    return [i for i, _, _ in flat(parts)], log
+
+
+def rounds(res):
+    return [(s.outcome, s.n_items, s.n_parts) for s in res.steps]
 
 
 def frame(spark, items):
@@ -75,7 +90,7 @@ def test_three_culprit_conjunction(spark):
     items = [(i, "k", 4000 if i in (5, 30, 61) else 1) for i in range(64)]
     got, res = run(spark, items, 12000)
     assert got == [5, 30, 61]
-    assert [s.outcome for s in res.steps] == py_ddmin(items, 12000)[1]
+    assert rounds(res) == py_ddmin(items, 12000)[1]
 
 
 def test_not_failing_input(spark):
@@ -107,7 +122,7 @@ def test_matches_python_model(spark, seed):
     want_ids, want_steps = py_ddmin(items, t)
     got, res = run(spark, items, t)
     assert got == want_ids
-    assert [s.outcome for s in res.steps] == want_steps
+    assert rounds(res) == want_steps
     if got:
         kept = [x for x in items if x[0] in set(got)]
         assert py_fails(kept, t)
@@ -119,7 +134,7 @@ def test_negative_weights_keep_all_keys(spark):
     items = [(0, "a", 6), (1, "a", -3), (2, "a", 6), (3, "b", 1), (4, "a", -1)]
     want_ids, want_steps = py_ddmin(items, 10)
     got, res = run(spark, items, 10)
-    assert got == want_ids and [s.outcome for s in res.steps] == want_steps
+    assert got == want_ids and rounds(res) == want_steps
 
 
 def test_min_items_stop(spark):
@@ -143,13 +158,13 @@ def test_opaque_test_and_custom_split(spark):
     assert sorted(r["id"] for r in res2.items.collect()) == [3, 17]
 
 
-def test_speculation_long_path(spark):
+def test_look_ahead_long_path(spark):
     # long "part" path: exercised by the look-ahead job
     n = 5000
     items = [(i, "k", 10000 if i == 3333 else 1) for i in range(n)]
     got, res = run(spark, items, 10000)
     assert got == [3333]
-    assert [s.outcome for s in res.steps] == py_ddmin(items, 10000)[1]
+    assert rounds(res) == py_ddmin(items, 10000)[1]
 
 
 def test_exhaustive_two_culprits(spark):
@@ -250,15 +265,14 @@ def test_range_bookkeeping():
     assert mz._drop([(0, 4), (4, 4)], 0, 0) == [(0, 8)]
 
 
-@pytest.mark.parametrize("n_ranges", [5, 100])
-def test_select_ranges_filter_and_block_join(spark, n_ranges):
+@pytest.mark.parametrize("n_ranges", [1, 5, 3000])
+def test_select_ranges(spark, n_ranges):
     rnd = random.Random(n_ranges)
     starts = sorted(rnd.sample(range(0, 200_000, 10), n_ranges))
-    iv = [(s, rnd.randint(1, 9)) for s in starts]
+    iv = [(s, s + rnd.randint(1, 9)) for s in starts] if n_ranges > 1 else [(5, 150_000)]
     df = spark.range(200_000).withColumnRenamed("id", "idx")
-    got = sorted(r["idx"] for r in mz.select_ranges(df, iv).collect())
-    want = sorted(i for s, ln in iv for i in range(s, s + ln))
-    assert got == want
+    got = sorted(r["idx"] for r in sets.select_ranges(df, mz._ranges(spark, iv)).collect())
+    assert got == [i for a, b in iv for i in range(a, b)]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -272,4 +286,109 @@ def test_general_path_matches_model(spark, seed):
     res = mz.ddmin(frame(spark, items), CallableTest(st.fails), ["id"], test_concurrency=2)
     want_ids, want_steps = py_ddmin(items, t)
     assert sorted(r["id"] for r in res.items.collect()) == want_ids
-    assert [s.outcome for s in res.steps] == want_steps
+    assert rounds(res) == want_steps
+
+
+# ---- batched rounds --------------------------------------------------------------
+@pytest.mark.parametrize("seed", range(12))
+def test_sweeps_with_several_keys_match_model(spark, seed):
+    # items hold one of several keys that stay over the threshold together for a while
+    rnd = random.Random(300 + seed)
+    n = rnd.randint(20, 90)
+    items = [(i, rnd.choice("abcd"), rnd.choice([0, 0, 1, 2, 7])) for i in range(n)]
+    t = max(2, sorted(sum(w for _, k, w in items if k == key) for key in "abcd")[1] - rnd.randint(0, 6))
+    want_ids, want_steps = py_ddmin(items, t)
+    got, res = run(spark, items, t)
+    assert got == want_ids and rounds(res) == want_steps
+
+
+def test_identical_keys_take_few_jobs(spark):
+    # every item has two keys of the same weights: both survive every removal
+    needed = set(random.Random(1).sample(range(300), 12))
+    df = spark.createDataFrame([(i, 1000 if i in needed else 1) for i in range(300)], "id long, weight long")
+    test = SumThreshold("trigram", "weight", 12_000, lambda d, carry: d.select(*carry, F.explode(F.array(F.lit("a"), F.lit("b"))).alias("trigram"), "weight"))
+    res = mz.ddmin(df, test, ["id"])
+    assert sorted(r["id"] for r in res.items.collect()) == sorted(needed)
+    assert res.steps[-1].job <= 2 * 9 + 10
+
+
+def test_scattered_needed_items_take_few_jobs(spark):
+    needed = set(random.Random(2).sample(range(1000), 10))
+    items = [(i, "k", 1000 if i in needed else 1) for i in range(1000)]
+    got, res = run(spark, items, 10_000)
+    assert got == sorted(needed) and rounds(res) == py_ddmin(items, 10_000)[1]
+    assert res.steps[-1].job <= 2 * 10 + 10
+
+
+def test_many_needed_items(spark):
+    needed = set(random.Random(3).sample(range(20_000), 2000))
+    items = [(i, "k", 100_000 if i in needed else 1) for i in range(20_000)]
+    got, res = run(spark, items, 200_000_000)
+    assert got == sorted(needed) and res.steps[-1].job < 100
+
+
+def test_null_key_is_a_key(spark):
+    items = [(i, None, 100 if i == 5 else 1) for i in range(12)]
+    assert run(spark, items, 100)[0] == [5]
+    st = SumThreshold("trigram", "weight", 100)
+    res = mz.ddmin(frame(spark, items), CallableTest(st.fails), ["id"])
+    assert [r["id"] for r in res.items.collect()] == [5]
+    two = [(i, None, 50 if i in (2, 9) else 0) for i in range(12)]
+    assert run(spark, two, 100)[0] == [2, 9] == py_ddmin(two, 100)[0]
+    m = mz.part_test_matrix(frame(spark, two), SumThreshold("trigram", "weight", 100), ["id"], 3)
+    assert [r["complement_fails"] for r in m.orderBy("bucket").collect()] == [False, True, False]
+    both = mz.minimize_all(frame(spark, two), SumThreshold("trigram", "weight", 100), ["id"])
+    assert sorted(r["id"] for r in both.items.collect()) == [2, 9]
+
+
+def test_history_gives_time_once_per_job(spark):
+    _, res = run(spark, [(i, "k", 100 if i == 77 else 1) for i in range(200)], 100)
+    by_job = {}
+    for s in res.steps:
+        by_job.setdefault(s.job, []).append(s.micros)
+    assert all(m[0] > 0 and all(x is None for x in m[1:]) for m in by_job.values())
+    assert [(r["round"], r["outcome"]) for r in res.history.orderBy("round").collect()] == [(s.round, s.outcome) for s in res.steps]
+
+
+def test_opaque_test_is_called_one_at_a_time(spark):
+    calls = []
+
+    def fails(d):
+        ids = sorted(r["id"] for r in d.collect())
+        calls.append(ids)
+        return 1 in ids
+    res = mz.ddmin(spark.range(4).withColumn("x", F.lit(0)), CallableTest(fails), ["id"])
+    assert [r["id"] for r in res.items.collect()] == [1]
+    assert calls == [[0, 1, 2, 3], [0, 1], [0], [1]]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_custom_splits_find_minimal_sets(spark, seed):
+    rnd = random.Random(400 + seed)
+    items = [(i, rnd.choice("ab"), rnd.choice([0, 1, 4])) for i in range(40)]
+    t = sum(w for _, k, w in items if k == "a") * 2 // 3
+    split = sets.random_split(seed) if seed % 2 else (lambda d, n: F.pmod(F.col("idx"), F.lit(n)))
+    got, res = run(spark, items, t, split=split)
+    kept = [x for x in items if x[0] in set(got)]
+    assert py_fails(kept, t)
+    if seed % 2 == 0:  # buckets of one item at the end: nothing more can go
+        assert not any(py_fails([x for x in kept if x[0] != i], t) for i in got)
+
+
+def test_scattered_records_through_a_group_index(spark):
+    # a result of 5,000 scattered records: ranges are joined, not spelled out
+    lines = spark.range(2500).select(F.col("id").alias("line_id"), F.lit("x").alias("line"))
+    expand = lambda some: some.select("line_id", F.posexplode(F.array(*[F.lit(i) for i in range(4)])).alias("pos", "v"))
+    index = sets.index_by_group(lines, F.lit(4), "line_id", "pos", expand)
+    assert index.count == 10_000
+    every_second = spark.range(5000).select((F.col("id") * 2).alias("lo"), (F.col("id") * 2 + 1).alias("hi"))
+    got = index.select(every_second)
+    assert got.count() == 5000 and {r["pos"] for r in got.select("pos").distinct().collect()} == {0, 2}
+
+
+def test_many_sets_in_one_plan(spark):
+    items = [(i, f"k{i}" if i % 2 else "no", 10 if i % 2 else 0) for i in range(600)]
+    res = mz.minimize_all(frame(spark, items), SumThreshold("trigram", "weight", 10), ["id"])
+    assert len(res.sets) == 300
+    assert "Union" not in res.items._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["id"] for r in res.items.collect()) == list(range(1, 600, 2))

@@ -24,10 +24,31 @@ def test_trace_broadcasts_small_bad_set(spark):
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
 
 
-def test_trace_shuffles_when_bad_set_too_large(spark):
-    tr = Trace(fixture_lines(spark, SF), WeightRule(doc_pattern="src7:147"), limit=0, max_broadcast_rows=10)
-    p = plan(tr.records_of_bad().hint("no_broadcast_hash"))
-    assert "SortMergeJoin" in p or "ShuffledHashJoin" in p or "AdaptiveSparkPlan" in p
+def test_trace_leaves_a_large_bad_set_to_spark(spark):
+    tr = Trace(fixture_lines(spark, SF), WeightRule(doc_pattern="src7:147"), limit=0, max_broadcast_bytes=10)
+    hinted = Trace(fixture_lines(spark, SF), WeightRule(doc_pattern="src7:147"), limit=0)
+    logical = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in logical(tr.records_of_bad())
+    assert "ResolvedHint" in logical(hinted.records_of_bad())
+
+
+def test_candidate_keys_take_one_scan_and_one_explode(spark, monkeypatch):
+    from faultline.operators import minimize as mz
+    from faultline.operators.oracles import records_test
+    from faultline.plans.pipelines import record_index
+    plans, keep = [], mz.materialize
+    monkeypatch.setattr(mz, "materialize", lambda df: plans.append(plan(df)) or keep(df))
+    mz._candidates(record_index(fixture_lines(spark, SF)), records_test(), 1 << 20)
+    keys = plans[0]
+    assert keys.count("FileScan") == 1 and keys.count("Generate posexplode") == 1
+
+
+def test_line_index_does_not_read_the_text(spark, monkeypatch):
+    from faultline.operators import sets
+    plans, keep = [], sets.materialize
+    monkeypatch.setattr(sets, "materialize", lambda df: plans.append(plan(df)) or keep(df))
+    sets.index_items(fixture_lines(spark, SF), ["line_id"])
+    assert "ReadSchema: struct<doc_id:bigint>" in plans[0]
 
 
 def test_trigram_plan_stays_in_codegen(spark):

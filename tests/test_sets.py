@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import functions as F
 
 from faultline.operators import sets
 
@@ -29,12 +30,14 @@ def test_intersect_distinct(spark):
 
 def test_index_items_dense_and_ordered(spark):
     ids = random.Random(1).sample(range(10_000), 777)
-    df = spark.createDataFrame([(i,) for i in ids], "k long").repartition(7)
-    indexed, count = sets.index_items(df, ["k"])
-    assert count == 777
-    got = sorted((r["idx"], r["k"]) for r in indexed.collect())
+    df = spark.createDataFrame([(i, "wide") for i in ids], "k long, text string").repartition(7)
+    index = sets.index_items(df, ["k"])
+    assert index.count == 777 and index.frame.columns == ["k", "idx"]  # only the key is sorted and kept
+    got = sorted((r["idx"], r["k"]) for r in index.frame.collect())
     assert [i for i, _ in got] == list(range(777))
     assert [k for _, k in got] == sorted(ids)
+    assert index.indexed().where("idx = 5 and text = 'wide'").count() == 1
+    assert sets.index_items(df.limit(0), ["k"]).count == 0
 
 
 def test_contiguous_bucket_matches_bounds(spark):
@@ -76,15 +79,18 @@ def test_complement_by_part(spark):
 
 def test_index_by_group_equals_sorted_index(spark):
     rnd = random.Random(3)
-    rows = [(g, p) for g in rnd.sample(range(500), 60) for p in range(rnd.randint(0, 9))]
-    df = spark.createDataFrame(rows, "g long, p int").repartition(5)
-    got, count = sets.index_by_group(df, ["g"], "p")
-    want, wcount = sets.index_items(df, ["g", "p"])
-    assert count == wcount == len(rows)
-    assert sorted(map(tuple, got.select("g", "p", "idx").collect())) == \
-        sorted(map(tuple, want.select("g", "p", "idx").collect()))
-
-
-def test_index_by_group_rejects_gaps(spark):
-    df = spark.createDataFrame([(1, 0), (1, 2), (2, 0)], "g long, p int")
-    assert sets.index_by_group(df, ["g"], "p") is None
+    groups = spark.createDataFrame([(g, rnd.randint(0, 9)) for g in rnd.sample(range(500), 60)], "g long, n int").repartition(5)
+    expand = lambda some: some.where("n > 0").select("g", F.explode(F.expr("sequence(0, n - 1)")).alias("p"))
+    index = sets.index_by_group(groups, F.col("n"), "g", "p", expand)
+    want = sets.index_items(expand(groups), ["g", "p"])
+    assert index.count == want.count
+    assert sorted(map(tuple, index.indexed().select("g", "p", "idx").collect())) == \
+        sorted(map(tuple, want.frame.select("g", "p", "idx").collect()))
+
+
+def test_hot_values_are_reduced_before_set_operations(spark):
+    left = spark.createDataFrame([("a",)] * 50 + [("b",)], "v string")
+    for out in (sets.subtract_by_value(left, left), sets.intersect_distinct(left, left)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        join = plan.index("Join")
+        assert "Aggregate" in plan[join:]

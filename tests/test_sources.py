@@ -3,19 +3,22 @@
 import os
 import tempfile
 
+import pytest
+
 from faultline.operators.trigrams import trigram_records
-from faultline.sources.lines import lines_from_table, read_lines, write_lines
+from faultline.sources.lines import lines_from_table, null_lines, read_lines, write_lines
 
 
 def test_read_lines_ids_stable(spark):
     d = tempfile.mkdtemp(prefix="faultline-text-")
     with open(os.path.join(d, "part.txt"), "w") as f:
         f.write("a:x y z\nb:p q r s\n\nc:no\n")
-    lines = read_lines(spark, d)
+    lines = read_lines(spark, d, os.path.join(d, "ids"), min_partitions=5)
+    assert "PushedFilters: [IsNotNull(line_id), EqualTo(line_id,3)]" in lines.where("line_id = 3")._jdf.queryExecution().executedPlan().toString()
     first = sorted(map(tuple, lines.collect()))
     assert sorted(l for _, l in first) == ["", "a:x y z", "b:p q r s", "c:no"]
     assert len({i for i, _ in first}) == 4
-    # ids are materialised: a second job sees the same ids
+    # ids are written: a second job sees the same ids
     assert sorted(map(tuple, lines.collect())) == first
 
 
@@ -34,3 +37,17 @@ def test_lines_from_table(spark):
     lines = lines_from_table(t, "id", ["src", "id"], "body")
     assert [tuple(r) for r in lines.collect()] == [(1, "s1:1:a b c")]
     assert [r["doc"] for r in trigram_records(lines).collect()] == ["s1:1"]
+
+
+def test_text_sink_refuses_newlines_unless_asked(spark, lines_df):
+    base = tempfile.mkdtemp(prefix="faultline-sink-")
+    df = lines_df(["b:multi\nline text"])
+    with pytest.raises(Exception, match="newline"):
+        write_lines(df, os.path.join(base, "a"), fmt="text")
+    write_lines(df, os.path.join(base, "b"), fmt="text", split_newlines=True)
+    assert spark.read.text(os.path.join(base, "b")).count() == 2
+
+
+def test_null_lines_are_counted(spark, lines_df):
+    df = lines_df(["a:x y z", None, None])
+    assert null_lines(df).first()["n_null"] == 2 and trigram_records(df).count() == 1
