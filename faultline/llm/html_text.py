@@ -45,9 +45,9 @@ BLOCKS = frozenset(
 FURNITURE_TAGS = frozenset(
     "head nav header footer aside form menu button select option label fieldset legend dialog search object canvas svg audio video map datalist output".split())
 FURNITURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs byline-share comment comments "
+    "ad ads adv alert advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs byline-share comment comments "
     "commentlist complementary consent contentinfo cookie cookies copyright dialog discussion disqus feedback foot footer form gdpr "
-    "header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain pager pagination "
+    "header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination "
     "popup promo promos promotion promotions recommended related replies reply respond search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe subscription taboola teaser teasers toolbar topbar widget widgets".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "option", "select", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
@@ -61,6 +61,8 @@ _EQUALS = re.compile(r"=\s*\Z")
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s"'/>]|\Z)""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: What a wrapper says about its parts (``with-sidebar``) does not name the wrapper.
+_BESIDE = re.compile(r"\b(?:no|has|with|without)[-_]+[a-z0-9]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
@@ -85,7 +87,7 @@ def _furniture(name: str, attributes: str) -> bool:
         if key == "style":
             if "display:none" in value.lower().replace(" ", ""):
                 return True
-        elif key in ("class", "id", "role") and not FURNITURE_WORDS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", value).lower())):
+        elif name not in ("article", "main") and not FURNITURE_WORDS.isdisjoint(_SPLIT.split(_BESIDE.sub("", _CAMEL.sub("-", value).lower()))):
             return True
     return False
 

@@ -200,7 +200,8 @@ W = {"word:p": 3.0, "word:h1": 3.0, "word:furniture": -3.0, "tag:p": -0.05, "tag
     ("<article><p>one</p><div class='ad-slot'>" + "no " * 300 + "</div><p>two</p><section id=comments><p>no</p></section></article>", "one\ntwo"),
     ("<div class='sidebar'><p>no</p></div><div><p>a b c</p><ul><li>d<li>e</ul></div>", "a b c\nd\ne"),
     ("<main><p>in</p></main><p>out out out out</p>", "in"),
-    ("<p title=\"a>b\">x</p><p title=\"open>y", "x\ny"), ("a < b <3 </ >c", "a < b <3 c"), ("<TITLE>no</TITLE><P>X</P>", "X")])
+    ("<p title=\"a>b\">x</p><p title=\"open>y", "x\ny"), ("a < b <3 </ >c", "a < b <3 c"),
+    ("<div class=with-sidebar><nav>m</nav><p>x y</p></div>", "x y"), ("<article class=has-comments><p>x</p><div class=comments>no</div></article>", "x"), ("<TITLE>no</TITLE><P>X</P>", "X")])
 def test_main_text(page, text):
     assert html_text.extract(page, W) == text
 
