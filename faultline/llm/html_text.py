@@ -95,6 +95,7 @@ def _furniture(name: str, attributes: str) -> bool:
 def tokens(page: str) -> list[Token]:
     out: list[Token] = []
     stack: list[tuple[str, bool, int]] = []  # name, furniture, scope: of the open elements
+    opened: Counter = Counter()  # how many of each are on the stack
     block, at, no_more, end = 0, 0, set(), len(page)
 
     def text(raw: str) -> None:
@@ -106,8 +107,9 @@ def tokens(page: str) -> list[Token]:
             out.append(Token(kind, raw, len(raw.split()), block, furniture, scope))
 
     def close(name: str, within: set[str] | None = None) -> None:
-        for i in range(len(stack) - 1, -1, -1):
+        for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
             if stack[i][0] == name:
+                opened.subtract(s[0] for s in stack[i:])
                 del stack[i:]
                 return
             if within and stack[i][0] in within:
@@ -164,6 +166,7 @@ def tokens(page: str) -> list[Token]:
             found = _RAW_END[name].search(page, at)
             at = found.start() if found else end
             stack.append((name, True, 0))
+            opened[name] += 1
             continue
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
@@ -174,6 +177,7 @@ def tokens(page: str) -> list[Token]:
         furniture, scope = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         scope = 2 if name == "article" else max(scope, 1) if name == "main" else scope
         stack.append((name, furniture or _furniture(name, attributes), scope))
+        opened[name] += 1
     return out
 
 

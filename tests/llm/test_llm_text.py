@@ -207,7 +207,7 @@ def test_main_text(page, text):
 
 
 def test_main_text_is_linear_on_broken_pages():
-    for page in ("<p a='" * 50_000, "<" * 200_000, "<div>" * 50_000 + "x", "<!--" * 50_000, "</p><p>" * 50_000 + "x", "<script>" * 50_000):
+    for page in ("<p a='" * 50_000, "<" * 200_000, "<div>" * 50_000 + "x", "<!--" * 50_000, "</p><p>" * 50_000 + "x", "<script>" * 50_000, "<div>" * 50_000 + "</x>" * 50_000):
         html_text.extract(page, W)
 
 
