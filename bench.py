@@ -25,6 +25,7 @@ HEADLINE = [
     "trace_forward_records",     # L5: provenance forward
     "part_test_matrix",          # D1
     "ddmin_lines",               # D2 on traced lines
+    "ddmin_conjunction",         # D2 where complements decide
     "pipeline_traced_lines",     # E3 (flagship)
     "pipeline_traced_records",   # E1
     "pipeline_all_records",      # E2
@@ -36,7 +37,8 @@ def main():
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
-                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
+                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
+                                 "spark.faultline.scanPartitions": str(2 * cpus)})
     spark.read.parquet(os.path.join(sf_dir, "documents.parquet")).write.format("noop").mode("overwrite").save()
     warm_dir = os.path.join(os.path.dirname(os.path.normpath(sf_dir)), "sf0.001")
     if os.path.isdir(warm_dir):

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.errors import PySparkException
 
+from faultline.operators.provenance import Trace
 from faultline.operators.trigrams import (
-    WeightRule, doc_trigram_counts, parse_lines, quarantined, tokenize, trigram_records, trigram_totals,
+    WeightRule, doc_trigram_counts, parse_lines, quarantined, tokenize, trigram_counts, trigram_records, trigram_totals,
 )
 
 
@@ -47,17 +48,29 @@ def test_weight_is_substring_match(lines_df):
     assert got == [("src7:148", "the|1996|Summer", 1)]
 
 
+NO_SEPARATOR = "line without a ':' separator"
+
+
 def test_malformed_fails_by_default(lines_df):
-    with pytest.raises(Exception) as e:
+    with pytest.raises(PySparkException, match=NO_SEPARATOR):
         trigram_records(lines_df(["no colon here at all"])).collect()
-    assert "separator" in str(e.value) or isinstance(e.value, PySparkException)
 
 
 def test_malformed_fails_tokenize_too(lines_df):
-    with pytest.raises(Exception):
+    with pytest.raises(PySparkException, match=NO_SEPARATOR):
         tokenize(lines_df(["d:a b", "no colon here at all"])).collect()
 
 
+def test_malformed_fails_counts_too(lines_df):
+    with pytest.raises(PySparkException, match=NO_SEPARATOR):
+        lines_df(["no colon here at all"]).select(trigram_counts()).collect()
+
+
+def test_counts_equal_records(lines_df):
+    rows = ["d:", "d:x y", "d:a b c d", None, "d: a  b\tc "]
+    assert [r[0] for r in lines_df(rows).orderBy("line_id").select(trigram_counts()).collect()] == [0, 0, 2, 0, 1]
+
+
 def test_malformed_quarantine(lines_df):
     parsed = parse_lines(lines_df(["no colon here at all", "d:a b c"]), on_malformed="quarantine")
     assert [r["line"] for r in quarantined(parsed).collect()] == ["no colon here at all"]
@@ -81,3 +94,11 @@ def test_totals_and_doc_counts(lines_df):
 def test_tokenize(lines_df):
     out = tokenize(lines_df(["d: x  y "])).orderBy("pos").collect()
     assert [(r["pos"], r["token"]) for r in out] == [(0, "x"), (1, "y")]
+
+
+def test_forward_within_bad(lines_df):
+    lines = lines_df(["d1:a b c x", "d2:a b c y", "d3:q r s t"])
+    tr = Trace(lines, None, limit=1)
+    assert sorted((r["line_id"], r["trigram"]) for r in tr.forward_records().collect()) == [
+        (0, "a|b|c"), (0, "b|c|x"), (1, "a|b|c"), (1, "b|c|y")]
+    assert sorted((r["line_id"], r["trigram"]) for r in tr.forward_records(within_bad=True).collect()) == [(0, "a|b|c"), (1, "a|b|c")]
