@@ -208,11 +208,14 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text: str = "text", keep:
                     yield packed(bpe, [batch.column(c).slice(at, len(encoded)) for c in keep], encoded)
                     at, size, encoded = n + 1, 0, []
 
-    def encode_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = kept(file.value, ByteBPE)
         for batch in batches:
-            marked = [bpe.marked(x.encode("utf-8", "surrogatepass")) for x in batch["_leaf"]]
-            yield batch.assign(ids=[x.ids.astype("<u4").tobytes() for x in marked], first=[np.packbits(x.first).tobytes() for x in marked])
+            for i in range(batch.num_rows):  # a leaf at a time: a marked leaf is several times its text
+                leaf = bpe.marked(batch.column("_leaf")[i].as_py().encode("utf-8", "surrogatepass"))
+                columns = [*batch.slice(i, 1).columns, pa.array([leaf.ids.astype("<u4").tobytes()], pa.binary()),
+                           pa.array([np.packbits(leaf.first).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "ids", "first"])
 
     def join_leaves(group: pd.DataFrame) -> pd.DataFrame:
         bpe, leaves = kept(file.value, ByteBPE), []
@@ -231,5 +234,5 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text: str = "text", keep:
     cut = rows.where(F.length("_text") > leaf_chars).withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", part)
     cut = cut.withColumn("_at", F.explode(F.sequence(F.lit(0), F.ceil(F.length("_text") / F.col("_part")).cast("int") - 1)))
     cut = cut.select(*keep, "_row", "_at", F.substring("_text", F.col("_at") * F.col("_part") + 1, F.col("_part")).alias("_leaf"))
-    leaves = cut.repartition("_row", "_at").mapInPandas(encode_leaves, cut.schema.add("ids", "binary").add("first", "binary"))
+    leaves = cut.repartition("_row", "_at").mapInArrow(encode_leaves, cut.schema.add("ids", "binary").add("first", "binary"))
     return short.unionByName(leaves.groupBy("_row").applyInPandas(join_leaves, out))

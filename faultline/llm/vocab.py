@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-MEMORY = 400_000
+MEMORY = 200_000
 #: Characters whose class, case and normal form are the same everywhere: ASCII and U+00C0 to U+012F.
 NOT_SIMPLE = re.compile("[^\t-\r -~À-į]")
 
