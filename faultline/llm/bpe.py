@@ -41,6 +41,8 @@ from .vocab import NOT_SIMPLE, Pieces, Vocabulary, kept, read_file
 LEAF_CHARS = 1 << 15
 CHUNK_BYTES = 4 << 20
 WINDOW = 64
+#: Pieces that a worker remembers; it holds ids, text and decoded text beside them.
+PIECES = 200_000
 #: The byte-level pattern, for texts of simple characters only.
 _PATTERN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
@@ -55,7 +57,7 @@ class Encoded(NamedTuple):
 class ByteBPE(Vocabulary):
     def __init__(self, text: str):
         super().__init__(text)
-        self.pieces = Pieces(self.merge)
+        self.pieces = Pieces(self.merge, PIECES)
         self.sizes = np.array([len(b) for b in self.token_bytes], dtype=np.int64)
         self.margin = max([4, *(len(t.encode()) for t in self.added)])
 

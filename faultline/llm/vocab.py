@@ -2,7 +2,7 @@
 
 Merging never crosses the pieces that a tokenizer's pattern cuts a text into,
 so a piece that came before need not be merged again.  ``Pieces`` remembers
-the ids of pieces (at most ``MEMORY`` of them, then it starts anew); a new
+the ids of pieces (a fixed number of them, then it starts anew); a new
 piece is merged by the library's own model.  Texts with characters outside
 ``SIMPLE``, where Unicode tables of Python and the library could differ, go
 through the library whole.
@@ -21,7 +21,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-MEMORY = 200_000
+#: Pieces that are remembered at most (about 200 bytes each).
+MEMORY = 400_000
 #: Characters whose class, case and normal form are the same everywhere: ASCII and U+00C0 to U+012F.
 NOT_SIMPLE = re.compile("[^\t-\r -~À-į]")
 
@@ -41,11 +42,11 @@ _TO_LETTERS = dict(enumerate(LETTERS))
 class Pieces(dict):
     """Piece to the bytes of its ids (little-endian unsigned 32-bit)."""
 
-    def __init__(self, merge):
-        self.merge = merge
+    def __init__(self, merge, memory: int = MEMORY):
+        self.merge, self.memory = merge, memory
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMORY:
+        if len(self) >= self.memory:
             self.clear()
         self[piece] = out = self.merge(piece)
         return out
