@@ -2,14 +2,22 @@
 
 A page becomes a sequence of tags and runs of text.  Each word scores the
 weight of its context (the block it stands in, whether it is link text, inside
-a part that names itself as page furniture, inside or outside the page's
-article or main element), each tag a negative weight.  One linear scan finds
-the contiguous stretch with the largest sum; its text, without furniture, is
-the result.
-
-Weights come from labelled pages: a page whose article (or main) element is
-marked labels its own words.  They are log odds of standing inside, over a
-sample of about ``max_pages`` pages chosen by a hash (fewer pages: all).
+a part that names itself as page furniture) and that of its place (within or
+beside the page's marked content), each tag a negative weight.  One linear scan
+finds the contiguous stretch with the largest sum; its text, without
+furniture, is the result.
+
+Marked content: the articles, where they hold at least half of the words (of
+the main element, if the page has one), else the main element.  Where articles
+hold less, as teasers or comments do, and there is no main element, the page
+has none and the other contexts decide.  An article that names itself as
+furniture (``class="comment"``) is furniture, unless it holds nearly all words.
+
+Weights come from labelled pages: a page with marked content labels its own
+words.  Those of contexts are log odds of standing inside it, over a sample of
+about ``max_pages`` pages chosen by a hash (fewer pages: all).  Those of places
+are log odds of standing in the stretch that the contexts alone would choose
+in the same sample, so marks weigh as much as the words bear them out.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one newline, empty ones
@@ -55,6 +63,11 @@ SAME_CLOSES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "t
                "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist"}}
 #: Starting weights, for contexts that no labelled page shows.
 START = {"furniture": -2.0, "link": -0.5, "text": 1.0, "tag": -0.05}
+#: The same for places: within and beside marked content; an article of a page without any.
+START_PLACE = {"within": 3.0, "beside": -3.0, "minor": 0.0}
+MAIN, ARTICLE = 1, 2
+#: Least shares of a page's words: of articles, of a main element, of an article named as furniture that is kept.
+ARTICLE_SHARE, MAIN_SHARE, NAMED_SHARE = 0.5, 0.1, 0.9
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 _UNQUOTED = re.compile(r"[^>\"']*+")
 _EQUALS = re.compile(r"=\s*\Z")
@@ -63,6 +76,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: What a wrapper says about its parts (``with-sidebar``) does not name the wrapper.
 _BESIDE = re.compile(r"\b(?:no|has|with|without)[-_]+[a-z0-9]+")
+_TOP = ("", False, 0, 0)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
@@ -72,39 +86,42 @@ class Token(NamedTuple):
     words: int
     block: int
     furniture: bool
-    scope: int  # 2 in an article, 1 in a main element, 0 elsewhere
+    scope: int  # MAIN, ARTICLE, both or 0: the elements that it stands in
+    named: int = 0  # which article named as furniture it stands in, from 1
 
 
-def _furniture(name: str, attributes: str) -> bool:
+def _furniture(name: str, attributes: str) -> str:
+    """Why an element is furniture: ``tag``, ``hidden``, ``name``; or nothing."""
     if name in FURNITURE_TAGS:
-        return True
+        return "tag"
     if not attributes or name in ("html", "body"):
-        return False
+        return ""
+    named = ""
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return "hidden"
         if key == "style":
             if "display:none" in value.lower().replace(" ", ""):
-                return True
-        elif name not in ("article", "main") and not FURNITURE_WORDS.isdisjoint(_SPLIT.split(_BESIDE.sub("", _CAMEL.sub("-", value).lower()))):
-            return True
-    return False
+                return "hidden"
+        elif name != "main" and not FURNITURE_WORDS.isdisjoint(_SPLIT.split(_BESIDE.sub("", _CAMEL.sub("-", value).lower()))):
+            named = "name"
+    return named
 
 
 def tokens(page: str) -> list[Token]:
     out: list[Token] = []
-    stack: list[tuple[str, bool, int]] = []  # name, furniture, scope: of the open elements
+    stack: list[tuple[str, bool, int, int]] = []  # name, furniture, scope, named: of the open elements
     opened: Counter = Counter()  # how many of each are on the stack
-    block, at, no_more, end = 0, 0, set(), len(page)
+    block, at, no_more, end, articles = 0, 0, set(), len(page), 0
 
     def text(raw: str) -> None:
         if raw:
-            furniture, scope = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            _, furniture, scope, named = stack[-1] if stack else _TOP
             raw = html_lib.unescape(raw)
             names = [s[0] for s in stack[-12:]]
             kind = "furniture" if furniture else "link" if "a" in names else next((x for x in reversed(names) if x in BLOCKS), "body")
-            out.append(Token(kind, raw, len(raw.split()), block, furniture, scope))
+            out.append(Token(kind, raw, len(raw.split()), block, furniture, scope, named))
 
     def close(name: str, within: set[str] | None = None) -> None:
         for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
@@ -157,15 +174,15 @@ def tokens(page: str) -> list[Token]:
         attributes, at = page[m.end():stop], stop + 1
         if name in BLOCKS:
             block += 1
-        furniture, scope = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        out.append(Token(name, " " if name == "br" else None, 0, block, furniture, scope))
+        _, furniture, scope, named = stack[-1] if stack else _TOP
+        out.append(Token(name, " " if name == "br" else None, 0, block, furniture, scope, named))
         if closing:
             close(name)
             continue
         if name in RAW:
             found = _RAW_END[name].search(page, at)
             at = found.start() if found else end
-            stack.append((name, True, 0))
+            stack.append((name, True, 0, 0))
             opened[name] += 1
             continue
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
@@ -174,16 +191,57 @@ def tokens(page: str) -> list[Token]:
             close("p", {"div", "section", "article", "main", "td", "th", "li", "blockquote", "body", "aside", "nav", "footer", "header", "form"})
         if name in SAME_CLOSES:
             close(name, SAME_CLOSES[name])
-        furniture, scope = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        scope = 2 if name == "article" else max(scope, 1) if name == "main" else scope
-        stack.append((name, furniture or _furniture(name, attributes), scope))
+        _, furniture, scope, named = stack[-1] if stack else _TOP
+        why = _furniture(name, attributes)
+        if name == "article" and why == "name":
+            why = ""
+            if not named:
+                articles += 1
+                named = articles
+        if name == "main" or name == "article" and not named:
+            scope |= MAIN if name == "main" else ARTICLE
+        stack.append((name, furniture or bool(why), scope, named))
         opened[name] += 1
-    return out
+    return _without_named(out) if articles else out
+
+
+def _without_named(page: list[Token]) -> list[Token]:
+    """The articles named as furniture made furniture, but for one that is nearly the whole page."""
+    sizes: Counter = Counter()
+    for t in page:
+        if t.words and not t.furniture and t.context != "link":
+            sizes[t.named] += t.words
+    total = sum(sizes.values())
+    drop = {i for i in {t.named for t in page} if i and sizes[i] < max(1, NAMED_SHARE * total)}
+    return [t._replace(furniture=True, context=t.context if t.text is None or not t.words else "furniture") if t.named in drop else t for t in page]
 
 
 def marked_scope(page: list[Token]) -> int:
-    """2 if an article element holds words, else 1 if a main element does, else 0."""
-    return max((t.scope for t in page if t.words and not t.furniture), default=0)
+    """The elements that make the page's marked content: ARTICLE, MAIN, both (articles in a main element) or 0 (none)."""
+    for links in (False, True):  # link text counts only where there is no other
+        sizes: Counter = Counter()
+        for t in page:
+            if t.words and not t.furniture and (links or t.context != "link"):
+                sizes[t.scope] += t.words
+        if sizes:
+            break
+    both, total = MAIN | ARTICLE, sum(sizes.values())
+    main = sizes[MAIN] + sizes[both]
+    if main and main >= MAIN_SHARE * total:
+        return both if sizes[both] >= ARTICLE_SHARE * main else MAIN
+    articles = sizes[ARTICLE] + sizes[both]
+    return ARTICLE if articles and articles >= ARTICLE_SHARE * total else 0
+
+
+def inside(t: Token, scope: int) -> bool:
+    """Whether a token stands in the marked content."""
+    return scope > 0 and t.scope & scope == scope
+
+
+def place(t: Token, scope: int) -> str:
+    if scope:
+        return "within" if inside(t, scope) else "beside"
+    return "minor" if t.scope & ARTICLE else ""
 
 
 def label_counts(page: list[Token]) -> Counter:
@@ -191,11 +249,21 @@ def label_counts(page: list[Token]) -> Counter:
     scope, out = marked_scope(page), Counter()
     if scope:
         for t in page:
-            inside = t.scope >= scope and not t.furniture
+            kept = inside(t, scope) and not t.furniture
             if t.words:
-                out[f"word:{t.context}", inside] += t.words
+                out[f"word:{t.context}", kept] += t.words
             elif t.text is None:
-                out[f"tag:{t.context}", inside] += 1
+                out[f"tag:{t.context}", kept] += 1
+    return out
+
+
+def place_counts(page: list[Token], weight: dict[str, float]) -> Counter:
+    """(place, in the stretch that the contexts alone choose) of the words that are no furniture."""
+    scope, out = marked_scope(page), Counter()
+    start, stop = region(page, scope, weight, {}) if scope or any(t.scope & ARTICLE for t in page) else (0, 0)
+    for i, t in enumerate(page) if stop else ():
+        if t.words and not t.furniture and (where := place(t, scope)):
+            out[f"place:{where}", start <= i < stop] += t.words
     return out
 
 
@@ -204,7 +272,7 @@ def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     out = {}
     for name in {c for c, _ in counts}:
         odds = math.log((counts.get((name, True), 0) + 1) / (counts.get((name, False), 0) + 1))
-        out[name] = max(-3.0, min(3.0, odds)) if name.startswith("word:") else max(-0.2, min(START["tag"], odds / 10))
+        out[name] = max(-3.0, min(3.0, odds)) if not name.startswith("tag:") else max(-0.2, min(START["tag"], odds / 10))
     return out
 
 
@@ -214,46 +282,53 @@ def learn(pages: DataFrame, html: str = "html", max_pages: int = MAX_PAGES) -> d
     n = rows.count()
     chosen = rows.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < min(1.0, max_pages / max(n, 1)) * (1 << 20))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
-        for batch in batches:
-            for page in batch["html"]:
-                for (name, inside), k in label_counts(tokens(page or "")).items():
-                    kind, _, what = name.partition(":")
-                    what = what if what in BLOCKS or what in VOID or what in ("furniture", "link", "a", "b", "i", "em", "strong", "span") else "other"
-                    total[f"{kind}:{what}", inside] += k
-        if total:
-            yield pd.DataFrame([(c, i, k) for (c, i), k in total.items()], columns=["context", "inside", "n"])
+    def learned(counts_of) -> dict[str, float]:
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: Counter = Counter()
+            for batch in batches:
+                for page in batch["html"]:
+                    for (name, inside), k in counts_of(tokens(page or "")).items():
+                        kind, _, what = name.partition(":")
+                        what = what if kind == "place" or what in BLOCKS or what in VOID or what in ("furniture", "link", "a", "b", "i", "em", "strong", "span") else "other"
+                        total[f"{kind}:{what}", inside] += k
+            if total:
+                yield pd.DataFrame([(c, i, k) for (c, i), k in total.items()], columns=["context", "inside", "n"])
 
-    counted = chosen.mapInPandas(count, "context string, inside boolean, n long").groupBy("context", "inside").agg(F.sum("n").alias("n"))
-    return weights({(r.context, r.inside): r.n for r in counted.collect()})
+        counted = chosen.mapInPandas(count, "context string, inside boolean, n long").groupBy("context", "inside").agg(F.sum("n").alias("n"))
+        return weights({(r.context, r.inside): r.n for r in counted.collect()})
 
+    contexts = learned(label_counts)
+    return contexts | learned(lambda page: place_counts(page, contexts))
 
-def extract(page: str | None, weight: dict[str, float]) -> str:
-    """The main text of one page."""
-    seq = tokens(page or "")
-    scope = marked_scope(seq)
 
+def region(seq: list[Token], scope: int, weight: dict[str, float], places: dict[str, float]) -> tuple[int, int]:
+    """Bounds of the contiguous stretch with the largest sum."""
     def score(t: Token) -> float:
         if t.words:
             if t.furniture:  # left out anyway: within the marked content it must not part what stands on both sides
-                return 0.0 if scope and t.scope >= scope else min(weight.get("word:furniture", START["furniture"]) / 20, 0) * t.words
-            if scope:
-                return (3.0 if t.scope >= scope else -3.0) * t.words
+                return 0.0 if inside(t, scope) else min(weight.get("word:furniture", START["furniture"]) / 20, 0) * t.words
             each = weight.get(f"word:{t.context}", START["link"] if t.context == "link" else START["text"])
-            return each * t.words
+            return (each + places.get(place(t, scope), 0.0)) * t.words
         return 0.0 if t.text is not None else weight.get(f"tag:{t.context}", START["tag"])
 
-    best, region, total, start = 0.0, (0, 0), 0.0, 0
+    best, found, total, start = 0.0, (0, 0), 0.0, 0
     for i, t in enumerate(seq):
         if total <= 0:
             total, start = 0.0, i
         total += score(t)
         if total > best:
-            best, region = total, (start, i + 1)
+            best, found = total, (start, i + 1)
+    return found
+
+
+def extract(page: str | None, weight: dict[str, float]) -> str:
+    """The main text of one page."""
+    seq = tokens(page or "")
+    scope = marked_scope(seq)
+    places = {name: weight.get(f"place:{name}", start) for name, start in START_PLACE.items()}
     blocks: dict[int, list[str]] = {}
-    for t in seq[slice(*region)]:
-        if t.text is not None and not t.furniture and t.scope >= scope:
+    for t in seq[slice(*region(seq, scope, weight, places))]:
+        if t.text is not None and not t.furniture:
             blocks.setdefault(t.block, []).append(t.text)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in joined if x)

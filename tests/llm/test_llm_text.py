@@ -206,6 +206,35 @@ def test_main_text(page, text):
     assert html_text.extract(page, W) == text
 
 
+BODY = "<p>" + "body text of the page " * 6 + "</p><p>" + "and its second part " * 5 + "</p>"
+READ = html_text.extract(BODY, W)
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div>{BODY}</div><article class=teaser><p>read this next</p></article>", READ),
+    (f"<main>{BODY}</main><article class='card promo'><p>read this next</p></article>", READ),
+    (f"<main>{BODY}</main><article><p>read this next</p></article>", READ),
+    (f"<article class=comment><p>I agree</p></article><div>{BODY}</div><article class=comment><p>me too</p></article>", READ),
+    (f"<div>{BODY}</div><article><p>a part without a name</p></article>", f"{READ}\na part without a name"),
+    (f"<article><h1>T</h1>{BODY}</article><article>{BODY}</article>", f"T\n{READ}\n{READ}"),
+    (f"<article>{BODY}<article class=comment><p>I agree</p></article></article>", READ),
+    (f"<p>beside</p><main><p>home</p><article>{BODY}</article><p>more</p></main>", READ),
+    (f"<nav>m</nav><article class=notice>{BODY}</article>", READ), (BODY, READ)])
+def test_articles_do_not_hide_the_main_text(page, text):
+    assert READ.count("\n") == 1 and html_text.extract(page, W) == text
+
+
+def test_place_weights_are_learned(spark):
+    """The same marks weigh less where they stand beside the words that contexts choose."""
+    learn = lambda page: html_text.learn(spark.createDataFrame([(page,)] * 20, "html string"))
+    agree = learn(f"<ul><li>{'x ' * 9}</ul><article>{BODY}</article>")
+    assert agree["place:within"] > 2 and agree["place:beside"] < -2
+    plain = f"<article><p>{'one two ' * 5}</p></article>"
+    mixed = [(f"<ul><li>{'x ' * 9}</ul><article>{BODY}</article>",)] * 20 + [(f"<main>{plain}</main><div>{BODY}</div>",)] * 4
+    got = html_text.learn(spark.createDataFrame(mixed, "html string"))
+    assert agree["place:beside"] < got["place:beside"]
+
+
 def test_main_text_is_linear_on_broken_pages():
     for page in ("<p a='" * 50_000, "<" * 200_000, "<div>" * 50_000 + "x", "<!--" * 50_000, "</p><p>" * 50_000 + "x", "<script>" * 50_000, "<div>" * 50_000 + "</x>" * 50_000):
         html_text.extract(page, W)
