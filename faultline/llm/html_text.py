@@ -23,6 +23,11 @@ Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one newline, empty ones
 left out.  Inline tags add nothing; ``br`` counts as white space.
 
+Furniture: elements of such kinds, hidden ones, and those whose class, id or
+role is a furniture word or a compound of one with a word of layout.  Words in
+a slug (``id="related-work"``), the id of a heading and, within an article or
+main element, an id that may be a subject (``id="discussion"``) name none.
+
 Edge cases: a null or empty page, or one without content, gives an empty
 text; unclosed tags, comments and quotes end where a browser ends them, in
 linear time; without any labelled page fixed starting weights hold; repeated
@@ -71,9 +76,23 @@ ARTICLE_SHARE, MAIN_SHARE, NAMED_SHARE = 0.5, 0.1, 0.9
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 _UNQUOTED = re.compile(r"[^>\"']*+")
 _EQUALS = re.compile(r"=\s*\Z")
-_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s"'/>]|\Z)""", re.I)
+_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/=][^\s/=]*+)(?:\s*+=\s*+("[^"]*"|'[^']*'|\S*+))?""")
+#: What an attribute that could make an element furniture has in it; the others are not parsed.
+_MAYBE = re.compile(r"class|id|role|style", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: With furniture words, these make compounds (``site-footer``, ``ad-slot``); other words make slugs (``search-algorithms``).
+QUALIFIERS = frozenset(
+    "above active area article articles bar base below block body bottom box button buttons card center col column container content count "
+    "desktop element embed entry fixed global group holder icons inline inner item items js layout left lg line link links list main md middle "
+    "mobile outer page pane panel post posts primary rail region right row secondary section site slot small sm sticky story stories tertiary text "
+    "title top unit user visible wide wp wrap wrapper xs zone".split())
+#: Furniture words that sections and headings are also called; as an id within text they name its subject.
+TOPICS = frozenset(
+    "alert banner consent copyright dialog discussion feedback form header menu navigation notice notices notification overlay pagination "
+    "promotion promotions related replies reply respond search share sharing social subscription".split())
+TOPIC_COMPOUNDS = frozenset("related-articles related-posts related-stories social-share share-buttons social-icons social-links".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a wrapper says about its parts (``with-sidebar``) does not name the wrapper.
 _BESIDE = re.compile(r"\b(?:no|has|with|without)[-_]+[a-z0-9]+")
 _TOP = ("", False, 0, 0)
@@ -90,23 +109,43 @@ class Token(NamedTuple):
     named: int = 0  # which article named as furniture it stands in, from 1
 
 
-def _furniture(name: str, attributes: str) -> str:
-    """Why an element is furniture: ``tag``, ``hidden``, ``name``; or nothing."""
+def _attributes(raw: str) -> dict[str, str]:
+    """Names and values, as a browser reads them; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(raw):
+        if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1:
+            value = value[1:-1]
+        out.setdefault(name.lower(), html_lib.unescape(value))
+    return out
+
+
+def _names_furniture(key: str, value: str, name: str, within: bool) -> bool:
+    """Whether a class, id or role is a furniture word or a compound of one."""
+    if key == "id" and name in HEADINGS:  # the heading's own text
+        return False
+    for token in value.split():
+        parts = [x for x in _SPLIT.split(_BESIDE.sub("", _CAMEL.sub("-", token).lower())) if x]
+        words = FURNITURE_WORDS.intersection(parts)
+        if not words or not all(x in words or x in QUALIFIERS or len(x) == 1 or x[0].isdigit() for x in parts):
+            continue
+        if key == "id" and words <= TOPICS and (within or name not in ("div", "ul", "ol", "table", "td")) and "-".join(parts) not in TOPIC_COMPOUNDS:
+            continue
+        return True
+    return False
+
+
+def _furniture(name: str, raw: str, within: bool = False) -> str:
+    """Why an element (``within`` an article or main element) is furniture: ``tag``, ``hidden``, ``name``; or nothing."""
     if name in FURNITURE_TAGS:
         return "tag"
-    if not attributes or name in ("html", "body"):
+    if name in ("html", "body") or not _MAYBE.search(raw):  # hidden has id in it too
         return ""
-    named = ""
-    for key, value in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return "hidden"
-        if key == "style":
-            if "display:none" in value.lower().replace(" ", ""):
-                return "hidden"
-        elif name != "main" and not FURNITURE_WORDS.isdisjoint(_SPLIT.split(_BESIDE.sub("", _CAMEL.sub("-", value).lower()))):
-            named = "name"
-    return named
+    found = _attributes(raw)
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or "display:none" in "".join(found.get("style", "").lower().split()):
+        return "hidden"
+    if name != "main" and any(_names_furniture(key, found[key], name, within) for key in ("class", "id", "role") if key in found):
+        return "name"
+    return ""
 
 
 def tokens(page: str) -> list[Token]:
@@ -192,7 +231,7 @@ def tokens(page: str) -> list[Token]:
         if name in SAME_CLOSES:
             close(name, SAME_CLOSES[name])
         _, furniture, scope, named = stack[-1] if stack else _TOP
-        why = _furniture(name, attributes)
+        why = _furniture(name, attributes, scope > 0)
         if name == "article" and why == "name":
             why = ""
             if not named:

@@ -224,6 +224,29 @@ def test_articles_do_not_hide_the_main_text(page, text):
     assert READ.count("\n") == 1 and html_text.extract(page, W) == text
 
 
+@pytest.mark.parametrize("start", [
+    '<p title="the hidden cost of x">', '<p title="Hidden gems">', '<p data-state="hidden">', "<p title='a class=ad b'>", "<p data-x=' style=display:none'>",
+    '<p data-hidden title="aria-hidden=true">', '<section id="related-work">', '<section id="discussion">', '<h2 id="search-algorithms">', '<h2 id="comments">',
+    '<section id="in-search-of-time">', '<div class="social-science">', '<p class=text class=ad>', '<div id=feedback-loops>', '<p title="hidden"class=x>'])
+@pytest.mark.parametrize("within", ["article", "main", "div"])
+def test_only_attributes_that_name_furniture_drop_text(start, within):
+    end = "</" + re.match("<([a-z0-9]+)", start)[1] + ">"
+    assert html_text.extract(f"<{within}><p>one</p>{start}kept{end}<p>two</p></{within}>", W) == "one\nkept\ntwo"
+
+
+@pytest.mark.parametrize("start", [
+    "<div hidden>", '<div HIDDEN="">', "<div aria-hidden = 'true'>", '<div style="color:red; display : none">', "<div title='x'class=ad>", "<div class='x ad y'>",
+    '<div class="ad-slot-2">', '<div id="site-footer">', "<div id=comments-list>", '<div class="related-posts">', '<div id="related-posts">', "<div class=topNav>",
+    '<section class="c-newsletter-signup">', '<div role="search">', "<div data-a=b/ class=sidebar>", '<div class="&#97;d">'])
+def test_attributes_that_name_furniture(start):
+    assert html_text.extract(f"<article><p>one</p>{start}no</{re.match('<([a-z]+)', start)[1]}><p>two</p></article>", W) == "one\ntwo"
+
+
+def test_attributes_are_read_in_linear_time():
+    for raw in ("a=" * 100_000, " id='" * 50_000, " class" * 50_000, '"' * 100_000 + "id", " a = " * 50_000 + "class", "/" * 100_000 + "id", " class=" + "ad-x " * 50_000):
+        html_text._furniture("p", raw)
+
+
 def test_place_weights_are_learned(spark):
     """The same marks weigh less where they stand beside the words that contexts choose."""
     learn = lambda page: html_text.learn(spark.createDataFrame([(page,)] * 20, "html string"))
