@@ -7,11 +7,14 @@ that distance (at most ``MAX_REPLICAS`` lists).  Centroids are found by a
 best-first walk over a navigable graph of them, held in memory.
 
 Search: a query walks the same graph, and lists whose centroid lies within
-``probe_ratio`` of the nearest one are read (more, while those hold too few
-rows).  Lists and queries meet by a shuffle on (list, shard, query block): a
+``probe_ratio`` of the nearest one are read (at least ``LINKS``, and more while
+those hold too few rows).  Lists and queries meet by a shuffle on (list, shard, query block): a
 list longer than ``SHARD_ROWS``, say of one vector that repeats, is dealt over
 shards, and many queries of one list over blocks.  Each group returns its best
-``k`` per query in double precision; those are merged per query.
+``k`` per query in double precision; those are merged per query.  A query that
+then has fewer than ``k`` distinct ids, say because its lists hold one id over
+and over, is asked again of four times as many lists, until it has ``k`` or has
+read all lists.
 
 Nearness is the Euclidean distance; ties go to the smaller id.
 
@@ -182,7 +185,6 @@ def search(index: Index, queries: DataFrame, k: int = 10, vec_id: str = "vec_id"
     """``query_id, rank`` (from 1)``, vec_id, score`` for the rows of ``queries``."""
     spark = queries.sparkSession
     queries, _ = usable(queries, vec_id, vector)
-    id_type = index.rows.schema["id"].dataType.simpleString()
     sizes = np.zeros(len(index.graph.points), dtype=np.int64)
     for i, n in index.sizes.items():
         sizes[i] = n
@@ -198,14 +200,45 @@ def search(index: Index, queries: DataFrame, k: int = 10, vec_id: str = "vec_id"
                 dist = graph.near(points, probe_ratio)
                 order = np.argsort(dist, axis=1, kind="stable")
                 for i, (o, v) in enumerate(zip(order, np.take_along_axis(dist, order, 1), strict=True)):
-                    n = int((v <= v[0] * probe_ratio).sum())
+                    n = max(int((v <= v[0] * probe_ratio).sum()), min(LINKS, int(np.isfinite(v).sum())))
                     if sizes[o[:n]].sum() < (k + 1) * MAX_REPLICAS:  # too few rows: the next lists too
                         o = np.argsort(squared(points[i:i + 1], graph.points)[0], kind="stable")
                         n = max(n, 1 + int(np.searchsorted(np.cumsum(sizes[o]), (k + 1) * MAX_REPLICAS)))
                     out.append(o[:n].astype(np.int32))
             yield pd.Series(out)
 
+    @F.pandas_udf("array<int>")
+    def nearest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        centres = held.value[0].points
+        for batch, counts in batches:
+            out = []
+            for at in range(0, len(batch), 128):
+                points = np.stack(batch[at:at + 128].to_numpy()).astype(np.float64)
+                order = np.argsort(squared(points, centres), axis=1, kind="stable").astype(np.int32)
+                out += [o[:n] for o, n in zip(order, counts[at:at + 128], strict=True)]
+            yield pd.Series(out)
+
+    def best_of(hits: DataFrame) -> DataFrame:
+        each = hits.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return checkpointed(each.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best")))
+
     asked = checkpointed(queries.withColumn("lists", probes("vector")))
+    ranked = best_of(_meet(index, asked, k))
+    while True:
+        enough = ranked.where(F.size("best") >= k).select(F.col("query_id").alias("id"))
+        short = asked.where(F.size("lists") < len(index.graph.points)).join(enough, "id", "left_anti")
+        asked = checkpointed(short.withColumn("lists", nearest("vector", F.size("lists") * 4)))
+        if asked.isEmpty():
+            break
+        hits = ranked.select("query_id", F.explode("best").alias("hit")).select("query_id", "hit.vec_id", "hit.score")
+        ranked = best_of(hits.unionByName(_meet(index, asked, k)))
+    return (ranked.select("query_id", F.posexplode("best").alias("pos", "hit"))
+            .select("query_id", (F.col("pos") + 1).alias("rank"), "hit.vec_id", "hit.score"))
+
+
+def _meet(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: the best ``k`` of every group for the queries ``asked`` (``id, vector, lists``)."""
+    id_type = index.rows.schema["id"].dataType.simpleString()
     asks = asked.select("id", "vector", F.explode("lists").alias("list"))
     per_list = {r["list"]: r["count"] for r in asks.groupBy("list").count().collect()}
     if not per_list:
@@ -241,8 +274,4 @@ def search(index: Index, queries: DataFrame, k: int = 10, vec_id: str = "vec_id"
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     keys = ("list", "shard", "block")
-    found = posts.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(best, f"query_id {id_type}, vec_id {id_type}, score double")
-    each = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = each.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
-    return (ranked.select("query_id", F.posexplode("best").alias("pos", "hit"))
-            .select("query_id", (F.col("pos") + 1).alias("rank"), "hit.vec_id", "hit.score"))
+    return posts.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(best, f"query_id {id_type}, vec_id {id_type}, score double")

@@ -162,6 +162,36 @@ def test_neighbours_with_small_groups_and_hot_vectors(spark, monkeypatch):
         assert [v for v, _ in got[q]] == [v for v, _ in want[q]] and np.allclose([s for _, s in got[q]], [s for _, s in want[q]])
 
 
+@pytest.mark.parametrize("places", [1, 30])
+def test_an_id_that_fills_its_lists_still_has_neighbours(spark, places):
+    """Rows of id 0 far from the others, at one vector or around more places than lists that are read at first."""
+    rng = np.random.default_rng(4)
+    far = np.repeat(rng.normal(size=(places, 6)) + 50, 600 // places, axis=0)
+    x = np.concatenate((far, rng.normal(size=(300, 6))))
+    ids = np.concatenate((np.zeros(len(far), dtype=int), np.arange(1, 301)))
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    asked = table.where("vec_id = 0").limit(1)
+    found = ann.search(ann.build_index(table, list_rows=10), asked, k=10).orderBy("rank").collect()
+    d = np.sqrt(((x[len(far):] - np.array(asked.first().embedding)) ** 2).sum(1))
+    assert [r["rank"] for r in found] == list(range(1, 11)) and len({r.vec_id for r in found} - {0}) == 10
+    assert np.mean([r.score <= np.sort(d)[9] + 1e-9 for r in found]) >= 0.5
+
+
+def test_recall_on_clustered_and_repeated_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 8
+    x = centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16))
+    x[:600], x[600:1200] = x[0], x[rng.integers(2000, 2100, 600)]
+    x, ids = x.astype(np.float32).astype(np.float64), np.arange(3000)
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    want, got = brute(ids, x, 10, 20), {}
+    for r in ann.search(ann.build_index(table, list_rows=20), table.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    near = [s <= want[q][-1][1] + 1e-9 for q in want for s in got[q]]  # by distance: repeats are as near as one another
+    assert all(len(got[q]) == 10 for q in want) and np.mean(near) >= 0.95, np.mean(near)
+    print("recall", np.mean(near))
+
+
 def test_neighbours_of_few_or_no_rows(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = ann.search(ann.build_index(table), table.where("vec_id = 0"), k=10).orderBy("rank").collect()
