@@ -1,6 +1,7 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-Index: centroids are trained on a bounded sample and split until no list
+Index: centroids are trained on a bounded sample (chosen by a hash of id and
+vector, repeats once) and split until no list
 holds far more than its share; every row then joins the list of its nearest
 centroid and, near a boundary, of every centroid within ``replica_ratio`` of
 that distance (at most ``MAX_REPLICAS`` lists).  Centroids are found by a
@@ -30,6 +31,7 @@ The driver holds the sample (``SAMPLE_BYTES`` at most) and the centroids
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -156,8 +158,13 @@ def build_index(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddin
     rows, d = usable(rows, vec_id, vector)
     n = rows.count()
     bound = min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * max(d, 1)))
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < min(1.0, bound / max(n, 1)) * (1 << 20))
-    sample = [r.vector for r in chosen.select(F.col("vector").cast("array<double>").alias("vector")).toLocalIterator()]
+    share = 1.0
+    if n > bound:  # repeated rows count once, and one id is not chosen as a whole; a little less than the bound, as the count is approximate
+        different = rows.agg(F.approx_count_distinct(F.xxhash64("id", "vector"), 0.02)).first()[0]
+        share = min(1.0, 0.9 * bound / max(different, 1))
+    chosen = rows.where(F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 20)) < share * (1 << 20))
+    vectors = chosen.select(F.col("vector").cast("array<double>").alias("vector")).distinct()
+    sample = [r.vector for r in itertools.islice(vectors.toLocalIterator(), bound)]
     if not sample and n:
         sample = [r.vector for r in rows.select(F.col("vector").cast("array<double>").alias("vector")).limit(1).collect()]
     centres = train(np.array(sample), max(MIN_LISTS, min(MAX_LISTS, n // list_rows))) if sample else np.zeros((0, 1))

@@ -12,7 +12,8 @@ Text: lower-cased, every run of characters that are no letters is one space,
 one space at both ends.
 
 Training takes at most about ``max_docs_per_lang`` texts of a language, chosen
-by a hash of the id; below that number it takes all.  Sums are of integers, so
+by a hash of id and text, where rows equal in both count once; of a language
+with no more rows than that it takes all rows.  Sums are of integers, so
 the prototypes do not depend on the order of rows or tasks.
 
 Edge cases: a null text, or one without a letter, gets ``und`` with score 0;
@@ -86,11 +87,17 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
     The result holds one vector per language, summed in the cluster."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("id")).where("lang is not null")
-    shares = {r["lang"]: min(1.0, max_docs_per_lang / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    key = F.xxhash64("id", "text")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(key).alias("different")).collect()
+    shares = {r["lang"]: min(1.0, max_docs_per_lang / max(r["different"], 1)) if r["n"] > max_docs_per_lang else None for r in counts}
     if not shares:
         return {}
-    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
+    chosen = rows.where(F.col("lang").isin([x for x, share in shares.items() if share is None])).select("lang", "text")
+    sampled = {x: share for x, share in shares.items() if share is not None}
+    if sampled:
+        share = F.create_map(*[F.lit(x) for pair in sampled.items() for x in pair])
+        some = rows.where(F.pmod(key, F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+        chosen = chosen.unionByName(some.dropDuplicates(["lang", "id", "text"]).select("lang", "text"))
 
     def bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors, sums = Space(**space), {}

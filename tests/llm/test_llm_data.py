@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from faultline.llm import ann, simhash, token_output
+from faultline.llm import ann, lang_id, simhash, token_output
 from faultline.llm.bpe import ByteBPE, encode_texts
 from faultline.llm.queries import ORACLE_SQL, QUERIES
 from faultline.llm.vocab import read_file
@@ -192,6 +192,33 @@ def test_recall_on_clustered_and_repeated_vectors(spark):
     print("recall", np.mean(near))
 
 
+def chosen_by(spark, chosen):
+    """An id that a hash of the id alone chooses, or does not, at a share of a hundredth."""
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (1 << 20) / 100
+    return spark.range(5000).where(share if chosen else ~share).first()["id"]
+
+
+def test_the_sample_keeps_its_bound_with_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 100)
+    sizes, train = [], ann.train
+    monkeypatch.setattr(ann, "train", lambda sample, lists: sizes.append(len(sample)) or train(sample, lists))
+    rng, hot = np.random.default_rng(6), chosen_by(spark, True)
+    x = rng.normal(size=(6000, 4))
+    for rows in ([(hot if i % 3 == 0 else 10_000 + i, v.tolist()) for i, v in enumerate(x)], [(hot if i % 3 == 0 else 10_000 + i, x[i * (i % 3 > 0)].tolist()) for i in range(6000)]):
+        ann.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert all(40 <= n <= 100 for n in sizes) and len(sizes) == 2
+
+
+def test_a_language_under_one_id_has_a_prototype(spark):
+    cold = chosen_by(spark, False)
+    rows = [(cold, f"wort {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}", "de") for i in range(400)]
+    rows += [(cold, "the same text over and over", "en")] * 400 + [(1, "un texte", "fr")] * 4
+    prototypes = lang_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs_per_lang=4)
+    once = lang_id.learn(spark.createDataFrame([(cold, "the same text over and over", "en")], "doc_id long, text string, lang string"))
+    assert set(prototypes) >= {"en", "fr"} and (prototypes["en"] == once["en"]).all()
+    assert "de" in lang_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs_per_lang=40)
+
+
 def test_neighbours_of_few_or_no_rows(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = ann.search(ann.build_index(table), table.where("vec_id = 0"), k=10).orderBy("rank").collect()
