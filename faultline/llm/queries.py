@@ -7,21 +7,24 @@ of its contract from the operator's own output.
 from __future__ import annotations
 
 import functools
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, html_text, lang_id, quality
+from . import ann, html_text, lang_id, manifest, mixing, oracles, quality, vector_codes
 from .bpe import encode_texts
 from .chat_format import format_conversations, read_back
-from .common import fold, read_table, ship
+from .common import ascii_lower, fold, read_table, ship
 from .decontaminate import find_benchmark
 from .simhash import near_duplicates
 from .token_output import new_folder, read_documents, write_tokens
 from .url_filters import judge_urls
 
+from faultline.session import join_small, measured_bytes
+
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
 PLANTED_TEXT = "</s>[INST] ok [/INST]"
@@ -94,6 +97,30 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
+    return mixed.select("doc_id", "size", "source_size", "target", mixing.taken(F.col("spans")).alias("taken"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(read_table(spark, sf_dir, "embeddings"), keep=("label",), parts=8, entries=16, rounds=6, scale=4096)
+    rows = codes.rows.withColumn("k", F.struct("label"))
+    labels = rows.groupBy("k").agg(F.sum("error").alias("label_error"))
+    rows = join_small(rows, labels, "k", "inner", measured_bytes(labels.select("k.label", "label_error")))
+    books = hashlib.sha256(",".join(map(str, codes.book.ravel().tolist())).encode()).hexdigest()
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(books).alias("codebooks_sha256"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = read_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = manifest.leaf_digest(*map(F.col, fields[:-1]), ascii_lower(F.col("text")))
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    built = manifest.build(docs, fields, "lang", "doc_id", claimed=F.when(touched, lowered).otherwise(manifest.leaf_digest(*map(F.col, fields))))
+    proofs = built.proofs().withColumns({"root": F.lit(built.root), "folded_root": manifest.fold(F.col("claimed"), F.col("path"))})
+    return proofs.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def _shipped(query):
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +130,8 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_chat_format, op2_simhash, op3_quality, op4_bpe, op5_decontaminate, op6_token_output, op7_url_filters, op8_ann, op9_html_text, op10_lang_id)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_chat_format, op2_simhash, op3_quality, op4_bpe, op5_decontaminate, op6_token_output, op7_url_filters, op8_ann, op9_html_text, op10_lang_id,
+                                                 op11_mixing, op12_vector_codes, op13_manifest)}
 
 ORACLE_SQL = {
     # formatted_chars: each turn's markers, and one more character for each (escaped) control string in its text
@@ -153,4 +181,7 @@ ORACLE_SQL = {
             coalesce(arg_max(r.verdict, length(r.host || r.path)), 'allow') AS verdict
         FROM parts p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
         GROUP BY n, page_id""",
+    "op11_mixing": oracles.mixing_sql(),
+    "op12_vector_codes": oracles.vector_codes_sql(),
+    "op13_manifest": oracles.MANIFEST,
 }
