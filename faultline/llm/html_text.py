@@ -39,8 +39,8 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -75,7 +75,6 @@ MAIN, ARTICLE = 1, 2
 ARTICLE_SHARE, MAIN_SHARE, NAMED_SHARE = 0.5, 0.1, 0.9
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 _UNQUOTED = re.compile(r"[^>\"']*+")
-_EQUALS = re.compile(r"=\s*\Z")
 _ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/=][^\s/=]*+)(?:\s*+=\s*+("[^"]*"|'[^']*'|\S*+))?""")
 #: What an attribute that could make an element furniture has in it; the others are not parsed.
 _MAYBE = re.compile(r"class|id|role|style", re.I)
@@ -95,7 +94,7 @@ TOPIC_COMPOUNDS = frozenset("related-articles related-posts related-stories soci
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a wrapper says about its parts (``with-sidebar``) does not name the wrapper.
 _BESIDE = re.compile(r"\b(?:no|has|with|without)[-_]+[a-z0-9]+")
-_TOP = ("", False, 0, 0)
+_BLANKS = " \t\n\r\f"
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
@@ -109,6 +108,19 @@ class Token(NamedTuple):
     named: int = 0  # which article named as furniture it stands in, from 1
 
 
+class _Open(NamedTuple):
+    """An open element, with what holds for text in it."""
+    name: str
+    furniture: bool
+    scope: int
+    named: int
+    link: bool  # within a link, however deep
+    block: str  # the nearest block element
+
+
+_TOP = _Open("", False, 0, 0, False, "body")
+
+
 def _attributes(raw: str) -> dict[str, str]:
     """Names and values, as a browser reads them; of a repeated name the first counts."""
     out: dict[str, str] = {}
@@ -150,26 +162,27 @@ def _furniture(name: str, raw: str, within: bool = False) -> str:
 
 def tokens(page: str) -> list[Token]:
     out: list[Token] = []
-    stack: list[tuple[str, bool, int, int]] = []  # name, furniture, scope, named: of the open elements
-    opened: Counter = Counter()  # how many of each are on the stack
+    stack: list[_Open] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of each name on the stack
     block, at, no_more, end, articles = 0, 0, set(), len(page), 0
 
     def text(raw: str) -> None:
         if raw:
-            _, furniture, scope, named = stack[-1] if stack else _TOP
+            here = stack[-1] if stack else _TOP
             raw = html_lib.unescape(raw)
-            names = [s[0] for s in stack[-12:]]
-            kind = "furniture" if furniture else "link" if "a" in names else next((x for x in reversed(names) if x in BLOCKS), "body")
-            out.append(Token(kind, raw, len(raw.split()), block, furniture, scope, named))
-
-    def close(name: str, within: set[str] | None = None) -> None:
-        for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
-            if stack[i][0] == name:
-                opened.subtract(s[0] for s in stack[i:])
-                del stack[i:]
-                return
-            if within and stack[i][0] in within:
-                return
+            kind = "furniture" if here.furniture else "link" if here.link else here.block
+            out.append(Token(kind, raw, len(raw.split()), block, here.furniture, here.scope, here.named))
+
+    def close(name: str, within: Iterable[str] = ()) -> None:
+        """Close the last open element of a name, unless one of ``within`` was opened after it."""
+        if (own := places[name]) and all(own[-1] >= places[x][-1] for x in within if places[x]):
+            for element in reversed(stack[(first := own[-1]):]):
+                places[element.name].pop()
+            del stack[first:]
+
+    def push(element: _Open) -> None:
+        places[element.name].append(len(stack))
+        stack.append(element)
 
     while at < end:
         less = page.find("<", at)
@@ -202,7 +215,10 @@ def tokens(page: str) -> list[Token]:
             if stop >= end or page[stop] == ">":
                 break
             quote, i = page[stop], stop + 1
-            if quote not in no_more and _EQUALS.search(page[max(m.end(), stop - 20):stop]):
+            last = stop - 1  # the last character before the quote that is no blank
+            while last >= m.end() and page[last] in _BLANKS:
+                last -= 1
+            if quote not in no_more and last >= m.end() and page[last] == "=":
                 j = page.find(quote, i)
                 if j < 0:
                     no_more.add(quote)
@@ -213,16 +229,15 @@ def tokens(page: str) -> list[Token]:
         attributes, at = page[m.end():stop], stop + 1
         if name in BLOCKS:
             block += 1
-        _, furniture, scope, named = stack[-1] if stack else _TOP
-        out.append(Token(name, " " if name == "br" else None, 0, block, furniture, scope, named))
+        here = stack[-1] if stack else _TOP
+        out.append(Token(name, " " if name == "br" else None, 0, block, here.furniture, here.scope, here.named))
         if closing:
             close(name)
             continue
         if name in RAW:
             found = _RAW_END[name].search(page, at)
             at = found.start() if found else end
-            stack.append((name, True, 0, 0))
-            opened[name] += 1
+            push(_Open(name, True, 0, 0, False, "body"))
             continue
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
@@ -230,7 +245,8 @@ def tokens(page: str) -> list[Token]:
             close("p", {"div", "section", "article", "main", "td", "th", "li", "blockquote", "body", "aside", "nav", "footer", "header", "form"})
         if name in SAME_CLOSES:
             close(name, SAME_CLOSES[name])
-        _, furniture, scope, named = stack[-1] if stack else _TOP
+        here = stack[-1] if stack else _TOP
+        scope, named = here.scope, here.named
         why = _furniture(name, attributes, scope > 0)
         if name == "article" and why == "name":
             why = ""
@@ -239,8 +255,7 @@ def tokens(page: str) -> list[Token]:
                 named = articles
         if name == "main" or name == "article" and not named:
             scope |= MAIN if name == "main" else ARTICLE
-        stack.append((name, furniture or bool(why), scope, named))
-        opened[name] += 1
+        push(_Open(name, here.furniture or bool(why), scope, named, here.link or name == "a", name if name in BLOCKS else here.block))
     return _without_named(out) if articles else out
 
 
@@ -340,21 +355,22 @@ def learn(pages: DataFrame, html: str = "html", max_pages: int = MAX_PAGES) -> d
     return contexts | learned(lambda page: place_counts(page, contexts))
 
 
+def score(t: Token, scope: int, weight: dict[str, float], places: dict[str, float]) -> float:
+    if t.words:
+        if t.furniture:  # left out anyway: within the marked content it must not part what stands on both sides
+            return 0.0 if inside(t, scope) else min(weight.get("word:furniture", START["furniture"]) / 20, 0) * t.words
+        each = weight.get(f"word:{t.context}", START["link"] if t.context == "link" else START["text"])
+        return (each + places.get(place(t, scope), 0.0)) * t.words
+    return 0.0 if t.text is not None else weight.get(f"tag:{t.context}", START["tag"])
+
+
 def region(seq: list[Token], scope: int, weight: dict[str, float], places: dict[str, float]) -> tuple[int, int]:
     """Bounds of the contiguous stretch with the largest sum."""
-    def score(t: Token) -> float:
-        if t.words:
-            if t.furniture:  # left out anyway: within the marked content it must not part what stands on both sides
-                return 0.0 if inside(t, scope) else min(weight.get("word:furniture", START["furniture"]) / 20, 0) * t.words
-            each = weight.get(f"word:{t.context}", START["link"] if t.context == "link" else START["text"])
-            return (each + places.get(place(t, scope), 0.0)) * t.words
-        return 0.0 if t.text is not None else weight.get(f"tag:{t.context}", START["tag"])
-
     best, found, total, start = 0.0, (0, 0), 0.0, 0
     for i, t in enumerate(seq):
         if total <= 0:
             total, start = 0.0, i
-        total += score(t)
+        total += score(t, scope, weight, places)
         if total > best:
             best, found = total, (start, i + 1)
     return found

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -259,8 +260,39 @@ def test_place_weights_are_learned(spark):
 
 
 def test_main_text_is_linear_on_broken_pages():
-    for page in ("<p a='" * 50_000, "<" * 200_000, "<div>" * 50_000 + "x", "<!--" * 50_000, "</p><p>" * 50_000 + "x", "<script>" * 50_000, "<div>" * 50_000 + "</x>" * 50_000):
+    for page in ("<p a='" * 50_000, "<" * 200_000, "<div>" * 50_000 + "x", "<!--" * 50_000, "</p><p>" * 50_000 + "x", "<script>" * 50_000, "<div>" * 50_000 + "</x>" * 50_000,
+                 "<p><td>" + "<span>" * 50_000 + "<div>x</div>" * 50_000, "<li><ul>" + "<b>" * 50_000 + "<li>x</li>" * 50_000,
+                 "<p " + ("a" + " " * 30 + "'") * 20_000 + ">x", "<p " + " " * 200_000 + "'>x"):
+        began = time.perf_counter()
         html_text.extract(page, W)
+        assert time.perf_counter() - began < 10, page[:40]  # about a second each; hours if quadratic
+
+
+@pytest.mark.parametrize("depth", [0, 11, 12, 200])
+def test_context_does_not_depend_on_depth(depth):
+    page = "<h1><a href=x>" + "<span>" * depth + "linked" + "</span>" * depth + "</a>plain" + "<i>" * depth + "deep</h1>"
+    said = {t.text: t.context for t in html_text.tokens(page) if t.text}
+    assert said.pop("linked") == "link" and set(said.values()) == {"h1"}
+
+
+def test_quotes_after_any_blanks():
+    for blanks in ("", " ", "\n\t " * 40):
+        assert html_text.extract(f"<p title={blanks}'a > b'>kept</p>", W) == "kept"
+        assert html_text.extract(f"<p title{blanks}'a > b'>kept</p>", W) == "b'>kept"
+
+
+def test_region_is_the_best_of_all_stretches():
+    rng = random.Random(12)
+    tags = ["<p>", "</p>", "<div>", "</div>", "<a href=x>", "</a>", "<nav>", "</nav>", "<article>", "</article>", "<li>", "<h1>", "</h1>", "<br>"]
+    places = {"within": 1.5, "beside": -1.5, "minor": -0.5}
+    for _ in range(150):
+        weight = {f"word:{c}": rng.uniform(-3, 3) for c in ("p", "div", "link", "li", "h1", "body", "furniture")} | {f"tag:{t}": rng.uniform(-2, 0.2) for t in ("p", "div", "a", "br")}
+        seq = html_text.tokens("".join(rng.choice(tags) if rng.random() < 0.6 else "word " * rng.randint(1, 4) for _ in range(rng.randint(0, 30))))
+        scope = html_text.marked_scope(seq)
+        scores = [html_text.score(t, scope, weight, places) for t in seq]
+        start, stop = html_text.region(seq, scope, weight, places)
+        best = max([0.0, *(sum(scores[i:j]) for i in range(len(seq)) for j in range(i + 1, len(seq) + 1))])
+        assert sum(scores[start:stop]) == pytest.approx(best, abs=1e-9)
 
 
 def test_html_learns_and_extracts_in_spark(spark):
