@@ -50,6 +50,12 @@ def keep_first(docs: DataFrame, grouped, text: str = "text", doc_id: str = "doc_
     return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this library wrote, in whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -17,7 +17,7 @@ import public_tokenizers
 from . import ann, html_text, lang_id, manifest, mixing, oracles, quality, vector_codes
 from .bpe import encode_texts
 from .chat_format import format_conversations, read_back
-from .common import ascii_lower, fold, read_table, ship
+from .common import ascii_lower, fold, read_table, remove, ship
 from .decontaminate import find_benchmark
 from .simhash import near_duplicates
 from .token_output import new_folder, read_documents, write_tokens
@@ -71,7 +71,9 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark)
     write_tokens(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
-    return read_documents(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
+    docs = read_documents(spark, folder)
+    remove(spark, folder)
+    return docs.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

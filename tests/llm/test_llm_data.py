@@ -1,6 +1,8 @@
 """BPE, token files, nearest neighbours, SimHash and the pipeline: exact round trips, brute force and edge cases."""
 
 import hashlib
+import json
+import os
 import random
 import zlib
 
@@ -16,6 +18,7 @@ from faultline.llm import ann, lang_id, simhash, token_output
 from faultline.llm.bpe import ByteBPE, encode_texts
 from faultline.llm.queries import ORACLE_SQL, QUERIES
 from faultline.llm.vocab import read_file
+from faultline.session import checkpoint_dir
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 DOC = "doc_id long, text string, ids string, n_tokens string"
@@ -107,9 +110,47 @@ def test_token_files_round_trip(spark, tmp_path, kind, block):
     assert [r.start for r in index] == np.concatenate(([0], np.cumsum([r.n for r in index])))[:-1].tolist() and max(r.n for r in index) <= block
 
 
+    for start, n in [(0, 1), (0, at), (at - 1, 50), (at, 5), (at // 3, 200), (63, 2), (64, 64), (at // 2, 1), (5, 0)]:
+        some = token_output.read_range(spark, str(tmp_path / "out"), start, n).orderBy("start").collect()
+        assert [x for r in some for x in r.ids] == flat[start:start + n]
+        assert all(r.n == len(r.ids) and flat[r.start:r.start + r.n] == r.ids for r in some)
+
+
+def test_range_opens_the_blocks_of_the_index_alone(spark, tmp_path):
+    out = str(tmp_path / "out")
+    token_output.write_tokens(spark.createDataFrame([(i, f"some words {i} " * 40, "", "") for i in range(200)], DOC), out, WORD, block=256)
+    index = spark.read.parquet(f"{out}/index")
+    one = index.where("shard = 1").orderBy("block").collect()[1]
+    rows = token_output.read_range(spark, out, one.start + 3, 10)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan and "(shard" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert f"GreaterThanOrEqual(block,{one.block})" in plan and f"LessThanOrEqual(block,{one.block})" in plan
+    read = token_output._read_blocks(spark, out, "struct<id:bigint,ordinal:bigint,part:int,last:boolean,at:int,n:int>").where(f"shard = 1 AND block = {one.block}")
+    assert read.count() == 1 and index.where("shard = 1").count() > 3
+
+
 def test_token_files_of_an_empty_table(spark, tmp_path):
     token_output.write_tokens(spark.createDataFrame([], DOC), str(tmp_path / "out"), WORD)
     assert token_output.read_documents(spark, str(tmp_path / "out")).count() == 0
+    assert token_output.read_range(spark, str(tmp_path / "out"), 0, 5).count() == 0
+
+
+def test_other_rules_go_through_the_library(tmp_path):
+    config = json.loads(read_file(WORD))
+    config["normalizer"] = None
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(config))
+    bpe, reference, text = token_output.WordBPE(read_file(str(other))), library(str(other)), "Upper lower  UPPER's"
+    ids = reference.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(bpe.encode(text), "<u4").tolist() == ids
+    assert ids != library(WORD).encode(text, add_special_tokens=False).ids
+
+
+def test_token_query_leaves_no_folder(spark):
+    before = set(os.listdir(checkpoint_dir(spark).removeprefix("file:")))
+    assert QUERIES["op6_token_output"](spark, "/root/testdata/sf0.001").count() == 200
+    left = set(os.listdir(checkpoint_dir(spark).removeprefix("file:"))) - before
+    assert not [x for x in left if x.startswith("tokens-")]
 
 
 # --- nearest neighbours ----------------------------------------------------------------------------------------------
