@@ -143,11 +143,13 @@ class Index(NamedTuple):
     sizes: dict[int, int]  # rows of each list
 
 
-def usable(rows: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int]:
-    """(id, vector) of the rows that take part, and the length of their vectors."""
+def usable(rows: DataFrame, vec_id: str, vector: str, length: int | None = None) -> tuple[DataFrame, int]:
+    """(id, vector) of the rows that take part, and the length of their vectors: ``length``, or the commonest."""
     v = F.col("vector")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.select(F.col(vec_id).alias("id"), F.col(vector).alias("vector")).where(F.col("id").isNotNull() & v.isNotNull()).where(finite)
+    if length is not None:
+        return rows.where(F.size("vector") == length), length
     sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     d = sizes[0]["d"] if sizes else 0
     return rows.where(F.size("vector") == d), d
@@ -191,7 +193,8 @@ def search(index: Index, queries: DataFrame, k: int = 10, vec_id: str = "vec_id"
            probe_ratio: float = PROBE_RATIO) -> DataFrame:
     """``query_id, rank`` (from 1)``, vec_id, score`` for the rows of ``queries``."""
     spark = queries.sparkSession
-    queries, _ = usable(queries, vec_id, vector)
+    points = index.graph.points
+    queries, _ = usable(queries, vec_id, vector, points.shape[1] if len(points) else 0)
     sizes = np.zeros(len(index.graph.points), dtype=np.int64)
     for i, n in index.sizes.items():
         sizes[i] = n

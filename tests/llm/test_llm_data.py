@@ -155,6 +155,15 @@ def test_token_query_leaves_no_folder(spark):
 
 # --- nearest neighbours ----------------------------------------------------------------------------------------------
 
+def test_queries_of_another_length_take_no_part(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(297)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1000, [1.0, 2.0]), (1001, [2.0, 1.0]), (1002, [1.0, 0.0, 0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = ann.search(ann.build_index(rows), asked, k=3).collect()
+    assert [r.query_id for r in got] == [1002] * 3
+    assert ann.search(ann.build_index(rows.limit(0)), asked, k=3).count() == 0
+
+
 def test_graph_walk_meets_the_nearest():
     rng = np.random.default_rng(0)
     points, asked = rng.normal(size=(300, 12)), rng.normal(size=(100, 12))
@@ -369,6 +378,19 @@ def test_stages_on_odd_rows_and_empty_tables(spark, odd_docs):
             out.collect()
 
 
+def test_stages_keep_columns_of_any_name(spark, odd_docs):
+    names = ["n_words", "n_hit", "spans", "item_ids", "contaminated", "_found", "_n", "_key", "_score", "_kept", "_lang", "_text", "row", "score", "predicted",
+             "component", "component_id", "fingerprint", "fp", "a.b"]
+    docs = odd_docs.withColumns({c: F.lit(f"my {c}") for c in names if c not in odd_docs.columns})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept, name
+        for r in kept:
+            assert all(r[c] == f"my {c}" for c in names if c not in odd_docs.columns), name
+
+
 def test_one_of_each_group_stays(spark, odd_docs):
     kept = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.keep_one_of_each(spark, odd_docs, "").collect())
     assert kept == [(0, "a text without an id is kept too"), (1, "another text under the same id here"),
@@ -398,4 +420,4 @@ def test_pipeline_keeps_clean_documents(spark):
 
 
 def test_registry(spark):
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES} and set(ORACLE_SQL) <= set(QUERIES)
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES} and set(ORACLE_SQL) <= set(QUERIES)
