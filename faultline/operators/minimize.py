@@ -25,9 +25,10 @@ and usually a tiny fraction).
 
 Every null key is one key.  The driver receives counts and positions only.
 
-With a custom splitter the same rounds run on buckets.  Opaque tests, and
-weights below zero, take the general path: one job per tested part or
-complement, first failure wins, as in the reference.
+With a custom splitter the same rounds run on buckets.  Tests whose states can
+be merged (``merged.MergeTest``), and weights below zero, are batched without
+that pruning, see ``merged``.  Opaque tests take the general path: one job per
+tested part or complement, first failure wins, as in the reference.
 """
 
 from __future__ import annotations
@@ -39,8 +40,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.operators import merged
+from faultline.operators.exhaustive import ALL_HISTORY, AllResult, search_all
+from faultline.operators.merged import MergeTest
 from faultline.operators.oracles import CallableTest, SumThreshold
 from faultline.operators.sets import GroupIndex, ItemIndex, contiguous_bucket, index_items, part_bounds
+from faultline.operators.sketch import heavy_cells
 from faultline.session import MAX_BROADCAST_BYTES, join_small, materialize, measured_bytes
 
 HISTORY_SCHEMA = "round int, n_items long, n_parts int, outcome string, removed long, job int, micros long"
@@ -86,12 +91,6 @@ class MinimizeResult:
     count: int
 
 
-@dataclass
-class AllResult:
-    items: DataFrame          # (set_id, original columns...) for every minimal set found
-    sets: list[list[tuple[int, int]]]
-
-
 def _history(spark, steps):
     return spark.createDataFrame([(s.round, s.n_items, s.n_parts, s.outcome, s.removed, s.job, s.micros) for s in steps],
                                  HISTORY_SCHEMA)
@@ -112,18 +111,23 @@ class _Rows:
 
 
 def _candidates(index: ItemIndex | GroupIndex, test: SumThreshold, max_bytes: int, every_key: bool = False) -> _Rows:
-    """Rows of the keys that can reach the threshold.  With a negative weight
+    """Rows of the keys that can reach the threshold: those that a sketch of
+    all weights leaves open, then those whose total does.  With a negative weight
     any key can: all rows if ``every_key``, else none (``nonneg`` tells)."""
     t = test.threshold
     raw = index.rows(test)
-    keyed = materialize(raw.groupBy("k").agg(F.sum("w").alias("T"), F.min("w").alias("mn")).where((F.col("T") >= t) | (F.col("mn") < 0)))
-    n_hot, negative = keyed.agg(F.count_if(F.col("T") >= t), F.count_if(F.col("mn") < 0)).first()
-    if negative and not every_key:
-        return _Rows(raw.limit(0), n_hot, False)
-    if not negative:
-        hot = keyed.select("k")
-        raw = join_small(raw, hot, "k", "left_semi", measured_bytes(hot.select("k.*")), max_bytes)
-    return _Rows(materialize(index.attach(raw).groupBy("idx", "k").agg(F.sum("w").alias("w"))), n_hot, not negative)
+    # a sketch has no use for limits that every key reaches
+    heavy = heavy_cells(raw, "k", "w", max(t, 1))
+    if heavy is None and not every_key:
+        return _Rows(raw.limit(0), 0, False)
+    if heavy is not None and t > 0:
+        raw = raw.where(heavy.may_reach(F.col("k"))) if heavy.count else raw.limit(0)
+    rows = materialize(index.attach(raw).groupBy("idx", "k").agg(F.sum("w").alias("w")))
+    totals = rows.groupBy("k").agg(F.sum("w").alias("T")).where(F.col("T") >= t).select("k")
+    if heavy is None:
+        return _Rows(rows, totals.count(), False)
+    hot = materialize(totals)
+    return _Rows(join_small(rows, hot, "k", "left_semi", measured_bytes(hot.select("k.*")), max_bytes), hot.count(), True)
 
 
 def _look_ahead(rows: DataFrame, lo: int, hi: int, t: int, min_items: int, log: _Log) -> tuple[int, int, str]:
@@ -253,28 +257,6 @@ def _ddmin_ranges(index, rows: DataFrame, t: int, min_items: int, start_parts: i
             rows = materialize(_halve(rows.join(kept.select(F.col("part").alias("lo"), "k"), ["lo", "k"], "left_semi")))
 
 
-# kept ranges of the original idx, in current order: [(orig_start, length)]
-def _cut(iv, lo, hi):
-    out, pos = [], 0
-    for s, ln in iv:
-        a, b = max(lo, pos), min(hi, pos + ln)
-        if a < b:
-            out.append((s + a - pos, b - a))
-        pos += ln
-    return out
-
-
-def _drop(iv, lo, hi):
-    total = sum(ln for _, ln in iv)
-    out = []
-    for s, ln in _cut(iv, 0, lo) + _cut(iv, hi, total):
-        if out and out[-1][0] + out[-1][1] == s:
-            out[-1] = (out[-1][0], out[-1][1] + ln)
-        else:
-            out.append((s, ln))
-    return out
-
-
 def _ddmin_buckets(index, rows: DataFrame, t: int, split, min_items: int, start_parts: int, log: _Log) -> DataFrame:
     """The same rounds on the buckets of a custom splitter; the kept ``idx`` as ranges of one."""
     items = index.indexed()
@@ -408,17 +390,20 @@ def ddmin(items: DataFrame, test, order_by: list[str],
           test_concurrency: int = 1) -> MinimizeResult:
     """Minimal failing subset of ``items`` under ``test``.
 
-    ``order_by`` fixes the item order (unique columns).  ``test`` is a
-    ``SumThreshold`` (batched) or a ``CallableTest``/any object with
+    ``order_by`` fixes the item order; the columns must be unique (rows that
+    share them would be taken for each other).  ``test`` is a ``SumThreshold``
+    or a ``MergeTest`` (batched) or a ``CallableTest``/any object with
     ``fails(df) -> bool``.  ``split(items_with_idx, n) -> bucket Column``
     replaces the contiguous split (X2).  Stops at the first round that has
-    ``min_items`` or fewer.  ``index`` supplies a ready index of the items
+    ``min_items`` (1 or more) or fewer.  ``index`` supplies a ready index of the items
     (see ``sets.index_by_group``).  An opaque test is called once at a time
     unless ``test_concurrency`` asks for more.  Returns an empty DataFrame
     when the input does not fail.
     """
     if callable(test) and not hasattr(test, "fails"):
         test = CallableTest(test)
+    if min_items < 1:
+        raise ValueError("min_items must be 1 or more")
     spark, log = items.sparkSession, _Log()
     index = index if index is not None else index_items(items, order_by)
     rows = None
@@ -428,7 +413,17 @@ def ddmin(items: DataFrame, test, order_by: list[str],
         if rows.nonneg and (not rows.n_hot or not index.count):
             log.add(index.count, min(max(2, start_parts), max(index.count, 2)), "pass")
             return MinimizeResult(index.items.limit(0), _history(spark, log), log, 0)
-    if rows is None or not rows.nonneg:
+    batched = merged.sum_test(test) if rows is not None and not rows.nonneg else test
+    if isinstance(batched, MergeTest) and split is None:
+        if rows is None:
+            log.next_job()
+        states = merged.candidate_states(index, batched)
+        if not index.count or batched.keys_that_hold(states) < batched.quorum:
+            log.add(index.count, min(max(2, start_parts), max(index.count, 2)), "pass")
+            return MinimizeResult(index.items.limit(0), _history(spark, log), log, 0)
+        kept = materialize(merged.search(index, states, batched, min_items, start_parts, log))
+        result = index.select(kept, ranges_bytes=measured_bytes(kept))
+    elif rows is None or not rows.nonneg:
         log.clear()
         result = _ddmin_general(index, test, split, min_items, start_parts, test_concurrency, log)
     else:
@@ -442,129 +437,30 @@ def ddmin(items: DataFrame, test, order_by: list[str],
     return MinimizeResult(result, _history(spark, log), log, final)
 
 
-def _level_round(rows: DataFrame, level, t: int) -> dict:
-    """Test every part and complement of every branch of a level in ONE
-    grouped job.  ``rows`` is ``(br, cur, k, w)``; ``level[br] = (iv, c, n,
-    offset)``.  Returns ``{br: {"whole", "parts", "comps"}}``."""
-    n_arr = "array(" + ", ".join(f"{int(st[2])}L" for st in level) + ")"
-    c_arr = "array(" + ", ".join(f"{int(max(st[1], 1))}L" for st in level) + ")"
-    n_of, c_of = f"element_at({n_arr}, CAST(br + 1 AS INT))", f"element_at({c_arr}, CAST(br + 1 AS INT))"
-    if max(st[1] * st[2] for st in level) <= (1 << 62):
-        b = F.expr(f"(cur * {n_of}) DIV {c_of}")
-    else:
-        b = F.expr(f"CAST((CAST(cur AS DECIMAL(38,0)) * {n_of}) DIV {c_of} AS BIGINT)")
-    S = rows.groupBy("br", b.cast("long").alias("b"), "k").agg(F.sum("w").alias("s"))
-    T = S.groupBy("br", "k").agg(F.sum("s").alias("T"))
-    n_hot = T.where(F.col("T") >= t).groupBy("br").agg(F.count(F.lit(1)).alias("h"))
-    out = [
-        S.where(F.col("s") >= t).select("br", F.lit("part").alias("kind"), F.col("b").alias("v")),
-        n_hot.select("br", F.lit("nhot").alias("kind"), F.col("h").alias("v")),
-    ]
-    if any(st[2] > 2 for st in level):
-        # complements only matter for branches split in more than two parts
-        ST = S.join(T, ["br", "k"])
-        blocked = ST.where((F.col("T") >= t) & (F.col("s") > F.col("T") - t))
-        per_b = blocked.groupBy("br", "b").agg(F.count(F.lit(1)).alias("cnt"))
-        out += [
-            ST.where(F.col("s") <= F.col("T") - t).select("br", F.lit("comp").alias("kind"), F.col("b").alias("v")),
-            per_b.join(n_hot, "br").where(F.col("cnt") == F.col("h"))
-                 .select("br", F.lit("okcand").alias("kind"), F.col("b").alias("v")),
-        ]
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    got: dict = {}
-    for r in res.collect():
-        got.setdefault(int(r["br"]), []).append((r["kind"], int(r["v"])))
-    result = {}
-    for br, (iv, c, n, offset) in enumerate(level):
-        items = got.get(br, [])
-        nhot = next((v for kind, v in items if kind == "nhot"), 0)
-        parts = sorted({v for kind, v in items if kind == "part"})
-        comps = []
-        if n > 2:
-            comp_fail = {v for kind, v in items if kind == "comp"}
-            if nhot > 0:
-                ok = {v for kind, v in items if kind == "okcand"} - comp_fail
-                comps = [i for i in range(n) if i not in ok]
-            else:
-                comps = sorted(comp_fail)
-        result[br] = {"whole": nhot > 0, "parts": parts, "comps": comps}
-    return result
-
-
-def minimize_all(items: DataFrame, test: SumThreshold, order_by: list[str],
-                 min_items: int = 1, start_parts: int = 2,
-                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> AllResult:
+def minimize_all(items: DataFrame, test, order_by: list[str], min_items: int = 1, start_parts: int = 2,
+                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+                 split: Callable[[DataFrame, int], Column] | None = None,
+                 index: ItemIndex | GroupIndex | None = None) -> AllResult:
     """Exhaustive ddmin (D3): follow every failing part (and, when no part
-    fails, every failing complement) as its own branch; return each distinct
-    minimal set with a ``set_id``.
-
-    Branches are processed level by level: all branches of a level share one
-    DataFrame of candidate rows tagged with a branch id, are tested in one
-    grouped job, and the next level's rows are built in one more job.  The
-    driver holds only branch metadata (kept ranges, ``n``, offset); branch
-    states are deduplicated, so a set reached twice is explored once."""
+    fails, every failing complement) as its own branch; each distinct minimal
+    set gets a ``set_id``.  ``test`` is a ``SumThreshold`` or a ``MergeTest``,
+    ``split`` as in ``ddmin``; see ``exhaustive`` for how branches are kept."""
+    if min_items < 1:
+        raise ValueError("min_items must be 1 or more")
+    if not isinstance(test, SumThreshold | MergeTest):
+        raise TypeError("the exhaustive search takes a SumThreshold or a MergeTest")
     spark = items.sparkSession
-    index = index_items(items, order_by)
-    count, t = index.count, test.threshold
-    rows0 = _candidates(index, test, max_broadcast_bytes, every_key=True) if count else None
-    if not count or not rows0.n_hot:
-        return AllResult(items.limit(0).select(F.lit(0).alias("set_id"), *items.columns), [])
-    level = [([(0, count)], count, min(max(2, start_parts), max(count, 2)), 0)]
-    rows = rows0.df.select(F.lit(0).cast("long").alias("br"), F.col("idx").alias("cur"), "k", "w")
-    seen = {(tuple(level[0][0]), level[0][2])}
-    results = []
-    while level:
-        active = [br for br, st in enumerate(level) if st[1] > min_items]
-        results += [st[0] for st in level if st[1] <= min_items]
-        if not active:
-            break
-        res = _level_round(rows, level, t)
-        children = []          # (parent, kind, lo, hi, state)
-        for br in active:
-            iv, c, n, offset = level[br]
-            r = res[br]
-            if not r["whole"]:
-                continue
-            pushed = []
-            for k in r["parts"]:
-                lo, hi = part_bounds(k, n, c)
-                pushed.append((br, "part", lo, hi, (_cut(iv, lo, hi), hi - lo, 2, 0)))
-            if not pushed:
-                for i in r["comps"]:
-                    lo, hi = part_bounds(i, n, c)
-                    nc = c - (hi - lo)
-                    pushed.append((br, "comp", lo, hi,
-                                   (_drop(iv, lo, hi), nc, min(max(n - 1, 2), max(nc, 2)), i)))
-            if not pushed:
-                if n >= c:
-                    results.append(iv)
-                else:
-                    pushed.append((br, "same", 0, c, (iv, c, min(c, 2 * n), offset)))
-            for ch in pushed:
-                key = (tuple(ch[4][0]), ch[4][2])
-                if key not in seen:
-                    seen.add(key)
-                    children.append(ch)
-        if not children:
-            break
-        table = spark.createDataFrame(
-            [(p, j, kind, lo, hi) for j, (p, kind, lo, hi, _) in enumerate(children)],
-            "parent long, child long, kind string, lo long, hi long")
-        joined = join_small(rows, table.withColumnRenamed("parent", "br"), "br", "inner", 80 * len(children), max_broadcast_bytes)
-        cur, lo, hi, kind = F.col("cur"), F.col("lo"), F.col("hi"), F.col("kind")
-        inside = (cur >= lo) & (cur < hi)
-        keep = F.when(kind == "part", inside).when(kind == "comp", ~inside).otherwise(F.lit(True))
-        moved = (F.when(kind == "part", cur - lo)
-                 .when((kind == "comp") & (cur >= hi), cur - (hi - lo)).otherwise(cur))
-        rows = materialize(joined.where(keep).select(F.col("child").alias("br"), moved.alias("cur"), "k", "w"))
-        level = [ch[4] for ch in children]
-    uniq = sorted({tuple(iv) for iv in results})
-    ranges = materialize(spark.createDataFrame(
-        [(sid, lo, lo + ln) for sid, iv in enumerate(uniq) for lo, ln in iv], "set_id int, lo long, hi long"))
-    out = index.select(ranges, ("set_id",), measured_bytes(ranges))
-    return AllResult(out, [list(iv) for iv in uniq])
+    index = index if index is not None else index_items(items, order_by)
+    if isinstance(test, SumThreshold):
+        rows, batched = _candidates(index, test, max_broadcast_bytes, every_key=True).df, merged.sum_test(test)
+        states = rows.select("idx", "k", F.col("w").alias("s0"))
+    else:
+        batched, states = test, merged.candidate_states(index, test)
+    if not index.count or batched.keys_that_hold(states) < batched.quorum:
+        none = index.items.limit(0)
+        ranges = spark.createDataFrame([], "set_id int, lo long, hi long")
+        return AllResult(none.select(F.lit(0).alias("set_id"), *none.columns), ranges, 0, spark.createDataFrame([], ALL_HISTORY), [])
+    return search_all(index, states, batched, min_items, start_parts, split, max_broadcast_bytes)
 
 
 def part_test_matrix(items: DataFrame, test: SumThreshold, order_by: list[str], n: int,

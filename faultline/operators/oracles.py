@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.text import FAIL_THRESHOLD
+from faultline.operators.sketch import totals_from
 from faultline.operators.trigrams import WeightRule, trigram_records
 
 
@@ -27,9 +28,9 @@ def item_count(items: DataFrame) -> DataFrame:
 def fails_frame(rows: DataFrame, key: str = "trigram", weight: str = "weight",
                 threshold: int = FAIL_THRESHOLD) -> DataFrame:
     """``(fails boolean)``: does any key's total reach ``threshold`` (A4)?
-    One row; false on empty input."""
-    totals = rows.groupBy(key).agg(F.sum(weight).alias("_t"))
-    return totals.agg(F.coalesce(F.max(F.col("_t") >= threshold), F.lit(False)).alias("fails"))
+    One row; false on empty input.  Only keys that a sketch of the weights
+    leaves open are counted."""
+    return totals_from(rows, threshold, key, weight).agg((F.count(F.lit(1)) > 0).alias("fails"))
 
 
 @dataclass

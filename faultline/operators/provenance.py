@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.text import BAD_OUTPUT_LIMIT, output_id
+from faultline.operators.sketch import totals_from
 from faultline.operators.trigrams import WeightRule, trigram_records, trigram_totals
 from faultline.session import MAX_BROADCAST_BYTES, join_small, materialize, measured_bytes
 
@@ -50,9 +51,10 @@ class Trace:
     # -- backward ---------------------------------------------------------
     @property
     def bad(self) -> DataFrame:
-        """``(out_id, trigram, total)`` with ``total > limit`` (F1 + L1)."""
+        """``(out_id, trigram, total)`` with ``total > limit`` (F1 + L1), by sketch and then exactly."""
         if self._bad is None:
-            self._bad = materialize(outputs_with_id(self.totals.where(F.col("total") > self.limit)))
+            # whole numbers: above the limit is at least one more
+            self._bad = materialize(outputs_with_id(totals_from(self.records, self.limit + 1)))
             self._bad_bytes = measured_bytes(self._bad)
         return self._bad
 

@@ -44,6 +44,10 @@ class ItemIndex:
     key: list[str]
     count: int
 
+    @property
+    def keys(self) -> list[str]:
+        return self.key
+
     def rows(self, test) -> DataFrame:
         """``(*key, k, w)``: the test's rows; ``attach`` adds the idx to those that are kept."""
         return test.item_rows(self.items, self.key).select(
@@ -52,6 +56,9 @@ class ItemIndex:
     def attach(self, rows: DataFrame) -> DataFrame:
         return _null_safe_join(rows, self.frame, self.key)
 
+    def frame_of_idx(self) -> DataFrame:
+        return self.frame.select("idx")
+
     def indexed(self) -> DataFrame:
         """The items with ``idx``."""
         return _null_safe_join(self.items, self.frame, self.key)
@@ -78,6 +85,10 @@ class GroupIndex:
     def items(self) -> DataFrame:
         return self.expand(self.groups)
 
+    @property
+    def keys(self) -> list[str]:
+        return [self.group, self.pos]
+
     def rows(self, test) -> DataFrame:
         return test.item_rows(self.items, [self.group, self.pos]).select(
             self.group, self.pos, F.struct(F.col(test.key)).alias("k"), F.col(test.weight).cast("long").alias("w"))
@@ -86,6 +97,9 @@ class GroupIndex:
         return (_null_safe_join(rows, self.starts, [self.group])
                 .withColumn("idx", (F.col("_start") + F.col(self.pos)).cast("long")).drop("_start", "_n"))
 
+    def frame_of_idx(self) -> DataFrame:
+        return self.items.sparkSession.range(self.count).withColumnRenamed("id", "idx")
+
     def indexed(self) -> DataFrame:
         return self.attach(self.items)
 

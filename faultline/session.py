@@ -76,6 +76,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``materialize`` for loops: the frame also forgets the size estimate and the
+    constraints of its plan.  A checkpoint keeps both, and where every round joins
+    frames of the round before, estimates are multiplied until planning takes
+    longer than the work."""
+    spark, kept = df.sparkSession, materialize(df)
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Size of a (materialised, narrow) frame: bytes of its texts plus 16 per value."""
     texts = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, t in df.dtypes if t == "string"]

@@ -171,7 +171,7 @@ def test_exhaustive_two_culprits(spark):
     items = [(i, "k", 10000 if i in (11, 40) else 1) for i in range(60)]
     res = mz.minimize_all(frame(spark, items), SumThreshold("trigram", "weight", 10000), ["id"])
     sets_found = sorted(sorted(r["id"] for r in res.items.where(F.col("set_id") == s).collect())
-                        for s in range(len(res.sets)))
+                        for s in range(res.count))
     assert sets_found == [[11], [40]]
 
 
@@ -204,7 +204,7 @@ def test_exhaustive_sets_are_failing_and_minimal(spark):
 def test_exhaustive_not_failing(spark):
     items = [(i, "k", 1) for i in range(10)]
     res = mz.minimize_all(frame(spark, items), SumThreshold("trigram", "weight", 100), ["id"])
-    assert res.items.count() == 0 and res.sets == []
+    assert res.items.count() == 0 and res.count == 0 and res.history.count() == 0
 
 
 def py_ddmin_all(items, t, min_items=1):
@@ -256,15 +256,6 @@ def test_exhaustive_matches_python_model(spark, seed):
     assert sorted(sorted(v) for v in got.values()) == py_ddmin_all(items, t)
 
 
-def test_range_bookkeeping():
-    iv = [(0, 10)]
-    iv = mz._drop(iv, 3, 5)            # remove current 3,4
-    assert iv == [(0, 3), (5, 5)]
-    iv = mz._cut(iv, 2, 6)             # current positions 2..5 -> original 2,5,6,7
-    assert iv == [(2, 1), (5, 3)]
-    assert mz._drop([(0, 4), (4, 4)], 0, 0) == [(0, 8)]
-
-
 @pytest.mark.parametrize("n_ranges", [1, 5, 3000])
 def test_select_ranges(spark, n_ranges):
     rnd = random.Random(n_ranges)
@@ -389,6 +380,6 @@ def test_scattered_records_through_a_group_index(spark):
 def test_many_sets_in_one_plan(spark):
     items = [(i, f"k{i}" if i % 2 else "no", 10 if i % 2 else 0) for i in range(600)]
     res = mz.minimize_all(frame(spark, items), SumThreshold("trigram", "weight", 10), ["id"])
-    assert len(res.sets) == 300
+    assert res.count == 300
     assert "Union" not in res.items._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["id"] for r in res.items.collect()) == list(range(1, 600, 2))
