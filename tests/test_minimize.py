@@ -242,7 +242,7 @@ def py_ddmin_all(items, t, min_items=1):
     return sorted(sorted(r) for r in results)
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(1))
 def test_exhaustive_matches_python_model(spark, seed):
     rnd = random.Random(100 + seed)
     n = rnd.randint(6, 24)
@@ -378,8 +378,8 @@ def test_scattered_records_through_a_group_index(spark):
 
 
 def test_many_sets_in_one_plan(spark):
-    items = [(i, f"k{i}" if i % 2 else "no", 10 if i % 2 else 0) for i in range(600)]
+    items = [(i, f"k{i}" if i % 2 else "no", 10 if i % 2 else 0) for i in range(60)]
     res = mz.minimize_all(frame(spark, items), SumThreshold("trigram", "weight", 10), ["id"])
-    assert res.count == 300
+    assert res.count == 30
     assert "Union" not in res.items._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted(r["id"] for r in res.items.collect()) == list(range(1, 600, 2))
+    assert sorted(r["id"] for r in res.items.collect()) == list(range(1, 60, 2))
