@@ -17,7 +17,10 @@ only add candidates; the exact count behind drops them.
 
 At most ``total weight / limit`` cells of a row can be heavy, so a row prunes as
 long as ``width`` is well above that; beyond, candidates approach all keys and
-the result is still exact.
+the result is still exact.  Too many cells cost, too: records of a task then no
+longer share them before the shuffle.  Unless told, a sketch has one row of some
+eight cells for every ``limit`` bytes that its scans are estimated to read, within
+``FEWEST_BITS`` and ``MOST_BITS``.  The estimate decides the cost, not the rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDTH_BITS, DEPTH = 20, 2
+FEWEST_BITS, MOST_BITS, DEPTH = 12, 20, 1
+
+
+def bits_for(rows: DataFrame, limit: int) -> int:
+    """Bits of a cell number, from the estimated size of what ``rows`` are made of."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(FEWEST_BITS, min(MOST_BITS, (8 * size // max(limit, 1)).bit_length()))
 
 
 def _cells(key: Column, bits: int, depth: int) -> list[Column]:
@@ -59,9 +69,11 @@ class HeavyCells:
         return hit
 
 
-def heavy_cells(rows: DataFrame, key: str, weight: str, limit: int, bits: int = WIDTH_BITS, depth: int = DEPTH) -> HeavyCells | None:
+def heavy_cells(rows: DataFrame, key: str, weight: str, limit: int, bits: int | None = None, depth: int = DEPTH) -> HeavyCells | None:
     """One job over ``rows``; None if a weight is negative."""
-    each = rows.select(F.posexplode(F.array(*_cells(F.col(key), bits, depth))).alias("j", "cell"), F.col(weight).cast("long").alias("w"))
+    bits = bits_for(rows, limit) if bits is None else bits
+    cells, w = _cells(F.col(key), bits, depth), F.col(weight).cast("long").alias("w")
+    each = rows.select(F.lit(0).alias("j"), cells[0].alias("cell"), w) if depth == 1 else rows.select(F.posexplode(F.array(*cells)).alias("j", "cell"), w)
     sums = each.groupBy("j", "cell").agg(F.sum("w").alias("s"), F.min("w").alias("low")).where(f"s >= {int(limit)} OR low < 0")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell").bitwiseAND(F.lit(63)).cast("int"))
     words = sums.groupBy("j", F.shiftright("cell", 6).alias("i")).agg(F.bit_or(bit).alias("word"), F.min("low").alias("low"))
@@ -74,7 +86,7 @@ def heavy_cells(rows: DataFrame, key: str, weight: str, limit: int, bits: int =
     return HeavyCells(out, bits)
 
 
-def candidate_rows(rows: DataFrame, key: str, weight: str, limit: int, bits: int = WIDTH_BITS, depth: int = DEPTH) -> DataFrame:
+def candidate_rows(rows: DataFrame, key: str, weight: str, limit: int, bits: int | None = None, depth: int = DEPTH) -> DataFrame:
     """Rows whose key may reach ``limit``, among them all rows of every key that does."""
     if limit <= 0:
         return rows
@@ -84,7 +96,7 @@ def candidate_rows(rows: DataFrame, key: str, weight: str, limit: int, bits: int
     return rows.where(heavy.may_reach(F.col(key))) if heavy.count else rows.limit(0)
 
 
-def totals_from(rows: DataFrame, limit: int, key: str = "trigram", weight: str = "weight", bits: int = WIDTH_BITS, depth: int = DEPTH) -> DataFrame:
+def totals_from(rows: DataFrame, limit: int, key: str = "trigram", weight: str = "weight", bits: int | None = None, depth: int = DEPTH) -> DataFrame:
     """``(key, total)`` of every key whose total is at least ``limit``, exactly."""
     some = candidate_rows(rows, key, weight, limit, bits, depth)
     return some.groupBy(key).agg(F.sum(weight).cast("long").alias("total")).where(F.col("total") >= limit)

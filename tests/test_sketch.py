@@ -48,10 +48,16 @@ def test_a_sketch_leaves_few_candidates(spark):
     rows = spark.range(200_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("trigram"), F.lit(1).alias("weight"))
     heavy = frame(spark, [("hot", 1000)] * 5)
     some = sketch.candidate_rows(rows.unionByName(heavy), "trigram", "weight", 2000)
-    assert some.distinct().count() < 20
+    assert some.distinct().count() < 2000  # of 200,001 keys: those in the cell of the heavy one
     assert some.where("trigram = 'hot'").count() == 5
 
 
+def test_cells_follow_the_size_of_the_scan(spark):
+    small, large = spark.range(10), spark.range(1 << 40)
+    assert sketch.bits_for(small, 10_000) == sketch.FEWEST_BITS and sketch.bits_for(large, 10_000) == sketch.MOST_BITS
+    assert sketch.FEWEST_BITS < sketch.bits_for(spark.range(1 << 23), 10_000) < sketch.MOST_BITS
+
+
 def test_negative_weights_leave_every_key(spark):
     rows = [("a", 10), ("a", -4), ("b", 7), ("c", -1)]
     assert sketch.heavy_cells(frame(spark, rows), "trigram", "weight", 6) is None
