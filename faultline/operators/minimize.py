@@ -127,7 +127,8 @@ def _candidates(index: ItemIndex | GroupIndex, test: SumThreshold, max_bytes: in
     if heavy is None:
         return _Rows(rows, totals.count(), False)
     hot = materialize(totals)
-    return _Rows(join_small(rows, hot, "k", "left_semi", measured_bytes(hot.select("k.*")), max_bytes), hot.count(), True)
+    rows = materialize(join_small(rows, hot, "k", "left_semi", measured_bytes(hot.select("k.*")), max_bytes))
+    return _Rows(rows, hot.count(), True)
 
 
 def _look_ahead(rows: DataFrame, lo: int, hi: int, t: int, min_items: int, log: _Log) -> tuple[int, int, str]:
