@@ -14,7 +14,9 @@ and usually a tiny fraction).
 * While a half fails, one job answers up to ``DEPTH`` rounds: each row is
   summed into its node on every halving level, and the failing nodes (at most
   ``2 ** (DEPTH + 1)``, whatever the data) are returned.
-* Otherwise a round is the sums ``S(part, key)``.  Failing parts are
+* Otherwise a round is the sums ``S(part, key)``, read from a table that holds
+  the sums of all halving levels in one row per candidate row (``splits``): no
+  level reads the rows of another.  Failing parts are
   ``S >= t``.  Removing parts in order is a *sweep*: a key can lose
   ``slack = total - t``; a part that every surviving key blocks (``S > slack``)
   stays, the others go until the running sums of all keys exceed their slack,
@@ -46,7 +48,8 @@ from faultline.operators.merged import MergeTest
 from faultline.operators.oracles import CallableTest, SumThreshold
 from faultline.operators.sets import GroupIndex, ItemIndex, contiguous_bucket, index_items, part_bounds
 from faultline.operators.sketch import heavy_cells
-from faultline.session import MAX_BROADCAST_BYTES, join_small, materialize, measured_bytes
+from faultline.operators.splits import SplitTable
+from faultline.session import MAX_BROADCAST_BYTES, join_small, materialize, measured_bytes, settle
 
 HISTORY_SCHEMA = "round int, n_items long, n_parts int, outcome string, removed long, job int, micros long"
 # halving rounds that one look-ahead job answers
@@ -168,18 +171,11 @@ def _look_ahead(rows: DataFrame, lo: int, hi: int, t: int, min_items: int, log:
     return lo, hi, "part"
 
 
-def _halve(rows: DataFrame) -> DataFrame:
-    """Every part ``[lo, hi)`` of two or more items becomes two."""
-    mid = F.expr("lo + (hi - lo + 1) DIV 2")
-    right = (F.col("hi") - F.col("lo") > 1) & (F.col("idx") >= mid)
-    new_hi = F.when((F.col("hi") - F.col("lo") > 1) & ~right, mid).otherwise(F.col("hi"))
-    return rows.select("idx", "k", "w", F.when(right, mid).otherwise(F.col("lo")).alias("lo"), new_hi.alias("hi"))
-
-
 def _sweep(sums: DataFrame, t: int, count: int) -> DataFrame:
     """Remove parts in order while the rest still fails.  ``sums`` is
-    ``(part, hi, k, s)`` of parts that do not fail; the rows of the parts that
+    ``(part, hi, k, s, ...)`` of parts that do not fail; the rows of the parts that
     stay, and of the keys that still reach ``t``, are returned."""
+    columns = sums.columns
     sums = sums.withColumn("open", F.lit(True))
     width = max(1, -(-count // _BLOCKS))
     while True:
@@ -187,7 +183,7 @@ def _sweep(sums: DataFrame, t: int, count: int) -> DataFrame:
         alive, n_open = totals.agg(F.count(F.lit(1)), F.sum("o")).first()
         rows = sums.join(totals.select("k", "T"), "k").withColumn("slack", F.col("T") - t)
         if not n_open:
-            return materialize(rows.select("part", "hi", "k"))
+            return materialize(rows.select(*columns))
         stuck = (rows.groupBy("part").agg(F.count_if(F.col("s") > F.col("slack")).alias("n")).where(F.col("n") == alive)
                  .select("part", F.lit(True).alias("stuck")))
         rows = rows.join(stuck, "part", "left").withColumn("free", F.col("open") & F.col("stuck").isNull())
@@ -204,7 +200,7 @@ def _sweep(sums: DataFrame, t: int, count: int) -> DataFrame:
             sums = rows.where(~F.col("free")).withColumn("open", F.lit(False))
         else:
             sums = rows.where(~F.col("free") | (F.col("part") >= last)).withColumn("open", F.col("free") & (F.col("part") > last))
-        sums = sums.select("part", "hi", "k", "s", "open")
+        sums = sums.select(*columns, "open")
 
 
 def _ddmin_ranges(index, rows: DataFrame, t: int, min_items: int, start_parts: int, log: _Log) -> DataFrame:
@@ -212,16 +208,16 @@ def _ddmin_ranges(index, rows: DataFrame, t: int, min_items: int, start_parts: i
     spark, count = rows.sparkSession, index.count
     lo, hi, c = 0, count, count
     n = min(max(2, start_parts), max(c, 2))
-    if n > 2:
-        b = contiguous_bucket("idx", n, c)
-        edge = lambda k: ((k * c + n - 1) / n)
-        rows = rows.withColumn("lo", F.floor(edge(b)).cast("long")).withColumn("hi", F.floor(edge(b + 1)).cast("long"))
     while True:
         if c <= min_items:
             log.next_job()
             log.add(c, n, "done")
             return _ranges(spark, [(lo, hi)])
-        if n == 2:
+        if n > 2:
+            b = contiguous_bucket("idx", n, c)
+            edge = lambda k: F.floor((k * c + n - 1) / n)
+            table, halvings = SplitTable(rows, lo, hi, edge(b), edge(b + 1)), 0
+        else:
             a, b, outcome = _look_ahead(rows, lo, hi, t, min_items, log)
             if (a, b) != (lo, hi):
                 rows = materialize(rows.where((F.col("idx") >= a) & (F.col("idx") < b)))
@@ -230,32 +226,43 @@ def _ddmin_ranges(index, rows: DataFrame, t: int, min_items: int, start_parts: i
                 return _ranges(spark, [(lo, hi)])
             if outcome == "part":
                 continue
-            rows = _halve(_halve(rows.withColumn("lo", F.lit(lo).cast("long")).withColumn("hi", F.lit(hi).cast("long"))))
-            n = min(c, 4)
-        # parts of a level; from here on `lo`, `hi` are columns
-        while True:
-            log.next_job()
-            sums = materialize(rows.groupBy(F.col("lo").alias("part"), "hi", "k").agg(F.sum("w").alias("s")))
-            part = sums.where(F.col("s") >= t).agg(F.min(F.struct("part", "hi"))).first()[0]
-            if part is not None:
-                log.add(c, n, "part")
-                lo, hi = part["part"], part["hi"]
-                rows = materialize(rows.where(F.col("lo") == lo).select("idx", "k", "w"))
-                c, n = hi - lo, 2
-                break
-            kept = _sweep(sums, t, count)
-            size = F.col("hi") - F.col("part")
-            parts = kept.select("part", "hi").distinct()
-            left, items, largest, large = parts.agg(F.count(F.lit(1)), F.sum(size), F.max(size), F.count_if(size > 1)).first()
-            if left < n:
-                log.add(c, n, "complement", n - left)
-                c, n = items, left
-            if c <= min_items or largest == 1:
-                log.add(c, n, "done")
-                return parts.select(F.col("part").alias("lo"), "hi")
-            log.add(c, n, "refine")
-            n = left + large
-            rows = materialize(_halve(rows.join(kept.select(F.col("part").alias("lo"), "k"), ["lo", "k"], "left_semi")))
+            table, halvings, n = SplitTable(rows, lo, hi), 2, min(c, 4)
+        with table:
+            part, kept = _levels(table, halvings, t, min_items, c, n, count, log)
+        if part is None:
+            return kept
+        lo, hi = part
+        rows = materialize(rows.where((F.col("idx") >= lo) & (F.col("idx") < hi)).select("idx", "k", "w"))
+        c, n = hi - lo, 2
+
+
+def _levels(table: SplitTable, halvings: int, t: int, min_items: int, c: int, n: int, count: int,
+            log: _Log) -> tuple[tuple[int, int] | None, DataFrame | None]:
+    """Rounds on the parts of a level, then on their halves, from the written sums:
+    the first part that fails alone, or else the ranges that are left at the end."""
+    sums = table.roots()
+    for _ in range(halvings):
+        sums = table.halve(sums)
+    while True:
+        log.next_job()
+        sums = settle(sums)
+        part = sums.where(F.col("s") >= t).agg(F.min(F.struct("part", "hi"))).first()[0]
+        if part is not None:
+            log.add(c, n, "part")
+            return (part["part"], part["hi"]), None
+        kept = _sweep(sums, t, count)
+        size = F.col("hi") - F.col("part")
+        parts = kept.select("part", "hi").distinct()
+        left, items, largest, large = parts.agg(F.count(F.lit(1)), F.sum(size), F.max(size), F.count_if(size > 1)).first()
+        if left < n:
+            log.add(c, n, "complement", n - left)
+            c, n = items, left
+        if c <= min_items or largest == 1:
+            log.add(c, n, "done")
+            return None, parts.select(F.col("part").alias("lo"), "hi")
+        log.add(c, n, "refine")
+        n = left + large
+        sums = table.halve(kept)
 
 
 def _ddmin_buckets(index, rows: DataFrame, t: int, split, min_items: int, start_parts: int, log: _Log) -> DataFrame:

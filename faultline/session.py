@@ -86,6 +86,12 @@ def settle(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of written tables, wherever the path points."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Size of a (materialised, narrow) frame: bytes of its texts plus 16 per value."""
     texts = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, t in df.dtypes if t == "string"]
