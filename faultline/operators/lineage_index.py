@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from faultline.session import MAX_BROADCAST_BYTES, join_small, materialize, measured_bytes
 
-BUCKETS = 256
+BUCKETS = 1024
 # outputs that are given to the scan as a filter; more are left to the join
 _IN_FILTER = 256
 
