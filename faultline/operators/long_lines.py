@@ -30,16 +30,17 @@ def cut_contents(parsed: DataFrame, chunk_bytes: int) -> DataFrame:
     after every multiple of ``chunk_bytes``; a stretch without one is not cut."""
     size = F.octet_length("contents")
     rows = parsed.where(F.col("contents").isNotNull()).select("line_id", "doc", F.col("contents").cast("binary").alias("b"), size.alias("n"))
-    # one character per byte, so that a length is a number of bytes
-    ahead = F.expr("decode(substring(b, cast(x as int) + 1, %d), 'ISO-8859-1')" % chunk_bytes)
-    run = F.length(F.regexp_extract(ahead, _NO_DELIMITER, 0))
-    marks = rows.select("line_id", "doc", "b", "n", F.expr(f"sequence(0L, cast(n as long), {int(chunk_bytes)}L)").alias("marks"))
-    marks = marks.select("line_id", "n", F.explode("marks").alias("x"), "b")
-    cuts = marks.select("line_id", "n", F.when(F.col("x") == 0, F.lit(0).cast("long")).when(
-        (run < chunk_bytes) & (F.col("x") + run < F.col("n")), F.col("x") + run).alias("cut")).where("cut is not null")
-    # a few numbers a line: one per chunk
-    ordered = cuts.groupBy("line_id").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
-    pieces = rows.join(ordered, "line_id").select("line_id", "doc", "b", "n", "cuts", F.posexplode("cuts").alias("chunk", "start"))
+
+    def cut(x):
+        # one character per byte, so that a length is a number of bytes
+        ahead = F.decode(F.substring("b", (x + 1).cast("int"), F.lit(chunk_bytes)), "ISO-8859-1")
+        run = F.length(F.regexp_extract(ahead, _NO_DELIMITER, 0))
+        return F.when(x == 0, x).when((run < chunk_bytes) & (x + run < F.col("n")), x + run)
+
+    # one number per chunk, found within the row: whole lines are not shuffled
+    marks = F.transform(F.expr(f"sequence(0L, cast(n as long), {int(chunk_bytes)}L)"), cut)
+    rows = rows.withColumn("cuts", F.array_distinct(F.filter(marks, lambda x: x.isNotNull())))
+    pieces = rows.select("line_id", "doc", "b", "n", "cuts", F.posexplode_outer("cuts").alias("chunk", "start"))
     end = F.coalesce(F.try_element_at("cuts", F.col("chunk") + 2), F.col("n").cast("long"))
     piece = F.expr("cast(substring(b, cast(start as int) + 1, cast(_end - start as int)) as string)")
     return pieces.withColumn("_end", end).select("line_id", "doc", "chunk", piece.alias("piece"))
