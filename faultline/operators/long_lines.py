@@ -59,15 +59,16 @@ def trigram_records_in_chunks(lines: DataFrame, weight_rule=WeightRule(), chunk_
     pieces = cut_contents(parsed, chunk_bytes)
     deal = (lambda df: df.repartition(tasks, "line_id", "chunk")) if tasks else (lambda df: df.repartition("line_id", "chunk"))
     pieces = materialize(deal(pieces))
-    tokens = pieces.select("line_id", "doc", "chunk", tokens_of("piece").alias("tokens"))
+    tokens = pieces.select("line_id", "chunk", tokens_of("piece").alias("tokens"))
     heads = tokens.select("line_id", "chunk", F.size("tokens").alias("n"), F.slice("tokens", 1, 2).alias("head")).where("n > 0")
     line = Window.partitionBy("line_id").orderBy("chunk")
     none = F.expr("cast(array() as array<string>)")
     after = [F.coalesce(F.lead("head", i).over(line), none) for i in (1, 2)]
     heads = heads.select("line_id", "chunk", F.slice(F.concat(*after), 1, 2).alias("halo"),
                          F.coalesce(F.sum("n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    # dealt by chunk once more: the window left them together by line, and the join would bring the tokens there
-    whole = tokens.join(deal(heads), ["line_id", "chunk"]).select("line_id", "doc", "before", F.concat("tokens", "halo").alias("tokens"))
+    # dealt by chunk once more: the window left them together by line, and the join
+    # would bring the pieces there; joined as text, tokens as an array are three times as large
+    whole = pieces.join(deal(heads), ["line_id", "chunk"]).select("line_id", "doc", "before", F.concat(tokens_of("piece"), "halo").alias("tokens"))
     parts = whole.select("line_id", "doc", "before", trigram_parts("tokens").alias("parts"))
     rows = parts.select("line_id", "doc", "before", F.posexplode_outer("parts").alias("at", "p")).where(F.col("at").isNotNull())
     rows = rows.select("line_id", "doc", (F.col("before") + F.col("at")).cast("int").alias("pos"), trigram_of("p").alias("trigram"))
