@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.operators import lineage as lineage_module
 from faultline.operators.lineage import Lineage
 
 
@@ -75,3 +76,67 @@ def test_steps_that_do_not_fit(spark, job):
     with pytest.raises(ValueError):
         Lineage(ids, ["digit"]).step("source", ids, ["digit"])
     assert lineage.at(-1, spark.createDataFrame([], "even boolean")).back_all().ids.count() == 0
+
+
+@pytest.fixture()
+def joins(monkeypatch):
+    """The number of joins that moves have asked for."""
+    made = []
+    inner = lineage_module.join_small
+    monkeypatch.setattr(lineage_module, "join_small", lambda *a, **b: made.append(1) or inner(*a, **b))
+    return made
+
+
+def made_job(spark):
+    """Texts -> their letters -> totals by letter -> totals by case, with repeated ids, null ids and null letters."""
+    texts = spark.createDataFrame([(1, "aB"), (2, "bb"), (2, "A"), (None, "C"), (4, None), (5, "-c")], "id long, text string")
+    letters = texts.where("text is not null").select("id", F.posexplode(F.split("text", "")).alias("pos", "x"))
+    letters = letters.withColumn("x", F.when(F.col("x") != "-", F.col("x")))
+    totals = letters.groupBy("x").agg(F.count("*").alias("n"))
+    low = F.lower("x")
+    words = totals.groupBy(low.alias("low")).agg(F.sum("n").alias("n"))
+    start = Lineage(texts, ["id"], "texts").step("letters", letters, ["id", "pos"])
+    own = start.step("totals", totals, ["x"], edges=letters)
+    return own.step("words", words, ["low"], made={"low": low}), totals.withColumn("low", low)
+
+
+@pytest.mark.parametrize("low, letters, ids", [
+    ("a", {(1, 0), (2, 0)}, {1, 2}), ("c", {(None, 0), (5, 1)}, {None, 5}), (None, {(5, 0)}, {5}), ("z", set(), set())])
+def test_a_made_key_leads_back_with_one_join(spark, joins, low, letters, ids):
+    job, edges = made_job(spark)
+    start = job.at("words", spark.createDataFrame([(low,)] * 2, "low string"))
+    assert sorted(map(str, map(tuple, start.back(2).ids.collect()))) == sorted(map(str, letters))
+    joins.clear()
+    lines = start.back_all()
+    assert len(joins) == 1
+    assert len(rows := lines.ids.collect()) == len(ids) and {r["id"] for r in rows} == ids
+    # the same as over edges of its own
+    plain = Lineage(job.stages[0].values, ["id"], "texts").step("letters", job.stages[1].values, ["id", "pos"])
+    plain = plain.step("totals", job.stages[2].values, ["x"], edges=job.stages[1].values.select("*")).step("words", job.stages[3].values, ["low"], edges=edges)
+    again = plain.at("words", spark.createDataFrame([(low,)], "low string")).back_all()
+    assert {r["id"] for r in again.ids.collect()} == ids
+    assert sorted(map(str, lines.show().collect())) == sorted(map(str, again.show().collect()))
+
+
+def test_forward_over_shared_rows_with_one_join(spark, joins):
+    job, _ = made_job(spark)
+    start = job.at("texts", spark.createDataFrame([(2,), (None,), (2,)], "id long"))
+    end = start.forward(3)
+    assert len(joins) == 1
+    assert sorted(r["low"] for r in end.ids.collect()) == ["a", "b", "c"]
+    assert {tuple(r) for r in end.show().collect()} == {("a", 2), ("b", 3), ("c", 2)}
+    # a repeated id leads to all letters at its place, also from a letter
+    one = job.at("letters", spark.createDataFrame([(2, 0)], "id long, pos int"))
+    assert sorted(r["x"] for r in one.forward().ids.collect()) == ["A", "b"]
+    # rows chosen by a letter are not all rows of their place
+    some = job.at("totals", spark.createDataFrame([("A",)], "x string")).back()
+    assert [tuple(r) for r in some.ids.collect()] == [(2, 0)]
+    assert sorted(r["x"] for r in some.forward().ids.collect()) == ["A", "b"]
+
+
+def test_made_keys_that_do_not_fit(spark):
+    job, edges = made_job(spark)
+    values = job.stages[-1].values
+    for wrong in ({"key": ["low"], "made": {"other": F.lit(1)}}, {"key": ["n"], "made": {"n": F.lit(1)}, "edges": edges}, {"key": ["x"], "made": {"x": F.lit(1)}}):
+        with pytest.raises(ValueError):
+            job.step("next", values, **wrong)
