@@ -1,5 +1,7 @@
 """Parsing, tokens and trigrams on the edge-case rows of FIXTURES.md."""
 
+from collections import Counter
+
 import pytest
 from pyspark.errors import PySparkException
 
@@ -91,6 +93,19 @@ def test_totals_and_doc_counts(lines_df):
     assert dc == {"a|b|c|d1": 2, "b|c|a|d1": 1, "c|a|b|d1": 1, "a|b|c|d2": 1}
 
 
+@pytest.mark.parametrize("most", [1 << 26, 30, 0])
+def test_doc_trigram_counts_deal_lines(spark, lines_df, most):
+    # names and words with bars: different lines make the same text
+    rows = ["x|y:a b c a b c", "y:a b c|x", "y:a b c|x d", "x|y:b c a", ":a b c", "z:p q", None, None, "q|y:a b c a b c a b c a b c a b c a b c"]
+    want = Counter(f"{a}|{b}|{c}|{line.rpartition(':')[0]}" for line in rows if line is not None
+                   for w in [line.rpartition(":")[2].split()] for a, b, c in zip(w, w[1:], w[2:]))
+    out = doc_trigram_counts(lines_df(rows), tasks=3, max_doc_bytes=most)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want.items())
+    if most > 1000:  # text is shuffled, no trigram
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange hashpartitioning") == 1 and "doc_trigram" not in plan[plan.index("Exchange hashpartitioning"):]
+
+
 def test_tokenize(lines_df):
     out = tokenize(lines_df(["d: x  y "])).orderBy("pos").collect()
     assert [(r["pos"], r["token"]) for r in out] == [(0, "x"), (1, "y")]
