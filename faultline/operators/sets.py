@@ -225,7 +225,23 @@ def subtract_by_value(left: DataFrame, right: DataFrame, cols: list[str] | None
     return l.join(r, cond, "left_anti").select([F.col(f"_l.`{c}`").alias(c) for c in left.columns])
 
 
+def _keyed(df: DataFrame, columns: list[str], nullable: set[str]) -> DataFrame:
+    """``columns`` as ``k0, k1, ...`` that equal each other as values do; a struct
+    where a null may stand.  Such a key is grouped and joined by the same partitions,
+    a null-safe condition would have both sides shuffled once more."""
+    return df.select(*[(F.struct(F.col(f"`{c}`").alias("v")) if c in nullable else F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(columns)])
+
+
+def _unkeyed(df: DataFrame, columns: list[str], nullable: set[str]) -> DataFrame:
+    return df.select(*[F.col(f"k{i}.v" if c in nullable else f"k{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def intersect_distinct(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct rows present in both (U3).  Both sides are reduced to their
-    distinct rows before they meet."""
-    return left.distinct().intersect(right.distinct())
+    distinct rows before they meet, and shuffled only for that."""
+    if len(set(left.columns)) < len(left.columns) or [t for _, t in left.dtypes] != [t for _, t in right.dtypes]:
+        return left.distinct().intersect(right.distinct())
+    names, right = left.columns, right.toDF(*left.columns)
+    nullable = {f.name for df in (left, right) for f in df.schema if f.nullable}
+    both = _keyed(left, names, nullable).distinct().join(_keyed(right, names, nullable).distinct(), [f"k{i}" for i in range(len(names))])
+    return _unkeyed(both, names, nullable)

@@ -94,3 +94,29 @@ def test_hot_values_are_reduced_before_set_operations(spark):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         join = plan.index("Join")
         assert "Aggregate" in plan[join:]
+
+
+def _exchanges(df):
+    """Shuffles of a plan, none of them replaced by a broadcast."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = df.select("*")
+        df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_intersect_shuffles_each_side_once(spark):
+    rng = random.Random(3)
+    rows = lambda n: [(rng.choice([None, "", "a", "b", "c", "d"]), rng.choice([None, 1, 2])) for _ in range(n)]
+    a, b = rows(60), rows(7)
+    left, right = spark.createDataFrame(a, "v string, w int"), spark.createDataFrame(b, "x string, w int")
+    key = lambda t: tuple((x is None, x) for x in t)
+    both = sets.intersect_distinct(left, right)
+    assert sorted((tuple(r) for r in both.collect()), key=key) == sorted(set(a) & set(b), key=key)
+    assert both.columns == ["v", "w"] and dict(both.dtypes) == dict(left.dtypes)
+    assert _exchanges(both) == 2
