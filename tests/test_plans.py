@@ -1,7 +1,7 @@
 """Plan shape: JVM-side expressions, pruned scans, checked broadcasts."""
 
 from faultline.operators.provenance import Trace
-from faultline.operators.trigrams import WeightRule, trigram_records, trigram_totals
+from faultline.operators.trigrams import WeightRule, dealt, trigram_records, trigram_totals
 from faultline.sources.lines import fixture_lines
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,21 @@ def test_trigram_plan_stays_in_codegen(spark):
     assert "lambdafunction" not in p
     assert "Generate posexplode" in p and ", true, [pos" in p
     assert "size(filter(split" not in p and "size(array_remove(split" not in p
+
+
+def test_a_trace_cuts_lines_into_records_twice(spark):
+    """For the sketch and for the records that it leaves, which outputs, lines and records are then read from."""
+    tr = Trace(fixture_lines(spark, SF), WeightRule(doc_pattern="src7:147"))
+    assert "Generate" not in plan(tr.records_of_bad()) and "FileScan" not in plan(tr.records_of_bad())
+    kept = tr.kept_lines()
+    assert "Join" not in plan(kept) and "FileScan" not in plan(kept)
+    assert sorted(kept.collect()) == sorted(tr.back_lines().collect())
+
+
+def test_lines_are_dealt_over_tasks(spark):
+    lines = fixture_lines(spark, SF)
+    assert dealt(lines) is lines
+    many = dealt(lines, 10_000)
+    assert many.rdd.getNumPartitions() > 4 == spark.sparkContext.defaultParallelism
+    totals = lambda rows: sorted(trigram_totals(trigram_records(rows)).collect())
+    assert totals(many) == totals(lines)
