@@ -8,8 +8,10 @@ second page format (gaps of numbers, common beginnings of texts).  A trace opens
 the folders of its outputs only; a few outputs are also given to the scan as a
 filter, which skips row groups and pages by their bounds.
 
-A range sort by output and id spreads an output that holds a third of all edges
-over many tasks and files.
+Edges are shuffled once: a folder's edges go to one task, and those of an output
+that holds many of all edges are dealt by id over many tasks and files.  Such
+outputs are found by counting the edges of one id in ``_EACH``; that count decides
+where edges go, not which.
 """
 
 from __future__ import annotations
@@ -24,12 +26,25 @@ from faultline.session import MAX_BROADCAST_BYTES, join_small, materialize, meas
 BUCKETS = 1024
 # outputs that are given to the scan as a filter; more are left to the join
 _IN_FILTER = 256
+# one id in so many is counted; an output of more than one in ``_HOT`` of their edges is dealt over ``_SHARES`` tasks
+_EACH, _HOT, _SHARES = 64, 1024, 64
 
 
 def _bucket(output: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.col(output)), F.lit(buckets)).cast("int")
 
 
+def _hot_outputs(edges: DataFrame, output: str, ids: tuple[str, ...]) -> list:
+    """Outputs that hold many of all edges, at most ``_HOT``."""
+    some = edges.where(F.pmod(F.xxhash64(*ids), F.lit(_EACH)) == 0).groupBy(output).agg(F.count(F.lit(1)).alias("_n"))
+    # fewer edges than that are no matter for one task
+    some = materialize(some.where(F.col("_n") > _HOT))
+    if some.isEmpty():
+        return []
+    counted = edges.where(F.pmod(F.xxhash64(*ids), F.lit(_EACH)) == 0).count()
+    return [r[0] for r in some.where(F.col("_n") * _HOT > counted).select(output).collect()]
+
+
 @dataclass
 class LineageIndex:
     """``write`` makes it; ``LineageIndex(spark, folder, ...)`` opens it again."""
@@ -46,10 +61,15 @@ class LineageIndex:
         outputs and ids are kept like any other."""
         if buckets < 1:
             raise ValueError("buckets must be 1 or more")
-        # an edge that many records share is one row before the sort
-        rows = edges.select(output, *ids).distinct().withColumn("_bucket", _bucket(output, buckets))
-        order = ["_bucket", output, *ids]
-        (rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("_bucket")
+        rows = edges.select(output, *ids).withColumn("_bucket", _bucket(output, buckets))
+        # the places are columns, so that equal edges are told apart where they are
+        places, hot = ["_bucket"], _hot_outputs(edges, output, ids)
+        if hot:
+            known = F.coalesce(F.col(output).isin([x for x in hot if x is not None]), F.lit(None in hot))
+            rows = rows.withColumn("_share", F.when(known, F.pmod(F.xxhash64(*ids), F.lit(_SHARES))).otherwise(0).cast("int"))
+            places.append("_share")
+        rows = rows.repartition(*places).distinct().select(output, *ids, "_bucket")
+        (rows.sortWithinPartitions("_bucket", output, *ids).write.partitionBy("_bucket")
          .option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").parquet(folder))
         return cls(edges.sparkSession, folder, output, buckets)
 

@@ -6,6 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.operators import lineage_index
 from faultline.operators.lineage_index import LineageIndex
 from faultline.operators.long_lines import cut_contents, trigram_records_in_chunks
 from faultline.operators.provenance import lineage_edges
@@ -81,3 +82,20 @@ def test_a_trace_opens_few_files(spark, lines_df):
     plan = index.back(some)._jdf.queryExecution().executedPlan().toString()
     assert "_bucket" in scan and "PushedFilters: [" in plan and "out_id" in plan.split("PushedFilters: [")[1].split("]")[0]
     assert "PartitionFilters: [" in plan and "_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_index_deals_an_output_of_many_edges(spark, edges, monkeypatch, hot):
+    """Edges that are equal meet in one task, those of a hot output are in many files."""
+    monkeypatch.setattr(lineage_index, "_EACH", 1)
+    monkeypatch.setattr(lineage_index, "_HOT", hot)
+    frame, plain = edges
+    folder = tempfile.mkdtemp(prefix="faultline-index-") + "/edges"
+    plans, kind = [], type(frame)
+    part = kind.sortWithinPartitions
+    monkeypatch.setattr(kind, "sortWithinPartitions", lambda df, *by: plans.append(df._jdf.queryExecution().executedPlan().toString()) or part(df, *by))
+    index = LineageIndex.write(frame.repartition(6), folder, buckets=4)
+    assert plans[0].count("Exchange hashpartitioning(_bucket") == 1 and plans[0].count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, index.edges().collect())) == sorted(map(str, frame.distinct().collect()))
+    got = index.back(spark.createDataFrame([("hot",)], "out_id string"))
+    assert {tuple(r) for r in got.collect()} == {e for e in plain if e[0] == "hot"}
