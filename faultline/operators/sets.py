@@ -218,10 +218,18 @@ def subtract_by_value(left: DataFrame, right: DataFrame, cols: list[str] | None
     """Drop every left row equal (null-safe) to some right row; left
     duplicates of surviving values are kept (U1, as RDD ``subtract``)."""
     cols = cols or left.columns
-    # a value that many right rows share is one row after partial aggregation
-    l, r = left.alias("_l"), right.select(*cols).distinct().alias("_r")
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(f"_l.`{c}`").eqNullSafe(F.col(f"_r.`{c}`")) for c in cols])
+    types = [{f.name: (f.dataType, f.nullable) for f in df.schema} for df in (left, right)]
+    if all(types[0][c][0] == types[1][c][0] for c in cols):
+        # right values are shuffled for their distinct rows and stay there for the join
+        nullable = {c for c in cols if types[0][c][1] or types[1][c][1]}
+        # a value that many right rows share is one row after partial aggregation
+        l, r = left.alias("_l"), _keyed(right, cols, nullable).distinct().alias("_r")
+        key = lambda c: F.struct(F.col(f"_l.`{c}`").alias("v")) if c in nullable else F.col(f"_l.`{c}`")
+        cond = reduce(lambda a, b: a & b, [key(c) == F.col(f"_r.k{i}") for i, c in enumerate(cols)])
+    else:
+        l, r = left.alias("_l"), right.select(*cols).distinct().alias("_r")
+        cond = reduce(lambda a, b: a & b,
+                      [F.col(f"_l.`{c}`").eqNullSafe(F.col(f"_r.`{c}`")) for c in cols])
     return l.join(r, cond, "left_anti").select([F.col(f"_l.`{c}`").alias(c) for c in left.columns])
 
 

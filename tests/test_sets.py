@@ -120,3 +120,17 @@ def test_intersect_shuffles_each_side_once(spark):
     assert sorted((tuple(r) for r in both.collect()), key=key) == sorted(set(a) & set(b), key=key)
     assert both.columns == ["v", "w"] and dict(both.dtypes) == dict(left.dtypes)
     assert _exchanges(both) == 2
+
+
+def test_subtract_shuffles_each_side_once(spark):
+    rng = random.Random(5)
+    rows = lambda n: [(rng.choice([None, "", "a", "b", "c", "d"]), rng.choice([None, 1, 2])) for _ in range(n)]
+    a, b = rows(60), rows(7)
+    left, right = spark.createDataFrame(a, "v string, w int"), spark.createDataFrame(b, "v string, w int")
+    key = lambda t: tuple((x is None, x) for x in t)
+    rest = sets.subtract_by_value(left, right)
+    assert sorted((tuple(r) for r in rest.collect()), key=key) == sorted((r for r in a if r not in b), key=key)
+    assert rest.columns == ["v", "w"] and dict(rest.dtypes) == dict(left.dtypes)
+    assert _exchanges(rest) == 2
+    by_v = sets.subtract_by_value(left, right, ["v"])
+    assert sorted((tuple(r) for r in by_v.collect()), key=key) == sorted((r for r in a if r[0] not in {v for v, _ in b}), key=key)
