@@ -33,7 +33,7 @@ def traced_lines(lines: DataFrame, weight_rule=WeightRule(), limit: int = BAD_OU
     ``threshold``, searched only among lines traced back from bad outputs.
     ``test`` and ``split`` replace the threshold test and the contiguous split."""
     tr = Trace(lines, weight_rule, limit, max_broadcast_bytes)
-    return ddmin(tr.back_lines(), test or lines_test(weight_rule, threshold), ["line_id"], split=split,
+    return ddmin(tr.kept_lines(), test or lines_test(weight_rule, threshold), ["line_id"], split=split,
                  min_items=min_items, max_broadcast_bytes=max_broadcast_bytes)
 
 
@@ -47,7 +47,7 @@ def traced_records(lines: DataFrame, weight_rule=WeightRule(), limit: int = BAD_
                    threshold: int = FAIL_THRESHOLD, min_items: int = 1, test=None, split=None,
                    max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> MinimizeResult:
     """Minimal set of trigram records among the records of traced lines."""
-    traced = Trace(lines, weight_rule, limit, max_broadcast_bytes).back_lines()
+    traced = Trace(lines, weight_rule, limit, max_broadcast_bytes).kept_lines()
     return _records(traced, weight_rule, threshold, min_items, test, split, max_broadcast_bytes)
 
 
