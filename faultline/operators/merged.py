@@ -16,6 +16,11 @@ takes the outcomes just seen.  A pass without removal ends a level.  The result
 is that of the one-by-one search for any test; the jobs of a level grow with the
 number of wrong guesses, not with the number of parts.
 
+Where a state is always that of one row (largest, smallest, any) and no rows do not
+hold, a key of which no row holds never does, and its rows are left out: the keys of
+the rows that hold are kept as bits of fixed size (``sketch``), in which a collision
+only keeps rows that change nothing.
+
 Windows run within one of 1024 blocks of the index and over the blocks, so a key
 that every item has is not one group.  The driver gets counts and positions.
 """
@@ -29,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.operators.sets import contiguous_bucket
+from faultline.operators.sketch import MOST_BITS, heavy_cells
 from faultline.session import settle
 
 _BLOCKS = 1024
@@ -38,17 +44,19 @@ _BLOCKS = 1024
 class Monoid:
     """``add`` folds a column of values or states, ``merge`` two states; both
     must not depend on order.  ``zero`` is the state of no rows.  ``undo`` takes a
-    state out of another, where that can be done."""
+    state out of another, where that can be done.  ``one_of``: the state of rows is
+    always that of one of them (or ``zero``)."""
     zero: object
     add: Callable[[Column], Column]
     merge: Callable[[Column, Column], Column]
     undo: Callable[[Column, Column], Column] | None = None
+    one_of: bool = False
 
 
 SUM = Monoid(0, F.sum, lambda a, b: a + b, lambda a, b: a - b)
-LARGEST = Monoid(None, F.max, lambda a, b: F.greatest(a, b))
-SMALLEST = Monoid(None, F.min, lambda a, b: F.least(a, b))
-ANY = Monoid(False, F.bool_or, lambda a, b: a | b)
+LARGEST = Monoid(None, F.max, lambda a, b: F.greatest(a, b), one_of=True)
+SMALLEST = Monoid(None, F.min, lambda a, b: F.least(a, b), one_of=True)
+ANY = Monoid(False, F.bool_or, lambda a, b: a | b, one_of=True)
 BITS = Monoid(0, F.bit_or, lambda a, b: a.bitwiseOR(b))
 
 
@@ -169,9 +177,22 @@ def first_failing_part(sums: DataFrame, test: MergeTest):
     return bad.agg(F.min(F.struct("part", "hi"))).first()[0]
 
 
+def _of_keys_that_can_hold(raw: DataFrame, test: MergeTest) -> DataFrame:
+    """The rows without those of keys that hold for no set of items, where that can be told."""
+    monoids = [m for m, _ in test.states.values()]
+    if len(monoids) > 1 or not monoids[0].one_of:
+        return raw
+    zero = F.lit(monoids[0].zero).cast(raw.schema["s0"].dataType)
+    if raw.sparkSession.range(1).select(test.holding([zero])).first()[0]:
+        return raw
+    cells = heavy_cells(raw.where(test.holding_now()).select("k", F.lit(1).alias("one")), "k", "one", 1, MOST_BITS)
+    return raw.where(cells.may_reach(F.col("k"))) if cells.count else raw.limit(0)
+
+
 def candidate_states(index, test: MergeTest) -> DataFrame:
-    """``(idx, k, s0, ...)`` of all items: with such merges any key can matter."""
-    raw = test.state_rows(index.items, index.keys)
+    """``(idx, k, s0, ...)`` of all items, without keys that can be told never to
+    hold; with other merges any key can matter."""
+    raw = _of_keys_that_can_hold(test.state_rows(index.items, index.keys), test)
     return settle(test.fold(index.attach(raw), "idx", "k"))
 
 

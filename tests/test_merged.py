@@ -10,6 +10,7 @@ from faultline.operators import merged
 from faultline.operators import minimize as mz
 from faultline.operators.merged import ANY, BITS, LARGEST, SMALLEST, SUM, MergeTest
 from faultline.operators.oracles import CallableTest, SumThreshold
+from faultline.operators.sets import index_items
 
 from test_minimize import flat, halves, py_ddmin
 
@@ -161,3 +162,57 @@ def test_stop_size_below_one_is_refused(spark, stop):
         mz.ddmin(df, SumThreshold("trigram", "weight", 5), ["id"], min_items=stop)
     with pytest.raises(ValueError):
         mz.minimize_all(df, SumThreshold("trigram", "weight", 5), ["id"], min_items=stop)
+
+
+def kept_keys(spark, monkeypatch, items, test, key="k"):
+    """Keys of the rows that the search gets, and what is found."""
+    keys, search = set(), merged.search
+
+    def spy(index, rows, *a):
+        keys.update(r[0][0] for r in rows.select("k").distinct().collect())
+        return search(index, rows, *a)
+    monkeypatch.setattr(merged, "search", spy)
+    df = spark.createDataFrame(items, f"id long, {key} string, w long")
+    res = mz.ddmin(df, test, ["id"])
+    return keys, (sorted(r["id"] for r in res.items.collect()), [(s.outcome, s.n_items, s.n_parts) for s in res.steps])
+
+
+@pytest.mark.parametrize("monoid, pick", [(LARGEST, max), (SMALLEST, min)])
+def test_rows_of_keys_that_never_hold_are_left_out(spark, monkeypatch, monoid, pick):
+    rng = random.Random(5)
+    items = [(i, f"x{i % 40}", rng.choice([0, 1])) for i in range(120)]
+    # two keys whose extreme is 3 in parts of the items only: 9 and -9 hide it
+    for i, k, w in ((7, "a", 3), (30, "a", 3), (64, "a", 9), (65, "a", -9), (90, None, 3), (101, None, -9), (110, None, 9)):
+        items[i] = (i, k, w)
+    test = MergeTest("k", {"s": (monoid, "w")}, lambda s: s == 3)
+    fails = lambda some: any(pick(w) == 3 for w in by_key(some))
+    some = [x for x in items if x[2] != (9 if pick is max else -9)]
+    keys, got = kept_keys(spark, monkeypatch, some, test)
+    assert keys == {"a", None}
+    assert fails(some) and got == model(some, fails)
+
+
+def test_keys_that_hold_without_rows_are_kept(spark):
+    items = [(i, "abcdef"[i % 6], i % 2) for i in range(18)]
+    test = MergeTest("k", {"s": (ANY, "yes")}, lambda s: ~s, quorum=2, rows=lambda d, carry: d.withColumn("yes", F.col("w") == 1))
+    index = index_items(spark.createDataFrame(items, "id long, k string, w long"), ["id"])
+    assert {r[0][0] for r in merged.candidate_states(index, test).select("k").collect()} == set("abcdef")
+
+
+def test_signed_weights_keep_keys_with_enough_positive_ones(spark, monkeypatch):
+    rng = random.Random(11)
+    items = [(i, f"x{i % 30}", rng.choice([-1, 0, 1])) for i in range(90)]
+    for i, k, w in ((4, "a", 6), (33, "a", -5), (60, "a", 6), (75, "b", 4), (80, "b", -1)):
+        items[i] = (i, k, w)
+    df_test = SumThreshold("k", "w", 7)
+    keys, got = kept_keys(spark, monkeypatch, items, df_test)
+    assert keys == {"a"}
+    want, steps = py_ddmin(items, 7)
+    assert got == (want, steps)
+
+
+def test_a_key_below_the_threshold_in_all_can_reach_it_in_a_part(spark, monkeypatch):
+    items = [(i, "z" if i < 8 else "a", w) for i, w in enumerate([1, 1, 1, 1, 1, 1, 1, 1, -9, 5, 4, 0, -9, 0, 0, 1])]
+    keys, got = kept_keys(spark, monkeypatch, items, SumThreshold("k", "w", 8))
+    assert keys == {"z", "a"}  # "a" has 10 in positive weights and -8 in all
+    assert got == py_ddmin(items, 8)
