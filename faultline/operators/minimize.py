@@ -28,8 +28,8 @@ and usually a tiny fraction).
 Every null key is one key.  The driver receives counts and positions only.
 
 With a custom splitter the same rounds run on buckets.  Tests whose states can
-be merged (``merged.MergeTest``), and weights below zero, are batched without
-that pruning, see ``merged``.  Opaque tests take the general path: one job per
+be merged (``merged.MergeTest``), and weights below zero, are batched, too, see
+``merged``.  Opaque tests take the general path: one job per
 tested part or complement, first failure wins, as in the reference.
 """
 
@@ -113,25 +113,31 @@ class _Rows:
     nonneg: bool
 
 
-def _candidates(index: ItemIndex | GroupIndex, test: SumThreshold, max_bytes: int, every_key: bool = False) -> _Rows:
+def _candidates(index: ItemIndex | GroupIndex, test: SumThreshold, max_bytes: int, every_sign: bool = False) -> _Rows:
     """Rows of the keys that can reach the threshold: those that a sketch of
     all weights leaves open, then those whose total does.  With a negative weight
-    any key can: all rows if ``every_key``, else none (``nonneg`` tells)."""
+    (``nonneg`` tells) a subset's total can be above that of all items, but not above
+    the sum of the key's positive weights, which stands for it then; no rows unless
+    ``every_sign``."""
     t = test.threshold
     raw = index.rows(test)
+    positive = F.greatest(F.col("w"), F.lit(0))
     # a sketch has no use for limits that every key reaches
     heavy = heavy_cells(raw, "k", "w", max(t, 1))
-    if heavy is None and not every_key:
-        return _Rows(raw.limit(0), 0, False)
-    if heavy is not None and t > 0:
+    nonneg = heavy is not None
+    if not nonneg:
+        if not every_sign:
+            return _Rows(raw.limit(0), 0, False)
+        heavy = heavy_cells(raw.withColumn("w", positive), "k", "w", max(t, 1)) if t > 0 else None
+    if t > 0:
         raw = raw.where(heavy.may_reach(F.col("k"))) if heavy.count else raw.limit(0)
     rows = materialize(index.attach(raw).groupBy("idx", "k").agg(F.sum("w").alias("w")))
-    totals = rows.groupBy("k").agg(F.sum("w").alias("T")).where(F.col("T") >= t).select("k")
+    totals = rows.groupBy("k").agg(F.sum("w").alias("T"), F.sum(positive).alias("most"))
     if heavy is None:
-        return _Rows(rows, totals.count(), False)
-    hot = materialize(totals)
-    rows = materialize(join_small(rows, hot, "k", "left_semi", measured_bytes(hot.select("k.*")), max_bytes))
-    return _Rows(rows, hot.count(), True)
+        return _Rows(rows, totals.where(F.col("T") >= t).count(), False)
+    hot = materialize(totals.where(F.col("T" if nonneg else "most") >= t).select("k", (F.col("T") >= t).alias("reaches")))
+    rows = materialize(join_small(rows, hot.select("k"), "k", "left_semi", measured_bytes(hot.select("k.*")), max_bytes))
+    return _Rows(rows, hot.where("reaches").count(), nonneg)
 
 
 def _look_ahead(rows: DataFrame, lo: int, hi: int, t: int, min_items: int, log: _Log) -> tuple[int, int, str]:
@@ -417,7 +423,7 @@ def ddmin(items: DataFrame, test, order_by: list[str],
     rows = None
     if isinstance(test, SumThreshold) and test.threshold > 0:
         log.next_job()
-        rows = _candidates(index, test, max_broadcast_bytes)
+        rows = _candidates(index, test, max_broadcast_bytes, every_sign=split is None)
         if rows.nonneg and (not rows.n_hot or not index.count):
             log.add(index.count, min(max(2, start_parts), max(index.count, 2)), "pass")
             return MinimizeResult(index.items.limit(0), _history(spark, log), log, 0)
@@ -425,7 +431,9 @@ def ddmin(items: DataFrame, test, order_by: list[str],
     if isinstance(batched, MergeTest) and split is None:
         if rows is None:
             log.next_job()
-        states = merged.candidate_states(index, batched)
+            states = merged.candidate_states(index, batched)
+        else:
+            states = settle(rows.df.select("idx", "k", F.col("w").alias("s0")))
         if not index.count or batched.keys_that_hold(states) < batched.quorum:
             log.add(index.count, min(max(2, start_parts), max(index.count, 2)), "pass")
             return MinimizeResult(index.items.limit(0), _history(spark, log), log, 0)
@@ -460,7 +468,7 @@ def minimize_all(items: DataFrame, test, order_by: list[str], min_items: int = 1
     spark = items.sparkSession
     index = index if index is not None else index_items(items, order_by)
     if isinstance(test, SumThreshold):
-        rows, batched = _candidates(index, test, max_broadcast_bytes, every_key=True).df, merged.sum_test(test)
+        rows, batched = _candidates(index, test, max_broadcast_bytes, every_sign=True).df, merged.sum_test(test)
         states = rows.select("idx", "k", F.col("w").alias("s0"))
     else:
         batched, states = test, merged.candidate_states(index, test)
@@ -480,7 +488,7 @@ def part_test_matrix(items: DataFrame, test: SumThreshold, order_by: list[str],
     """
     t = test.threshold
     index = index_items(items, order_by)
-    rows, count = _candidates(index, test, max_broadcast_bytes, every_key=True), index.count
+    rows, count = _candidates(index, test, max_broadcast_bytes, every_sign=True), index.count
     b = contiguous_bucket("idx", n, count)
     S = rows.df.groupBy(b.alias("bucket"), F.col("k")).agg(F.sum("w").alias("s"))
     # a key has n sums at most
