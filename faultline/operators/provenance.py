@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.text import BAD_OUTPUT_LIMIT, output_id
+from faultline.operators.sets import GroupIndex, ItemIndex, index_by_group, index_items
 from faultline.operators.sketch import candidate_rows
-from faultline.operators.trigrams import WeightRule, outputs_over, trigram_records, trigram_totals
+from faultline.operators.trigrams import WeightRule, outputs_over, trigram_counts, trigram_records, trigram_totals
 from faultline.session import MAX_BROADCAST_BYTES, join_small, materialize, measured_bytes
 
 
@@ -101,13 +102,23 @@ class Trace:
         return self._lines_kept
 
     # -- forward ----------------------------------------------------------
-    def forward_records(self, within_bad: bool = False) -> DataFrame:
-        """Records of the traced lines (L5).  ``within_bad=True`` keeps only
-        those that feed a bad output."""
+    def forward_records(self, within_bad: bool = False, lines: DataFrame | None = None) -> DataFrame:
+        """Records of the traced lines (L5), or of ``lines`` among them.
+        ``within_bad=True`` keeps only those that feed a bad output."""
         # select the traced lines first (one row per line), then explode only
         # those: no record of an untraced line is produced or shuffled
-        recs = trigram_records(self.back_lines(), self.weight_rule)
+        recs = trigram_records(self.back_lines() if lines is None else lines, self.weight_rule)
         if within_bad:
             keys, n = self._bad_keys()
             recs = join_small(recs, keys, "trigram", "left_semi", n, self.max_broadcast_bytes)
         return recs
+
+    def forward_index(self, columns: list[str]) -> GroupIndex | ItemIndex:
+        """``columns`` of ``forward_records``, numbered by (line, position).  A record
+        is its line and a place in it, so records are not sorted or written for that;
+        they are where line ids repeat or one is null."""
+        lines = self.kept_lines()
+        n, ids = lines.agg(F.count(F.lit(1)), F.count_distinct("line_id")).first()
+        if ids < n:
+            return index_items(self.forward_records().select(*columns), ["line_id", "pos"])
+        return index_by_group(lines, trigram_counts(), "line_id", "pos", lambda some: self.forward_records(lines=some).select(*columns))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from faultline.operators import minimize as mz
 from faultline.operators import sets
 from faultline.operators.oracles import CallableTest, SumThreshold, records_test
+from faultline.operators.provenance import Trace
+from faultline.operators.trigrams import WeightRule
 
 
 # ---- plain-Python model of the same search --------------------------------
@@ -383,3 +385,27 @@ def test_many_sets_in_one_plan(spark):
     assert res.count == 30
     assert "Union" not in res.items._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["id"] for r in res.items.collect()) == list(range(1, 60, 2))
+
+
+def test_records_of_a_trace_are_numbered_without_a_sort(spark):
+    words = lambda i: f"n{i}: " + " ".join(f"w{i % 5} w{j}" for j in range(i % 4 + 2)) + (" the 1996 Summer" if i % 3 == 0 else "")
+    rows = [(i, words(i)) for i in range(40)]
+    rule = WeightRule(doc_pattern="n21")
+    columns = ["line_id", "pos", "trigram", "weight"]
+    trace = lambda some: Trace(spark.createDataFrame(some, "line_id long, line string"), rule)
+    index = trace(rows).forward_index(columns)
+    assert isinstance(index, sets.GroupIndex)
+    want = sets.index_items(trace(rows).forward_records().select(*columns), ["line_id", "pos"])
+    assert index.count == want.count > 40
+    assert sorted(index.indexed().collect()) == sorted(want.indexed().collect())
+    found = [mz.ddmin(x.items, records_test(), ["line_id", "pos"], index=x) for x in (index, want)]
+    assert rounds(found[0]) == rounds(found[1])
+    assert [r["line_id"] for r in found[0].items.collect()] == [r["line_id"] for r in found[1].items.collect()] == [21]
+
+
+def test_records_of_lines_that_share_an_id_are_sorted(spark):
+    rows = [(i, f"n{i}: the 1996 Summer") for i in range(6)] + [(3, "n21: the 1996 Summer x")]
+    trace = Trace(spark.createDataFrame(rows, "line_id long, line string"), WeightRule(doc_pattern="n21"))
+    index = trace.forward_index(["line_id", "pos", "trigram", "weight"])
+    assert isinstance(index, sets.ItemIndex)
+    assert index.count == 8
