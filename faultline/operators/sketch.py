@@ -34,11 +34,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.session import join_small, materialize
+from faultline.session import join_small, materialize, measured_bytes
 
 FEWEST_BITS, MOST_BITS, DEPTH = 12, 20, 1
 # bits of cells that are kept as rows
 MOST_ROW_BITS = 30
+# one row in so many is in the sample that guesses the largest totals, and so many keys are tried for each
+_EACH, _GUESSES = 64, 64
 
 
 def bits_for(rows: DataFrame, limit: int) -> int:
@@ -132,3 +134,20 @@ def totals_from(rows: DataFrame, limit: int, key: str = "trigram", weight: str =
     """``(key, total)`` of every key whose total is at least ``limit``, exactly."""
     some = candidate_rows(rows, key, weight, limit, bits, depth)
     return some.groupBy(key).agg(F.sum(weight).cast("long").alias("total")).where(F.col("total") >= limit)
+
+
+def rows_of_largest(rows: DataFrame, n: int, sample_by: list[str], key: str = "trigram", weight: str = "weight") -> DataFrame:
+    """Rows whose key may be among the ``n`` with the largest totals, among them all
+    rows of each that is (and of every key that ties with the last).
+
+    The totals of any ``n`` keys bound the last of the largest from below.  The keys
+    that are largest in a sample (one row in ``_EACH`` by a hash of ``sample_by``),
+    ``_GUESSES`` times as many, are counted exactly, and the ``n``-th of them is the
+    limit of ``candidate_rows``.  The sample decides the cost, not the rows."""
+    some = rows.where(F.pmod(F.xxhash64(*sample_by), F.lit(_EACH)) == 0).groupBy(key).agg(F.sum(weight).alias("_t"))
+    keys = materialize(some.orderBy(F.desc("_t"), key).limit(n * _GUESSES).select(F.struct(key).alias("_k")))
+    counted = join_small(rows.withColumn("_k", F.struct(key)), keys, "_k", "left_semi", measured_bytes(keys.select("_k.*")))
+    totals = counted.groupBy("_k").agg(F.sum(weight).alias("_t")).orderBy(F.desc("_t")).limit(n)
+    found, least = totals.agg(F.count("_t"), F.min("_t")).first()
+    # too few keys in the sample bound nothing
+    return candidate_rows(rows, key, weight, int(least)) if found == n else rows

@@ -105,3 +105,22 @@ def test_more_cells_than_bits(spark, monkeypatch):
     assert sorted((r["trigram"] or "", r["total"]) for r in sketch.totals_from(rows, 501).collect()) == [("", 600), ("big", 502)]
     signed = rows.union(spark.createDataFrame([("big", -1)], rows.schema))
     assert sketch.candidate_rows(signed, "trigram", "weight", 501).count() == signed.count()
+
+
+@pytest.mark.parametrize("each", [1, 4])
+@pytest.mark.parametrize("weights", [[1], [1, 2, 9], [-3, 1, 2]])
+def test_rows_of_the_largest_totals(spark, monkeypatch, each, weights):
+    monkeypatch.setattr(sketch, "_EACH", each)
+    rng = random.Random(len(weights))
+    heavy = ["a"] * 40 + ["b"] * 30 + ["c"] * 20 + ["d"] * 20 + [None] * 25
+    rows = [(i, k, rng.choice(weights)) for i, k in enumerate(heavy + [f"x{rng.randint(0, 900)}" for _ in range(1500)])]
+    frame = spark.createDataFrame(rows, "line_id long, trigram string, weight int")
+    totals = lambda df: {r[0]: r[1] for r in df.groupBy("trigram").agg(F.sum("weight")).collect()}
+    whole = totals(frame)
+    some = sketch.rows_of_largest(frame, 4, ["line_id"])
+    last = sorted(whole.values())[-4]
+    assert {k: v for k, v in totals(some).items() if v >= last} == {k: v for k, v in whole.items() if v >= last}
+    if min(weights) > 0:  # others are left out before they are counted
+        assert len(totals(some)) < len(whole) / 4
+    assert sketch.rows_of_largest(frame, 5000, ["line_id"]).count() == len(rows)
+    assert sketch.rows_of_largest(frame.limit(0), 4, ["line_id"]).count() == 0
